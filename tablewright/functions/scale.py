@@ -35,19 +35,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder and cut the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared scratch folder, ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset
-    and Spark runs in local mode is a temporary folder made.
+    Only where that is unset and Spark runs in local mode is a temporary folder made.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="tablewright-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder and cut the lineage."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tablewright-checkpoint-")
-        context.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
