@@ -10,6 +10,7 @@ bin counts until the last.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -21,6 +22,7 @@ from .scale import is_small
 
 _LOG_BINS_PER_E = 256
 _SLICES = 8192
+_FEW = 16
 
 
 def quantile_table(
@@ -31,14 +33,32 @@ def quantile_table(
     """One row (per ``by`` group) with an array column of quantiles per input column."""
     keys = as_list(by)
     if is_small(df.select(*keys, *probs)):
+        # ``percentile`` walks its values once per probability; for many, sort once instead.
+        few = {c: len(ps) <= _FEW for c, ps in probs.items()}
         aggs = [
             F.percentile(present(df, c).cast("double"), F.array(*[F.lit(float(p)) for p in ps])).alias(c)
+            if few[c]
+            else F.sort_array(F.collect_list(present(df, c).cast("double"))).alias(c)
             for c, ps in probs.items()
         ]
-        return df.groupBy(*keys).agg(*aggs)
+        return df.groupBy(*keys).agg(*aggs).withColumns(
+            {c: _at_ranks(q(c), ps) for c, ps in probs.items() if not few[c]}
+        )
     return _narrowed(df, probs, keys)
 
 
+def _at_ranks(values: Column, ps: Sequence[float]) -> Column:
+    """Interpolated quantiles of a sorted array."""
+
+    def value(p: Column) -> Column:
+        rank = p * (F.size(values) - 1)
+        low, high = F.get(values, F.floor(rank).cast("int")), F.get(values, F.ceil(rank).cast("int"))
+        return low + (high - low) * (rank - F.floor(rank))
+
+    wanted = F.from_json(F.lit(json.dumps([float(p) for p in ps])), "array<double>")
+    return F.when(F.size(values) > 0, F.transform(wanted, value))
+
+
 def quantile_struct(
     df: DataFrame, probs: Mapping[str, Sequence[float]], by: Sequence[str] | str | None = None
 ) -> DataFrame:
@@ -67,13 +87,8 @@ def _narrowed(df: DataFrame, probs: Mapping[str, Sequence[float]], keys: list[st
         .where(F.col("x").isNotNull())
         .withColumn("b1", _log_bin(F.col("x")))
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), F.lit(float(p)).alias("p"))
-            for i, c in enumerate(names)
-            for j, p in enumerate(probs[c])
-        ]
-    )
+    asked = [{"c": i, "j": j, "p": float(p)} for i, c in enumerate(names) for j, p in enumerate(probs[c])]
+    wanted = F.from_json(F.lit(json.dumps(asked)), "array<struct<c:int,j:int,p:double>>")
     group = [*keys, "c"]
 
     # Pass 1: counts per logarithmic bin; the ranks wanted and the bins they fall in.

@@ -98,23 +98,18 @@ _C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.
 _D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
 
 
-def _poly(x: Column, coefs: Sequence[float]) -> Column:
-    out = F.lit(coefs[0])
-    for c in coefs[1:]:
-        out = out * x + F.lit(c)
-    return out
-
-
-def normal_quantile(p: Column) -> Column:
+def normal_quantile(p: np.ndarray) -> np.ndarray:
     """Inverse of the standard normal distribution function, to about nine digits."""
     edge = 0.02425
     q0 = p - 0.5
     r = q0 * q0
-    mid = _poly(r, _A) * q0 / _poly(r, [*_B, 1.0])
-    low = F.sqrt(-2 * F.log(p))
-    high = F.sqrt(-2 * F.log(1 - p))
-    tail = lambda t: _poly(t, _C) / _poly(t, [*_D, 1.0])
-    return F.when(p < edge, tail(low)).when(p > 1 - edge, -tail(high)).otherwise(mid)
+    mid = np.polyval(_A, r) * q0 / np.polyval([*_B, 1.0], r)
+
+    def tail(share: np.ndarray) -> np.ndarray:
+        t = np.sqrt(-2 * np.log(share))
+        return np.polyval(_C, t) / np.polyval([*_D, 1.0], t)
+
+    return np.where(p < edge, tail(p), np.where(p > 1 - edge, -tail(1 - p), mid))
 
 
 def quantile_transform(df: DataFrame, cols: Sequence[str], output: str = "uniform", knots: int = 1000) -> DataFrame:
@@ -133,19 +128,17 @@ def quantile_transform(df: DataFrame, cols: Sequence[str], output: str = "unifor
         for p, v in zip(probs, fit[c] or []):
             at.setdefault(v, []).append(p)
         values = sorted(at)
-        share = _between(values, [sum(at[v]) / len(at[v]) for v in values])(_x(df, c))
-        if output == "normal":
-            tiny = 1e-7
-            share = normal_quantile(F.least(F.greatest(share, F.lit(tiny)), F.lit(1 - tiny)))
+        share = _between(values, [sum(at[v]) / len(at[v]) for v in values], output == "normal")(_x(df, c))
         shares[c] = F.when(_x(df, c).isNotNull(), share)
     return df.withColumns(shares)
 
 
-def _between(values: list[float], heights: list[float]):
+def _between(values: list[float], heights: list[float], normal: bool):
     @F.pandas_udf("double")
     def place(x: pd.Series) -> pd.Series:
-        if len(values) < 2:
-            return pd.Series(0.5, index=x.index)
-        return pd.Series(np.interp(x, values, heights), index=x.index)
+        share = np.interp(x, values, heights) if len(values) > 1 else np.full(len(x), 0.5)
+        if normal:
+            share = normal_quantile(np.clip(share, 1e-7, 1 - 1e-7))
+        return pd.Series(share, index=x.index)
 
     return place
