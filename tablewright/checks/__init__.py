@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ["profiles", "cleaning", "preparing"]
+_MODULES = ["profiles", "cleaning", "preparing", "modelling", "workflow"]
 
 
 def check(name: str, sql: str | None = None):
