@@ -178,7 +178,7 @@ def _(spark, sf):
     return rounded(O.discounted_value(log_rows(spark, sf), order_by=("timestamp", "event_id")), 6, "value")
 
 
-@check("recent_memory", """select user_id::varchar as "sessionId", event_id, row_number() over w as recency from events qualify row_number() over w <= 3 window w as (partition by user_id order by ts desc, event_id desc)""")
+@check("recent_memory", """select user_id::varchar as "sessionId", event_id, row_number() over w as recency from events window w as (partition by user_id order by ts desc, event_id desc) qualify row_number() over w <= 3""")
 def _(spark, sf):
     out = O.recent_memory(log_rows(spark, sf), 3, ("timestamp", "event_id"))
     return out.select("sessionId", "event_id", F.col("recency").cast("bigint").alias("recency"))

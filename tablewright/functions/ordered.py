@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_list, field_type, join_on, q, with_stats
-from .scale import is_small, shuffle_width
+from .common import as_list, field_type, join_on, q
+from .scale import checkpointed, is_small, shuffle_width
 
 _BINS = 8192
 _FRAME_BLOCK = 50_000
@@ -41,26 +41,31 @@ def axis_value(df: DataFrame, name: str) -> Column:
 
 
 def _segmented(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add ``_seg``, which grows with the first order column and splits rows evenly."""
+    """Add ``_seg``, which grows with the first order column and splits rows evenly.
+
+    Two aggregates run first: the ends of the axis, and counts over equal slices of it. The
+    slices (at most ``_BINS`` + 2 rows) are checkpointed, so that the borders stay put however
+    often the result is read.
+    """
     first = order[0]
     down = first.startswith("-")
     axis = axis_value(df, first.lstrip("-"))
     axis = -axis if down else axis
     finite = F.when(~F.isnan(axis), axis)
-    bounds = df.select(finite.alias("a")).agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
-    span = F.col("_ax.hi") - F.col("_ax.lo")
-    step = F.floor((axis - F.col("_ax.lo")) / span * _BINS)
-    inner = F.when(span > 0, F.least(F.lit(_BINS - 1), step)).otherwise(F.lit(0))
+    low, high = df.select(finite.alias("a")).agg(F.min("a"), F.max("a")).first()
+    if low is not None and high > low:
+        step = F.floor((axis - F.lit(low)) / F.lit(high - low) * _BINS)
+        inner = F.least(F.lit(_BINS - 1), step)
+    else:
+        inner = F.lit(0)
     null_bin, nan_bin = (_BINS, -1) if down else (-1, _BINS)
     placed = F.when(axis.isNull(), null_bin).when(F.isnan(axis), nan_bin).otherwise(inner)
-    binned = with_stats(df, bounds, "_ax").withColumn("_bin", placed.cast("int")).drop("_ax")
-    # At most _BINS + 2 rows, so one task can run over them and they can be broadcast.
+    binned = df.withColumn("_bin", placed.cast("int"))
     counts = binned.groupBy("_bin").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("_bin")) - F.col("n")
     total = F.sum("n").over(Window.partitionBy())
-    segments = shuffle_width(df.sparkSession)
-    seg = F.floor(before / total * segments).cast("int")
-    bins = counts.select("_bin", seg.alias("_seg"))
+    seg = F.floor(before / total * shuffle_width(df.sparkSession)).cast("int")
+    bins = checkpointed(counts.select("_bin", seg.alias("_seg")))
     return binned.join(F.broadcast(bins), "_bin").drop("_bin")
 
 
@@ -68,53 +73,88 @@ def _window(keys: Sequence[str], order: Sequence[str], *extra: str) -> WindowSpe
     return Window.partitionBy(*[q(k) for k in keys], *extra).orderBy(*sort_columns(order))
 
 
+def _reversed(order: Sequence[str]) -> list[str]:
+    return [c[1:] if c.startswith("-") else "-" + c for c in order]
+
+
+def ordered_scan(
+    df: DataFrame,
+    keys: Sequence[str] | str | None,
+    order: Sequence[str],
+    number: str | None = None,
+    last: Mapping[str, Column] | None = None,
+    following: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """One walk along the order of each key.
+
+    ``number`` names a column that counts the rows from 1. ``last`` gives, per output name,
+    the last non-null value of an expression up to the row; ``following`` the first one from
+    the row on. The expressions may use the number.
+    """
+    keys, last, following = as_list(keys), dict(last or {}), dict(following or {})
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    small = is_small(df)
+    walk = df if small else _segmented(df, order)
+    parts = [] if small else ["_seg"]
+    if number:
+        local = walk.withColumn(number, F.row_number().over(_window(keys, order, *parts)).cast("bigint"))
+        if not small:
+            sizes = walk.groupBy(*keys, "_seg").agg(F.count("*").alias("_n"))
+            offsets = sizes.select(*keys, "_seg", F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_off"))
+            local = join_on(local, offsets, [*keys, "_seg"]).withColumn(number, q(number) + F.col("_off")).drop("_off")
+        walk = local
+    if last or following:
+        ahead = _window(keys, order, *parts).rowsBetween(*upto)
+        back = _window(keys, _reversed(order), *parts).rowsBetween(*upto)
+        filled = {n: F.last(v, ignorenulls=True).over(ahead) for n, v in last.items()}
+        filled |= {n: F.last(v, ignorenulls=True).over(back) for n, v in following.items()}
+        if small:
+            return walk.withColumns(filled)
+        local = walk.withColumns(filled | {"_rn": F.row_number().over(_window(keys, order, "_seg"))})
+        ends = local.groupBy(*keys, "_seg").agg(
+            *[F.max_by(q(n), F.col("_rn")).alias(n) for n in last],
+            *[F.min_by(q(n), F.col("_rn")).alias(n) for n in following],
+        )
+        carried = ends.select(
+            *keys,
+            "_seg",
+            *[F.last(q(n), ignorenulls=True).over(_earlier(keys)).alias(f"_in_{n}") for n in last],
+            *[F.first(q(n), ignorenulls=True).over(_later(keys)).alias(f"_in_{n}") for n in following],
+        )
+        names = [*last, *following]
+        joined = join_on(local, carried, [*keys, "_seg"])
+        walk = joined.withColumns({n: F.coalesce(q(n), q(f"_in_{n}")) for n in names}).drop(
+            "_rn", *[f"_in_{n}" for n in names]
+        )
+    return walk.drop("_seg")
+
+
+def _earlier(keys: Sequence[str]) -> WindowSpec:
+    # Over one row per (key, segment), so never more rows per key than there are segments.
+    return Window.partitionBy(*[q(k) for k in keys]).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _later(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*[q(k) for k in keys]).orderBy("_seg").rowsBetween(1, Window.unboundedFollowing)
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[str], name: str) -> DataFrame:
     """Number the rows of each key from 1 in the given order."""
-    keys = as_list(keys)
-    if is_small(df):
-        return df.withColumn(name, F.row_number().over(_window(keys, order)).cast("bigint"))
-    seg = _segmented(df, order)
-    sizes = seg.groupBy(*keys, "_seg").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*[q(k) for k in keys]).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_seg", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    local = seg.withColumn(name, F.row_number().over(_window(keys, order, "_seg")).cast("bigint"))
-    return join_on(local, offsets, [*keys, "_seg"]).withColumn(name, q(name) + F.col("_off")).drop("_seg", "_off")
+    return ordered_scan(df, keys, order, number=name)
 
 
 def carry_last(
     df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[str], values: Mapping[str, Column]
 ) -> DataFrame:
     """For each output name, the last non-null value of the expression up to this row."""
-    return _carry(df, as_list(keys), list(order), values)
+    return ordered_scan(df, keys, order, last=values)
 
 
 def carry_next(
     df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[str], values: Mapping[str, Column]
 ) -> DataFrame:
     """For each output name, the first non-null value of the expression from this row on."""
-    return _carry(df, as_list(keys), [c[1:] if c.startswith("-") else "-" + c for c in order], values)
-
-
-def _carry(df: DataFrame, keys: list[str], order: list[str], values: Mapping[str, Column]) -> DataFrame:
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    if is_small(df):
-        w = _window(keys, order).rowsBetween(*upto)
-        return df.withColumns({n: F.last(v, ignorenulls=True).over(w) for n, v in values.items()})
-    seg = _segmented(df, order)
-    w = _window(keys, order, "_seg")
-    local = seg.withColumns(
-        {n: F.last(v, ignorenulls=True).over(w.rowsBetween(*upto)) for n, v in values.items()}
-        | {"_rn": F.row_number().over(w)}
-    )
-    ends = local.groupBy(*keys, "_seg").agg(*[F.max_by(q(n), F.col("_rn")).alias(n) for n in values])
-    earlier = Window.partitionBy(*[q(k) for k in keys]).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *keys, "_seg", *[F.last(q(n), ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in values]
-    )
-    joined = join_on(local, carried, [*keys, "_seg"])
-    return joined.withColumns({n: F.coalesce(q(n), q(f"_in_{n}")) for n in values}).drop(
-        "_seg", "_rn", *[f"_in_{n}" for n in values]
-    )
+    return ordered_scan(df, keys, order, following=values)
 
 
 def row_frame(
@@ -190,8 +230,6 @@ def global_index(df: DataFrame, order: Sequence[str], name: str = "_idx") -> Dat
     """
     if is_small(df):
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*sort_columns(order))) - 1).cast("bigint"))
-    from .scale import checkpointed
-
     ordered = checkpointed(df.orderBy(*sort_columns(order)).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_mid"), 33)
     split = ordered.withColumn("_part", part)

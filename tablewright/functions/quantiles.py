@@ -4,8 +4,9 @@
 it serves small inputs only. On large ones the wanted ranks are found by narrowing:
 a first histogram over logarithmic bins finds the bins that hold them, a second one
 over equal slices of those bins finds the slices, and only values in these slices
-are ranked. Each pass is a scan with map-side combine, and no pass moves more than
-bin counts until the last.
+are ranked. Each pass is one scan with map-side combine, and no pass moves more than
+bin counts until the last. The first two passes run when the plan is built, and what they
+find is checkpointed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_list, join_on, present, q
-from .scale import is_small
+from .scale import checkpointed, is_small
 
 _LOG_BINS_PER_E = 256
 _SLICES = 8192
@@ -106,7 +107,8 @@ def _narrowed(df: DataFrame, probs: Mapping[str, Sequence[float]], keys: list[st
         (target - F.floor(target)).alias("frac"),
         F.explode(F.array_distinct(F.array(F.floor(target), F.ceil(target)))).alias("rank"),
     )
-    ranked_bins = _locate(bins, ranks, group)
+    # A few rows per group: kept, so that the passes below do not repeat the one above.
+    ranked_bins = checkpointed(_locate(bins, ranks, group))
     hot1 = ranked_bins.select(*group, "b1", "lo", "hi").distinct()
 
     # Pass 2: equal slices inside those bins.
@@ -118,7 +120,7 @@ def _narrowed(df: DataFrame, probs: Mapping[str, Sequence[float]], keys: list[st
     in_bin = Window.partitionBy(*group, "b1").orderBy("b2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist2 = hist2.withColumn("cum", F.sum("n").over(in_bin))
     ranks1 = ranked_bins.select(*group, "j", "frac", "b1", F.col("left").alias("rank"))
-    ranked_slices = _locate(hist2, ranks1, [*group, "b1"])
+    ranked_slices = checkpointed(_locate(hist2, ranks1, [*group, "b1"]))
     hot2 = ranked_slices.select(*group, "b1", "b2").distinct()
 
     # Pass 3: exact ranks among the distinct values of those slices.

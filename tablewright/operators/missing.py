@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import as_list, is_missing, join_on, present, q, with_stats
-from ..functions.ordered import carry_last, carry_next, row_numbers
+from ..functions.ordered import carry_last, carry_next, ordered_scan
 from ..functions.quantiles import quantile_table
 from ..functions.scale import checkpointed
 from .neighbours import nearest
@@ -82,26 +82,34 @@ def backward_fill(
     return carry_next(df, partition_by, order_by, {c: present(df, c) for c in cols})
 
 
-def _interpolate(df: DataFrame, cols: Sequence[str], order: Sequence[str], keys, position: Column) -> DataFrame:
-    here = df.withColumn("_pos", position)
-    point = {c: F.when(~is_missing(df, c), F.struct(present(df, c).cast("double").alias("v"), F.col("_pos").alias("p"))) for c in cols}
-    both = carry_last(here, keys, order, {f"_a_{c}": v for c, v in point.items()})
-    both = carry_next(both, keys, order, {f"_b_{c}": v for c, v in point.items()})
+def _interpolate(df: DataFrame, cols: Sequence[str], order: Sequence[str], keys, position: Column | None) -> DataFrame:
+    """Lines between the points (position, value) around each gap; by row number without a position."""
+    pos = F.col("_row") if position is None else position
+    point = {
+        c: F.when(~is_missing(df, c), F.struct(present(df, c).cast("double").alias("v"), pos.alias("p"))) for c in cols
+    }
+    both = ordered_scan(
+        df,
+        keys,
+        order,
+        number="_row" if position is None else None,
+        last={f"_a_{c}": v for c, v in point.items()},
+        following={f"_b_{c}": v for c, v in point.items()},
+    )
     new = {}
     for c in cols:
         a, b = q(f"_a_{c}"), q(f"_b_{c}")
-        share = F.try_divide(F.col("_pos") - a["p"], b["p"] - a["p"])
+        share = F.try_divide(pos - a["p"], b["p"] - a["p"])
         line = a["v"] + (b["v"] - a["v"]) * share
         new[c] = F.when(~is_missing(df, c), q(c).cast("double")).when(b.isNull(), a["v"]).otherwise(line)
-    return both.withColumns(new).drop("_pos", *[f"_a_{c}" for c in cols], *[f"_b_{c}" for c in cols])
+    return both.withColumns(new).drop("_row", *[f"_a_{c}" for c in cols], *[f"_b_{c}" for c in cols])
 
 
 def interpolation_linear(
     df: DataFrame, cols: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str] | str | None = None
 ) -> DataFrame:
     """Straight lines between neighbours, rows evenly spaced. Leading gaps stay; trailing ones keep the last value."""
-    numbered = row_numbers(df, partition_by, order_by, "_row")
-    return _interpolate(numbered, cols, ["_row"], partition_by, F.col("_row")).drop("_row")
+    return _interpolate(df, cols, order_by, partition_by, None)
 
 
 def interpolation_time(
