@@ -69,19 +69,19 @@ def _rank_sql(edges, steps, places, start="1.0 / c"):
 
 @check("pagerank", _rank_sql(_SUPPLY, 6, 9))
 def _(spark, sf):
-    return rounded(N.pagerank(supply_edges(spark, sf), eps=None, max_iter=5, stride=6), 9, "rank")
+    return rounded(N.pagerank(supply_edges(spark, sf), eps=None, max_iter=5), 9, "rank")
 
 
 @check("pagerank_converged", _rank_sql(_EDGES, 120, 8))
 def _(spark, sf):
-    return rounded(N.pagerank(event_edges(spark, sf), stride=8), 8, "rank")
+    return rounded(N.pagerank(event_edges(spark, sf)), 8, "rank")
 
 
 @check("pagerank_seeded", _rank_sql(_EDGES, 4, 8, "(1.0 / c + (n = 'error')::int) / 2.0"))
 def _(spark, sf):
     edges = event_edges(spark, sf)
     seeds = read(spark, sf, "events").where("event_type = 'error'").select(F.col("event_type").alias("node"))
-    return rounded(N.pagerank_seeded(edges, seeds, eps=None, max_iter=3, stride=4), 8, "rank")
+    return rounded(N.pagerank_seeded(edges, seeds, eps=None, max_iter=3), 8, "rank")
 
 
 @check("next_step", f"with {_trans(_EDGES)} select n as node, round(coalesce(p, 0), 6) as p from nd left join m on dst = n and src = 'click'")

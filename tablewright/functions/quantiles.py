@@ -1,7 +1,7 @@
 """Exact quantiles with linear interpolation, on any amount of data.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer, so
-it serves small inputs only. On large ones the wanted ranks are found by narrowing:
+A group whose size is checked to be small is sorted in its task. On large inputs that, or
+``percentile`` with its one buffer of all distinct values, would not fit: there the wanted ranks are found by narrowing:
 a first histogram over logarithmic bins finds the bins that hold them, a second one
 over equal slices of those bins finds the slices, and only values in these slices
 are ranked. Each pass is one scan with map-side combine, and no pass moves more than
@@ -23,7 +23,6 @@ from .scale import checkpointed, is_small
 
 _LOG_BINS_PER_E = 256
 _SLICES = 8192
-_FEW = 16
 
 
 def quantile_table(
@@ -34,17 +33,8 @@ def quantile_table(
     """One row (per ``by`` group) with an array column of quantiles per input column."""
     keys = as_list(by)
     if is_small(df.select(*keys, *probs)):
-        # ``percentile`` walks its values once per probability; for many, sort once instead.
-        few = {c: len(ps) <= _FEW for c, ps in probs.items()}
-        aggs = [
-            F.percentile(present(df, c).cast("double"), F.array(*[F.lit(float(p)) for p in ps])).alias(c)
-            if few[c]
-            else F.sort_array(F.collect_list(present(df, c).cast("double"))).alias(c)
-            for c, ps in probs.items()
-        ]
-        return df.groupBy(*keys).agg(*aggs).withColumns(
-            {c: _at_ranks(q(c), ps) for c, ps in probs.items() if not few[c]}
-        )
+        values = {c: F.sort_array(F.collect_list(present(df, c).cast("double"))).alias(c) for c in probs}
+        return df.groupBy(*keys).agg(*values.values()).withColumns({c: _at_ranks(q(c), ps) for c, ps in probs.items()})
     return _narrowed(df, probs, keys)
 
 

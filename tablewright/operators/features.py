@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import as_list, field_type, join_on, q
 from ..functions.ordered import row_frame, time_frame
+from ..functions.scale import checkpointed
 
 
 def polynomial_features(df: DataFrame, cols: Sequence[str], degree: int = 2) -> DataFrame:
@@ -127,33 +128,56 @@ def foreign_keys(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence
     """For every pair of columns of different tables: how much of the child's values the parent holds.
 
     ``(child, parent, child_values, found, coverage, parent_unique, is_foreign_key)``. All columns
-    go through one shuffle by value: each distinct value gathers the short list of columns that
-    hold it, and the pairs are counted from these lists. No pair of tables is joined.
+    go through one shuffle by value: each distinct value ends up with one bit per column that
+    holds it, and one per column that repeats it. All pairs are counted from the few distinct
+    bit patterns, so no two tables are ever joined.
     """
-    parts, rows = [], []
-    for table, cols in columns.items():
+    names = [(table, c) for table, cols in columns.items() for c in cols]
+    words = range((len(names) + 61) // 62)
+    parts = []
+    for i, (table, c) in enumerate(names):
         df = tables[table]
-        for c in cols:
-            label = f"{table}.{c}"
-            values = df.where(q(c).isNotNull()).groupBy(q(c).cast("string").alias("value")).agg(F.count("*").alias("n"))
-            parts.append(values.select(F.lit(label).alias("col"), F.lit(table).alias("tbl"), "value", "n"))
-    all_values = reduce(DataFrame.unionByName, parts)
-    sizes = all_values.groupBy("col").agg(F.count("*").alias("values"), F.max("n").alias("most"))
-    # At most one entry per column of the catalogue, whatever the data.
-    holders = all_values.groupBy("value").agg(F.collect_list(F.struct("col", "tbl")).alias("cols"))
+        values = df.where(q(c).isNotNull()).groupBy(q(c).alias("v")).agg(F.count("*").alias("n"))
+        bit = lambda w, i=i: F.lit((1 << (i % 62)) if i // 62 == w else 0).cast("bigint")
+        parts.append(
+            values.select(
+                F.col("v").cast("string").alias("value"),
+                *[bit(w).alias(f"in{w}") for w in words],
+                *[F.when(F.col("n") > 1, bit(w)).otherwise(F.lit(0)).cast("bigint").alias(f"rep{w}") for w in words],
+            )
+        )
+    flags = [f"{kind}{w}" for kind in ("in", "rep") for w in words]
+    per_value = reduce(DataFrame.unionByName, parts).groupBy("value").agg(*[F.bit_or(f).alias(f) for f in flags])
+    # From here on the rows are bit patterns, few whatever the data. They are kept, as they are read thrice.
+    set_bits = lambda kind: F.expr(
+        "concat(" + ", ".join(
+            f"transform(filter(sequence(0, 61), i -> shiftright({kind}{w}, i) & 1 = 1), i -> i + {62 * w})" for w in words
+        ) + ")"
+    )
+    patterns = checkpointed(per_value.groupBy(*flags).agg(F.count("*").alias("n"))).select(
+        "n", set_bits("in").alias("held"), set_bits("rep").alias("repeated")
+    )
     pairs = (
-        holders.select(F.explode("cols").alias("a"), "cols")
-        .select("a", F.explode("cols").alias("b"))
-        .where(F.col("a.tbl") != F.col("b.tbl"))
-        .groupBy(F.col("a.col").alias("child"), F.col("b.col").alias("parent"))
-        .agg(F.count("*").alias("found"))
+        patterns.select("n", "held", F.explode("held").alias("a"))
+        .select("n", "a", F.explode("held").alias("b"))
+        .groupBy("a", "b")
+        .agg(F.sum("n").alias("found"))
     )
-    child = sizes.select(F.col("col").alias("child"), F.col("values").alias("child_values"))
-    parent = sizes.select(F.col("col").alias("parent"), (F.col("most") == 1).alias("parent_unique"))
-    out = pairs.join(child, "child").join(parent, "parent").withColumn("coverage", F.col("found") / F.col("child_values"))
+    sizes = pairs.where("a = b").select("a", F.col("found").alias("child_values"))
+    repeated = patterns.select(F.explode("repeated").alias("b")).distinct().withColumn("again", F.lit(True))
+    labels = F.array(*[F.lit(".".join(name)) for name in names])
+    owners = F.array(*[F.lit(table) for table, _ in names])
+    out = pairs.where(F.get(owners, F.col("a")) != F.get(owners, F.col("b"))).join(sizes, "a").join(repeated, "b", "left")
+    unique = F.col("again").isNull()
+    coverage = F.col("found") / F.col("child_values")
     return out.select(
-        "child", "parent", "child_values", "found", "coverage", "parent_unique",
-        ((F.col("coverage") == 1) & F.col("parent_unique")).alias("is_foreign_key"),
+        F.get(labels, F.col("a")).alias("child"),
+        F.get(labels, F.col("b")).alias("parent"),
+        "child_values",
+        "found",
+        coverage.alias("coverage"),
+        unique.alias("parent_unique"),
+        ((coverage == 1) & unique).alias("is_foreign_key"),
     )
 
 

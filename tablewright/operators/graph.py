@@ -45,57 +45,76 @@ def transition_matrix(edges: DataFrame) -> DataFrame:
     return moves.unionByName(loops)
 
 
-def _iterate(edges: DataFrame, start, d: float, eps: float | None, max_iter: int | None, stride: int) -> DataFrame:
-    moves = transition_matrix(edges).persist()
+_EDGES_PER_TASK = 1_000_000
+
+
+def _iterate(edges: DataFrame, start, d: float, eps: float | None, max_iter: int | None) -> DataFrame:
+    # The edge table is read many times below, so it is written once.
+    edges = checkpointed(edges.select("src", "dst", "cnt"))
+    # The edges stay partitioned by source through all rounds. A source with very many of them
+    # is split into parts, and its rank is sent to each part.
+    moves = transition_matrix(edges)
+    hubs = checkpointed(
+        moves.groupBy("src").agg(F.ceil(F.count("*") / _EDGES_PER_TASK).cast("int").alias("_parts")).where("_parts > 1")
+    )
+    split = not hubs.isEmpty()
+    if split:
+        part = F.pmod(F.xxhash64("dst"), F.coalesce("_parts", F.lit(1))).cast("int")
+        moves = moves.join(hubs, "src", "left").withColumn("_part", part).drop("_parts")
+    else:
+        moves = moves.withColumn("_part", F.lit(0))
+    moves = moves.repartition("src", "_part").persist()
     nodes = nodes_of(edges).persist()
     n = nodes.count()
     teleport = F.lit((1.0 - d) / n) if n else F.lit(0.0)
-    # A zero row per node keeps nodes that nothing links to, without another join.
-    zeros = nodes.select(F.col("node").alias("dst"), F.lit(0.0).alias("c"))
 
     def step(ranks: DataFrame) -> DataFrame:
-        flow = moves.join(ranks, moves["src"] == ranks["node"]).select("dst", (F.col("p") * F.col("rank")).alias("c"))
-        summed = flow.unionByName(zeros).groupBy("dst").agg(F.sum("c").alias("s"))
-        return summed.select(F.col("dst").alias("node"), (F.col("s") * d + teleport).alias("rank"))
+        sent = ranks.select(F.col("node").alias("src"), "rank")
+        if split:
+            to = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+            sent = sent.join(hubs, "src", "left").select("src", "rank", to.alias("_part"))
+        else:
+            sent = sent.withColumn("_part", F.lit(0))
+        flow = moves.join(sent, ["src", "_part"]).select(
+            F.col("dst").alias("node"), (F.col("p") * F.col("rank")).alias("c"), F.lit(0.0).alias("old")
+        )
+        # The old ranks travel along: they keep nodes nothing links to, and tell how far ranks moved.
+        kept = ranks.select("node", F.lit(0.0).alias("c"), F.col("rank").alias("old"))
+        summed = flow.unionByName(kept).groupBy("node").agg(F.sum("c").alias("s"), F.max("old").alias("old"))
+        return summed.select("node", (F.col("s") * d + teleport).alias("rank"), "old")
 
-    left = None if max_iter is None else max_iter + 1
     ranks = start(nodes, n)
+    rounds = 0
     while True:
-        count = stride if left is None else min(stride, left)
-        before = ranks
-        for _ in range(count):
-            before, ranks = ranks, step(ranks)
-        both = ranks.join(before.withColumnRenamed("rank", "_old"), "node")
-        saved = checkpointed(both)
-        ranks = saved.select("node", "rank")
-        left = None if left is None else left - count
-        if left == 0:
+        ranks = checkpointed(step(ranks))
+        rounds += 1
+        if max_iter is not None and rounds > max_iter:
             break
         if eps is not None:
-            moved = saved.agg(F.sqrt(F.sum((F.col("rank") - F.col("_old")) ** 2)).alias("m")).first()["m"]
+            moved = ranks.agg(F.sqrt(F.sum((F.col("rank") - F.col("old")) ** 2)).alias("m")).first()["m"]
             if moved is None or moved < eps:
                 break
     moves.unpersist()
     nodes.unpersist()
-    return ranks
+    return ranks.select("node", "rank")
 
 
 def pagerank(
-    edges: DataFrame, d: float = 0.85, eps: float | None = 1e-10, max_iter: int | None = None, stride: int = 5
+    edges: DataFrame, d: float = 0.85, eps: float | None = 1e-10, max_iter: int | None = None
 ) -> DataFrame:
     """``(node, rank)`` by power iteration from uniform ranks.
 
     Stops when the ranks move by less than ``eps`` (L2) or after ``max_iter`` steps beyond
-    the first. ``stride`` steps run as one job, are checkpointed, and then tested.
+    the first. Every step is one job, checkpointed.
     """
     if eps is None and max_iter is None:
         raise ValueError("give eps or max_iter")
     uniform = lambda nodes, n: nodes.withColumn("rank", F.lit(1.0 / n if n else 0.0))
-    return _iterate(edges, uniform, d, eps, max_iter, stride)
+    return _iterate(edges, uniform, d, eps, max_iter)
 
 
 def pagerank_seeded(
-    edges: DataFrame, seeds: DataFrame, d: float = 0.85, eps: float | None = 1e-10, max_iter: int | None = None, stride: int = 5
+    edges: DataFrame, seeds: DataFrame, d: float = 0.85, eps: float | None = 1e-10, max_iter: int | None = None
 ) -> DataFrame:
     """As :func:`pagerank`, from ranks boosted by 1 at each seed (``node``) and renormalised."""
 
@@ -105,7 +124,7 @@ def pagerank_seeded(
         total = boosted.agg(F.sum("w").alias("t")).scalar()
         return boosted.select("node", (F.col("w") / total).alias("rank"))
 
-    return _iterate(edges, start, d, eps, max_iter, stride)
+    return _iterate(edges, start, d, eps, max_iter)
 
 
 def next_step(edges: DataFrame, node: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,19 +67,23 @@ def _rows_from(row: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def _as_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(data_field_name, value)`` rows, one per cell, values as text and missing ones null."""
-    cells = [F.struct(F.lit(c).alias("data_field_name"), present(df, c).cast("string").alias("value")) for c in cols]
-    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
-
-
-def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(data_field_name, value, n)`` for every non-null value of every column."""
-    return _as_text(df, cols).where(F.col("value").isNotNull()).groupBy("data_field_name", "value").agg(
+def _counts_of(df: DataFrame, col: str) -> DataFrame:
+    """``(value, n)`` of one column, in its own type. A columnar source reads this column only."""
+    return df.select(present(df, col).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(
         F.count("*").alias("n")
     )
 
 
+def _per_column(df: DataFrame, cols: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """The aggregates over the value counts of each column, one row per column.
+
+    Every column is an independent branch of one query. Together they read each column once,
+    and no row is multiplied by the number of columns, as it would be in a long table.
+    """
+    parts = [_counts_of(df, c).agg(*aggs).withColumn("data_field_name", F.lit(c)) for c in cols]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or df.columns)
     row = df.agg(*[F.count(F.when(is_missing(df, c), 1)).alias(f"n{i}") for i, c in enumerate(cols)])
@@ -114,15 +120,7 @@ def unique_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
             for i, c in enumerate(cols)
         ]
         return _rows_from(row, structs)
-    found = value_counts(df, cols).groupBy("data_field_name").agg(F.count("*").alias("unique_counts"))
-    return _every_column(df, cols, found, {"unique_counts": F.lit(0).cast("bigint")})
-
-
-def _every_column(df: DataFrame, cols: Sequence[str], found: DataFrame, fill: dict[str, Column]) -> DataFrame:
-    """One row per name in ``cols``, also for columns without any value."""
-    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, cols))).alias("data_field_name"))
-    full = names.join(found, "data_field_name", "left")
-    return full.withColumns({n: F.coalesce(q(n), v) for n, v in fill.items()})
+    return _per_column(df, cols, [F.count("*").alias("unique_counts")]).select("data_field_name", "unique_counts")
 
 
 def profile_summary(df: DataFrame, cols: Sequence[str] | None = None, distinct: str = "exact") -> DataFrame:
@@ -211,8 +209,8 @@ def describe_all(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("freq"),
             *stats.columns[2:],
         )
-    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))
-    tops = value_counts(df, labels).groupBy("data_field_name").agg(F.count("*").alias("unique"), best.alias("b"))
+    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").cast("string").alias("value")))
+    tops = _per_column(df, labels, [F.count("*").alias("unique"), best.alias("b")])
     tops = tops.select("data_field_name", "unique", F.col("b.value").alias("top"), (-F.col("b.neg")).alias("freq"))
     return stats.join(tops, "data_field_name", "left").select(
         "data_field_name", "count", "unique", "top", "freq", *stats.columns[2:]
@@ -446,27 +444,19 @@ def missingness_correlation(df: DataFrame, cols: Sequence[str], against: Sequenc
 
 def candidate_keys(df: DataFrame, cols: Sequence[str] | None = None, max_arity: int = 2) -> DataFrame:
     """For columns and column pairs: distinct values, rows with a null, and whether they form a key."""
-    from itertools import combinations
-
     cols = list(cols or df.columns)
-    combos = [c for k in range(1, max_arity + 1) for c in combinations(cols, k)]
-    cells = [
-        F.struct(
-            F.lit(",".join(combo)).alias("columns"),
-            F.when(
-                ~_any([is_missing(df, c) for c in combo]), F.array(*[q(c).cast("string") for c in combo])
-            ).alias("value"),
+    parts = []
+    for combo in [c for k in range(1, max_arity + 1) for c in combinations(cols, k)]:
+        groups = df.groupBy(*combo).agg(F.count("*").alias("n"))
+        null = _any([is_missing(df, c) for c in combo])
+        parts.append(
+            groups.agg(
+                F.count(F.when(~null, 1)).alias("distinct_values"),
+                F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("rows_with_null"),
+                F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+            ).withColumn("columns", F.lit(",".join(combo)))
         )
-        for combo in combos
-    ]
-    long = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
-    per_value = long.groupBy("columns", "value").agg(F.count("*").alias("n"))
-    null_rows = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
-    out = per_value.groupBy("columns").agg(
-        F.count("value").alias("distinct_values"),
-        null_rows.alias("rows_with_null"),
-        F.sum("n").alias("n_rows"),
-    )
+    out = reduce(DataFrame.unionByName, parts)
     is_key = (F.col("rows_with_null") == 0) & (F.col("distinct_values") == F.col("n_rows"))
     return out.withColumn("is_key", is_key)
 
