@@ -268,7 +268,7 @@ def _batches(spark, tmp_path):
     files = [
         [(1, at(0), "u", 1.0), (2, at(3), "u", None), (3, at(4), "v", 5.0)],
         [(4, at(30), "u", 2.0), (1, at(31), "u", 1.0)],
-        [(7, at(43), "v", 4.0)],
+        [(7, at(45), "v", 4.0)],
         [(5, at(1), "u", 9.0), (6, at(90), "v", 3.0)],
     ]
     for i, rows in enumerate(files):
@@ -278,10 +278,10 @@ def _batches(spark, tmp_path):
 
 def test_late_rows_are_dropped(spark, tmp_path):
     stream = _batches(spark, tmp_path)
-    out = Q.stream_profile(stream, "ts", ["value"], "5 minutes", "10 minutes")
+    out = Q.stream_profile(stream, "ts", ["value"], delay="10 minutes", window="5 minutes")
     S.append_to_table(out, str(tmp_path / "out"), str(tmp_path / "cp"))
     rows = {str(r["window_start"])[11:16]: (r["n_rows"], r["value_nulls"], r["value_max"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert rows == {"00:00": (3, 1, 5.0), "00:30": (2, 0, 2.0), "00:40": (1, 0, 4.0)}
+    assert rows == {"00:00": (3, 1, 5.0), "00:30": (2, 0, 2.0), "00:45": (1, 0, 4.0)}
 
 
 def test_streams_survive_a_restart(spark, tmp_path):
