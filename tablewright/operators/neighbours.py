@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.common import join_on, q
 
-# Cell sides: 2^-8 to 2^11 units of the axes, and one beyond any standardised value.
-_SIDES = [2.0 ** (level - 8) for level in range(20)] + [2.0**40]
+# Cell sides in units of the widest axis' standard deviation: coarse steps for dense spots,
+# doubling from 2^-8 to 2^11, and one beyond any value.
+_SIDES = [2.0**e for e in range(-30, -8, 2)] + [2.0**e for e in range(-8, 12)] + [2.0**40]
 
 
-def _cell(axes: Sequence[str], side: Column) -> Column:
-    return F.array(*[F.floor(q(a) / side).cast("bigint") for a in axes])
+def _cell(axes: Sequence[str], centre: Sequence[float], unit: float, side: Column) -> Column:
+    return F.array(*[F.floor((q(a) - F.lit(m)) / F.lit(unit) / side).cast("bigint") for a, m in zip(axes, centre)])
 
 
 def _around(cell: Column, dims: int, reach: int) -> Column:
@@ -53,6 +54,10 @@ def nearest(
     Queries whose block has fewer than k points get all of them.
     """
     dims, block = len(axes), list(block)
+    stats = points.agg(*[f(q(a)) for a in axes for f in (F.avg, F.stddev_pop)]).first()
+    centre = [float(m or 0.0) for m in stats[0::2]]
+    unit = max((float(d or 0.0) for d in stats[1::2]), default=0.0) or 1.0
+    cell_of = lambda names, side: _cell(names, centre, unit, side)
     need = k + 1 if exclude_self else k
     # Only the first k (+1) keys at one spot can be neighbours: limited before the shuffle.
     spot = Window.partitionBy(*block, *axes).orderBy(key)
@@ -60,21 +65,21 @@ def nearest(
     levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(s).alias("side")) for i, s in enumerate(_SIDES)]))
     celled = (
         points.select(*block, *axes, levels.alias("_l"))
-        .select(*block, F.col("_l.level").alias("_level"), _cell(axes, F.col("_l.side")).alias("_cell"))
+        .select(*block, F.col("_l.level").alias("_level"), cell_of(axes, F.col("_l.side")).alias("_cell"))
         .groupBy(*block, "_level", "_cell")
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") >= need)
     )
     probes = queries.select(key, *block, *axes, levels.alias("_l")).select(
-        key, *block, F.col("_l.level").alias("_level"), _cell(axes, F.col("_l.side")).alias("_cell")
+        key, *block, F.col("_l.level").alias("_level"), cell_of(axes, F.col("_l.side")).alias("_cell")
     )
     finest = join_on(probes, celled, [*block, "_level", "_cell"], "inner").groupBy(key).agg(F.min("_level").alias("_level"))
     # Where no cell holds enough points (a small block) the widest cells take in the whole block.
     level = F.coalesce(F.col("_level"), F.lit(len(_SIDES) - 1))
     placed = queries.select(key, *block, *axes).join(finest, key, "left").withColumn("_level", level)
-    reach = math.ceil(math.sqrt(dims))
+    reach = math.floor(math.sqrt(dims)) + 1
     side = F.element_at(F.array(*[F.lit(s) for s in _SIDES]), F.col("_level") + 1)
-    near = placed.withColumn("_cell", F.explode(_around(_cell(axes, side), dims, reach)))
+    near = placed.withColumn("_cell", F.explode(_around(cell_of(axes, side), dims, reach)))
     # Only grid levels some query uses are worth building on the point side.
     used = near.select("_level").distinct()
     other = points.select(
@@ -86,7 +91,7 @@ def nearest(
     )
     other = other.select(
         *block, *[f"_n_{a}" for a in axes], "neighbour", *carry, F.col("_l.level").alias("_level"),
-        F.array(*[F.floor(q(f"_n_{a}") / F.col("_l.side")).cast("bigint") for a in axes]).alias("_cell"),
+        cell_of([f"_n_{a}" for a in axes], F.col("_l.side")).alias("_cell"),
     ).join(F.broadcast(used), "_level", "left_semi")
     pairs = join_on(near, other, [*block, "_level", "_cell"], "inner").select(
         key, *axes, "neighbour", *[f"_n_{a}" for a in axes], *carry
