@@ -133,7 +133,8 @@ def profile_summary(df: DataFrame, cols: Sequence[str] | None = None, distinct:
     cols = list(cols or df.columns)
     numeric = set(numeric_columns(df, cols))
     timed = set(temporal_columns(df, cols))
-    labels = [c for c in cols if c not in numeric and c not in timed]
+    # Maps cannot be compared, so they have no distinct count.
+    labels = [c for c in cols if c not in numeric and c not in timed and not isinstance(field_type(df, c), T.MapType)]
     aggs: list[Column] = []
     structs: list[Column] = []
     nothing = F.lit(None)
@@ -173,7 +174,7 @@ def describe_all(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Descriptive statistics of every column: numeric moments and quartiles, top value of the rest."""
     cols = list(cols or df.columns)
     numeric = numeric_columns(df, cols)
-    labels = [c for c in cols if c not in numeric]
+    labels = [c for c in cols if c not in numeric and not isinstance(field_type(df, c), T.MapType)]
     aggs = [F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]
     for i, c in enumerate(cols):
         if c in numeric:
