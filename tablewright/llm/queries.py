@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, language, leaks, packing, wordpiece
+from . import bpe, ctw, exact, jaccard, kdtree, language, leaks, packing, warc, wordpiece
 from .batches import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,44 @@ def _(spark, sf):
     return exact.exact_duplicates(table(spark, sf, "documents"))
 
 
+@query("op2_context_tree")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = fold("doc_id", 5) == 1
+    model = ctw.fit(docs.where(~held_out))
+    scored = ctw.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query(
+    "op3_kdtree_top_k",
+    """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ p as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
+ select query_id, rank::int as rank, vec_id, score
+ from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 5""",
+)
+def _(spark, sf):
+    return kdtree.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query(
+    "op4_warc_index",
+    """with p as (select page_id, coalesce(html, '') as html, max(page_id) over (partition by coalesce(html, '')) as keeper from pages)
+ select page_id, strlen(html)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+   1 + ((('0x' || substr(sha1(html), (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), '') as payload_digest,
+  case when page_id = keeper then 'response' else 'revisit' end as record_type,
+  case when page_id <> keeper then keeper end as refers_to
+ from p""",
+)
+def _(spark, sf):
+    index = warc.archived(table(spark, sf, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_language")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
@@ -62,6 +100,23 @@ def _(spark, sf):
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query(
+    "op7_jaccard_join",
+    r"""with recursive w as (select doc_id, string_split_regex(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13),
+   'abcdefghijklmnopqrstuvwxyz' || repeat(' ', 5)), ' '), ' +') as w from documents),
+ g as (select doc_id, case when w = [''] then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+   else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as g from w),
+ s as (select doc_id, unnest(g) as s from g),
+ n as (select doc_id, len(g) as n from g),
+ o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+ e as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 75 * (x.n + y.n - o)),
+ r as (select doc_id as node, doc_id as seen from n union select r.node, e.b from r join e on e.a = r.seen)
+ select n.doc_id, n.n as n_shingles, min(r.seen) as component_id from n join r on r.node = n.doc_id group by n.doc_id, n.n""",
+)
+def _(spark, sf):
+    return jaccard.jaccard_components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op8_packing")
 def _(spark, sf):
     pieces = packing.packed(table(spark, sf, "documents"), WORD_VOCABULARY, 2)
