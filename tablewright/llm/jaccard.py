@@ -205,6 +205,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", _enough(inter, F.col("n_a"), F.col("n_b"), percent).alias("linked"))
 
 
+def _class_size(number: int) -> Column:
+    return F.size(F.filter("ranked", lambda x: F.pmod(x.gram, F.lit(CLASSES)) == number))
+
+
 def _pairs(left: Column, right: Column) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
@@ -261,14 +265,13 @@ def jaccard_components(
     grams = sets.select("row", "n", F.explode("shared").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     ranked = grams.join(counts, "gram").groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
-    classes = [F.size(F.filter("ranked", lambda x, c=c: F.pmod(x.gram, F.lit(CLASSES)) == c)) for c in range(CLASSES)]
     sets = checkpointed(
         ranked.select(
             "row",
             "n",
             F.transform("ranked", lambda x: x.gram).alias("grams"),
             (F.col("n") - F.size("ranked")).alias("alone"),
-            F.array(*classes).alias("sizes"),
+            F.array(*map(_class_size, range(CLASSES))).alias("sizes"),
             (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int").alias("prefix"),
         )
     )
