@@ -113,7 +113,7 @@ def _counted(depth: int):
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for x > 0, by Stirling's series at x + 8."""
     y = x + 8.0
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
     down = sum(np.log(x + i) for i in range(8))
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - down
 

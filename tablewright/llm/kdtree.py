@@ -55,10 +55,14 @@ def build(ids: np.ndarray, rows: np.ndarray, leaf_rows: int = LEAF_ROWS) -> Tree
     return Tree(ids[order], rows[order], np.array(nodes, np.int64), np.array(low), np.array(high))
 
 
+def _floats(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether inner products of rows of ``a`` and ``b`` are exact as floating-point numbers."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1]) < 2**53
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """``a @ b.T`` of integers, by floating point where that is exact."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**53:
+    if _floats(a, b):
         return a.astype(np.float64) @ b.T.astype(np.float64)
     return a.astype(np.int64) @ b.T.astype(np.int64)
 
@@ -73,8 +77,7 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, bounds: np.nd
     positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
     reach = _product(positive, tree.high) + _product(negative, tree.low)
     children = tree.nodes.tolist()
-    whole = np.abs(queries).max(initial=0) * np.abs(tree.rows).max(initial=0) * max(1, tree.rows.shape[1]) < 2**53
-    rows = tree.rows.astype(np.float64 if whole else np.int64)
+    rows = tree.rows.astype(np.float64 if _floats(queries, tree.rows) else np.int64)
     wanted = queries.astype(rows.dtype)
     out = []
     for q, own in enumerate(query_ids.tolist()):
