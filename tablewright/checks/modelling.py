@@ -44,7 +44,7 @@ _MOMENTS = union([f"select {i - 1} as i, {j - 1} as j, round(avg({a} * {b})::dou
 @check("gram_moments", _MOMENTS)
 def _(spark, sf):
     lines = read(spark, sf, "lineitem")
-    table = K.moments(lines, NUM)
+    table = K.moment_sums(K.merge_moments(K.moments(lines, NUM)))
     n = lines.agg(F.count("*").alias("n")).scalar()
     return table.withColumn("s", F.round(F.col("s") / n, 3))
 
@@ -55,7 +55,7 @@ def _(spark, sf):
     parts = [K.moments(lines.where(f"l_returnflag = '{flag}'"), NUM) for flag in ("A", "N", "R")]
     total = parts[0].unionByName(parts[1]).unionByName(parts[2])
     n = lines.agg(F.count("*").alias("n")).scalar()
-    return K.merge_moments(total).withColumn("s", F.round(F.col("s") / n, 3))
+    return K.moment_sums(K.merge_moments(total)).withColumn("s", F.round(F.col("s") / n, 3))
 
 
 @check("pca")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as N
 from ..operators import parse as P
 from ..operators import policy as O
+from ..operators.reduce import moment_sums
 from ..plans.apply import Step, apply_plan, evaluate_plan
 from ..plans.catalog import ACTIONS, action_catalog, action_labels
 from ..sources.tables import html_links
@@ -352,4 +353,4 @@ def _(spark, sf):
     path = scratch(spark, "moments")
     S.stream_moments(event_stream(spark, sf), ["value", "user_id"], path, scratch(spark, "checkpoint"))
     n = read(spark, sf, "events").agg(F.count("*").alias("n")).scalar()
-    return S.stored_moments(spark, path).withColumn("s", F.round(F.col("s") / n, 4))
+    return moment_sums(S.stored_moments(spark, path)).withColumn("s", F.round(F.col("s") / n, 4))

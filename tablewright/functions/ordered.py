@@ -2,12 +2,11 @@
 
 A window over ``partitionBy(key).orderBy(t)`` puts all rows of one key into one
 task, which fails where a key holds a large share of the table or where there is no
-key. On large inputs every function here first cuts the order axis into segments of
-about equal row counts, works inside ``(key, segment)``, and carries what is needed
+key. Every function here first cuts the rows into segments of about equal row counts
+along the real order, works inside ``(key, segment)``, and carries what is needed
 across segment borders by way of one small row per ``(key, segment)``.
 
-``order`` is a list of column names; a leading ``-`` means descending. The first one
-is the axis that is cut; the others break ties.
+``order`` is a list of column names; a leading ``-`` means descending.
 """
 
 from __future__ import annotations
@@ -16,12 +15,11 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import as_list, field_type, join_on, q
-from .scale import checkpointed, is_small, shuffle_width
+from .common import as_list, join_on, q
+from .scale import checkpointed, shuffle_width
 
-_BINS = 8192
+#: Rows of a block of ``row_frame``, at least.
 _FRAME_BLOCK = 50_000
 
 
@@ -29,44 +27,14 @@ def sort_columns(order: Sequence[str]) -> list[Column]:
     return [q(c[1:]).desc() if c.startswith("-") else q(c).asc() for c in order]
 
 
-def axis_value(df: DataFrame, name: str) -> Column:
-    """A double that grows with the column, for cutting it into ranges."""
-    kind = field_type(df, name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(q(name).cast("timestamp")).cast("double")
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.rpad(F.hex(F.substring(q(name).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return q(name).cast("double")
-
-
 def _segmented(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add ``_seg``, which grows with the first order column and splits rows evenly.
+    """Add ``_seg``, which grows along the order and splits rows evenly, whatever the types and values.
 
-    Two aggregates run first: the ends of the axis, and counts over equal slices of it. The
-    slices (at most ``_BINS`` + 2 rows) are checkpointed, so that the borders stay put however
-    often the result is read.
+    Spark samples the order columns for its range borders; the rows with their segment are written to
+    the checkpoint folder once, so that the borders stay put however often the result is read.
     """
-    first = order[0]
-    down = first.startswith("-")
-    axis = axis_value(df, first.lstrip("-"))
-    axis = -axis if down else axis
-    finite = F.when(~F.isnan(axis), axis)
-    low, high = df.select(finite.alias("a")).agg(F.min("a"), F.max("a")).first()
-    if low is not None and high > low:
-        step = F.floor((axis - F.lit(low)) / F.lit(high - low) * _BINS)
-        inner = F.least(F.lit(_BINS - 1), step)
-    else:
-        inner = F.lit(0)
-    null_bin, nan_bin = (_BINS, -1) if down else (-1, _BINS)
-    placed = F.when(axis.isNull(), null_bin).when(F.isnan(axis), nan_bin).otherwise(inner)
-    binned = df.withColumn("_bin", placed.cast("int"))
-    counts = binned.groupBy("_bin").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("_bin")) - F.col("n")
-    total = F.sum("n").over(Window.partitionBy())
-    seg = F.floor(before / total * shuffle_width(df.sparkSession)).cast("int")
-    bins = checkpointed(counts.select("_bin", seg.alias("_seg")))
-    return binned.join(F.broadcast(bins), "_bin").drop("_bin")
+    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *sort_columns(order))
+    return checkpointed(ranged.withColumn("_seg", F.spark_partition_id()))
 
 
 def _window(keys: Sequence[str], order: Sequence[str], *extra: str) -> WindowSpec:
@@ -93,23 +61,17 @@ def ordered_scan(
     """
     keys, last, following = as_list(keys), dict(last or {}), dict(following or {})
     upto = (Window.unboundedPreceding, Window.currentRow)
-    small = is_small(df)
-    walk = df if small else _segmented(df, order)
-    parts = [] if small else ["_seg"]
+    walk = _segmented(df, order)
     if number:
-        local = walk.withColumn(number, F.row_number().over(_window(keys, order, *parts)).cast("bigint"))
-        if not small:
-            sizes = walk.groupBy(*keys, "_seg").agg(F.count("*").alias("_n"))
-            offsets = sizes.select(*keys, "_seg", F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_off"))
-            local = join_on(local, offsets, [*keys, "_seg"]).withColumn(number, q(number) + F.col("_off")).drop("_off")
-        walk = local
+        local = walk.withColumn(number, F.row_number().over(_window(keys, order, "_seg")).cast("bigint"))
+        sizes = walk.groupBy(*keys, "_seg").agg(F.count("*").alias("_n"))
+        offsets = sizes.select(*keys, "_seg", F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_off"))
+        walk = join_on(local, offsets, [*keys, "_seg"]).withColumn(number, q(number) + F.col("_off")).drop("_off")
     if last or following:
-        ahead = _window(keys, order, *parts).rowsBetween(*upto)
-        back = _window(keys, _reversed(order), *parts).rowsBetween(*upto)
+        ahead = _window(keys, order, "_seg").rowsBetween(*upto)
+        back = _window(keys, _reversed(order), "_seg").rowsBetween(*upto)
         filled = {n: F.last(v, ignorenulls=True).over(ahead) for n, v in last.items()}
         filled |= {n: F.last(v, ignorenulls=True).over(back) for n, v in following.items()}
-        if small:
-            return walk.withColumns(filled)
         local = walk.withColumns(filled | {"_rn": F.row_number().over(_window(keys, order, "_seg"))})
         ends = local.groupBy(*keys, "_seg").agg(
             *[F.max_by(q(n), F.col("_rn")).alias(n) for n in last],
@@ -168,12 +130,10 @@ def row_frame(
     """Add window columns that look at most ``reach`` rows back and ``ahead`` rows forward.
 
     ``columns`` gets the ordered window and returns the new columns (``lag``, or
-    aggregates over a row frame). On large inputs each key is cut into blocks of rows,
+    aggregates over a row frame). Each key is cut into blocks of rows,
     and the rows next to a border are copied into the neighbouring block.
     """
     keys = as_list(keys)
-    if is_small(df):
-        return df.withColumns(dict(columns(_window(keys, order))))
     size = max(_FRAME_BLOCK, reach, ahead)
     numbered = row_numbers(df, keys, order, "_rn")
     home = F.floor((F.col("_rn") - 1) / size).cast("bigint")
@@ -200,22 +160,19 @@ def time_frame(
 ) -> DataFrame:
     """Add window columns over the rows of the last ``seconds`` up to this row's instant.
 
-    ``columns`` gets the window with its time range set. On large inputs the time axis
-    is cut into blocks four ranges wide; a block also gets the last range of the one
-    before it.
+    ``columns`` gets the window with its time range set. The time axis is cut into blocks
+    four ranges wide; a block also gets the last range of the one before it. Rows without
+    an instant stay, and see each other.
     """
     keys = as_list(keys)
     micros = F.unix_micros(q(ts).cast("timestamp"))
     reach = seconds * 1_000_000
     timed = df.withColumn("_us", micros)
-    if is_small(df):
-        w = Window.partitionBy(*[q(k) for k in keys]).orderBy("_us").rangeBetween(-reach, 0)
-        return timed.withColumns(dict(columns(w))).drop("_us")
     width = 4 * reach
     home = F.floor(F.col("_us") / width).cast("bigint")
     tail = F.pmod(F.col("_us"), F.lit(width)) >= width - reach
-    copies = F.array_compact(F.array(home, F.when(tail, home + 1)))
-    blocks = timed.withColumn("_home", home).withColumn("_block", F.explode(F.coalesce(copies, F.array(home))))
+    copies = F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))
+    blocks = timed.withColumn("_home", home).withColumn("_block", F.explode(copies))
     w = Window.partitionBy(*[q(k) for k in keys], "_block").orderBy("_us").rangeBetween(-reach, 0)
     framed = blocks.withColumns(dict(columns(w)))
     kept = F.col("_home").eqNullSafe(F.col("_block"))
@@ -225,11 +182,9 @@ def time_frame(
 def global_index(df: DataFrame, order: Sequence[str], name: str = "_idx") -> DataFrame:
     """Number all rows from 0 in the given order, which must be total.
 
-    On large inputs the rows are range-sorted, written once to the checkpoint folder
-    (so that the borders stay put), and shifted by the sizes of the partitions before.
+    The rows are range-sorted, written once to the checkpoint folder (so that the
+    borders stay put), and shifted by the sizes of the partitions before.
     """
-    if is_small(df):
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*sort_columns(order))) - 1).cast("bigint"))
     ordered = checkpointed(df.orderBy(*sort_columns(order)).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_mid"), 33)
     split = ordered.withColumn("_part", part)

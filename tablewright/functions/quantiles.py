@@ -1,12 +1,10 @@
 """Exact quantiles with linear interpolation, on any amount of data.
 
-A group whose size is checked to be small is sorted in its task. On large inputs that, or
-``percentile`` with its one buffer of all distinct values, would not fit: there the wanted ranks are found by narrowing:
-a first histogram over logarithmic bins finds the bins that hold them, a second one
-over equal slices of those bins finds the slices, and only values in these slices
-are ranked. Each pass is one scan with map-side combine, and no pass moves more than
-bin counts until the last. The first two passes run when the plan is built, and what they
-find is checkpointed.
+The wanted ranks are found by narrowing. A histogram over logarithmic bins finds the bins
+that hold them; as long as such a bin holds many different values, a histogram over equal
+slices of it takes its place. Only the values of the last bins are ranked. Each pass is one
+scan with map-side combine, and none but the last moves more than bin counts. The passes
+before the last run when the plan is built, and what they find is checkpointed.
 """
 
 from __future__ import annotations
@@ -19,11 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_list, join_on, present, q
-from .scale import checkpointed, is_small
+from .scale import checkpointed
 
 _LOG_BINS_PER_E = 256
 _SLICES = 8192
 
+#: A bin with more rows than this and more than one value is narrowed further.
+_MOST_RANKED = 65_536
+
 
 def quantile_table(
     df: DataFrame,
@@ -32,24 +33,9 @@ def quantile_table(
 ) -> DataFrame:
     """One row (per ``by`` group) with an array column of quantiles per input column."""
     keys = as_list(by)
-    if is_small(df.select(*keys, *probs)):
-        values = {c: F.sort_array(F.collect_list(present(df, c).cast("double"))).alias(c) for c in probs}
-        return df.groupBy(*keys).agg(*values.values()).withColumns({c: _at_ranks(q(c), ps) for c, ps in probs.items()})
     return _narrowed(df, probs, keys)
 
 
-def _at_ranks(values: Column, ps: Sequence[float]) -> Column:
-    """Interpolated quantiles of a sorted array."""
-
-    def value(p: Column) -> Column:
-        rank = p * (F.size(values) - 1)
-        low, high = F.get(values, F.floor(rank).cast("int")), F.get(values, F.ceil(rank).cast("int"))
-        return low + (high - low) * (rank - F.floor(rank))
-
-    wanted = F.from_json(F.lit(json.dumps([float(p) for p in ps])), "array<double>")
-    return F.when(F.size(values) > 0, F.transform(wanted, value))
-
-
 def quantile_struct(
     df: DataFrame, probs: Mapping[str, Sequence[float]], by: Sequence[str] | str | None = None
 ) -> DataFrame:
@@ -98,30 +84,24 @@ def _narrowed(df: DataFrame, probs: Mapping[str, Sequence[float]], keys: list[st
         F.explode(F.array_distinct(F.array(F.floor(target), F.ceil(target)))).alias("rank"),
     )
     # A few rows per group: kept, so that the passes below do not repeat the one above.
-    ranked_bins = checkpointed(_locate(bins, ranks, group))
-    hot1 = ranked_bins.select(*group, "b1", "lo", "hi").distinct()
+    cells = checkpointed(_locate(bins, ranks, group))
 
-    # Pass 2: equal slices inside those bins.
+    # Next passes: equal slices inside those bins, until few rows or one value are left in each.
     slices = max(64, _SLICES // max(len(p) for p in probs.values()))
-    step = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * slices
-    b2 = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(slices - 1), F.floor(step))).otherwise(F.lit(0))
-    inside = _join_bins(long, hot1, [*group, "b1"]).withColumn("b2", b2.cast("bigint")).drop("lo", "hi")
-    hist2 = inside.groupBy(*group, "b1", "b2").agg(F.count("*").alias("n"))
-    in_bin = Window.partitionBy(*group, "b1").orderBy("b2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist2 = hist2.withColumn("cum", F.sum("n").over(in_bin))
-    ranks1 = ranked_bins.select(*group, "j", "frac", "b1", F.col("left").alias("rank"))
-    ranked_slices = checkpointed(_locate(hist2, ranks1, [*group, "b1"]))
-    hot2 = ranked_slices.select(*group, "b1", "b2").distinct()
-
-    # Pass 3: exact ranks among the distinct values of those slices.
-    few = _join_bins(inside, hot2, [*group, "b1", "b2"])
-    counts = few.groupBy(*group, "b1", "b2", "x").agg(F.count("*").alias("n"))
-    in_slice = Window.partitionBy(*group, "b1", "b2").orderBy("x").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    counts = counts.withColumn("cum", F.sum("n").over(in_slice))
-    ranks2 = ranked_slices.select(*group, "j", "frac", "b1", "b2", F.col("left").alias("rank"))
-    found = _locate(counts, ranks2, [*group, "b1", "b2"])
+    on = [*group, "b1", "floor"]
+    while not cells.where((F.col("hi") > F.col("lo")) & (F.col("n") > _MOST_RANKED)).isEmpty():
+        step = (F.col("x") - F.col("floor")) / (F.col("ceiling") - F.col("floor")) * slices
+        b2 = F.when(F.col("ceiling") > F.col("floor"), F.least(F.lit(slices - 1), F.floor(step))).otherwise(F.lit(0))
+        inside = _inside(long, cells, group).withColumn("b2", b2.cast("bigint"))
+        slim = inside.groupBy(*on, "b2").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        in_bin = Window.partitionBy(*on).orderBy("b2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        slim = slim.withColumn("cum", F.sum("n").over(in_bin))
+        cells = checkpointed(_locate(slim, _left(cells, group), on).drop("floor"))
+
+    # Last pass: exact ranks among the distinct values of the bins that are left.
+    counts = _inside(long, cells, group).groupBy(*on, "x").agg(F.count("*").alias("n"))
+    in_cell = Window.partitionBy(*on).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = _locate(counts.withColumn("cum", F.sum("n").over(in_cell)), _left(cells, group), on)
 
     # The two neighbouring order statistics give the interpolated value.
     value = F.min("x") + (F.max("x") - F.min("x")) * F.max("frac")
@@ -138,8 +118,15 @@ def _narrowed(df: DataFrame, probs: Mapping[str, Sequence[float]], keys: list[st
     return join_on(base.drop("_one"), wide, keys)
 
 
-def _join_bins(rows: DataFrame, bins: DataFrame, on: list[str]) -> DataFrame:
-    return join_on(rows, bins, on, "inner")
+def _inside(rows: DataFrame, cells: DataFrame, group: list[str]) -> DataFrame:
+    """The rows whose value lies in a cell, with the cell's ends."""
+    ends = cells.select(*group, "b1", F.col("lo").alias("floor"), F.col("hi").alias("ceiling")).distinct()
+    return join_on(rows, ends, [*group, "b1"], "inner").where(F.col("x").between(F.col("floor"), F.col("ceiling")))
+
+
+def _left(cells: DataFrame, group: list[str]) -> DataFrame:
+    """The ranks, counted inside their cells."""
+    return cells.select(*group, "j", "frac", "b1", F.col("lo").alias("floor"), F.col("left").alias("rank"))
 
 
 def _locate(hist: DataFrame, ranks: DataFrame, on: list[str]) -> DataFrame:

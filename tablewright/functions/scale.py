@@ -1,10 +1,4 @@
-"""Size checks and lineage cuts.
-
-Some exact results (a quantile, a running fill over one ordered key) have a
-short plan that puts a group into one task. Those plans are used only if the
-optimizer's own size estimate for the input and its row count are small. All larger inputs take the
-segmented plans in ``quantiles`` and ``ordered``.
-"""
+"""Lineage cuts and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -12,33 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_INPUT_BYTES = "spark.tablewright.smallInputBytes"
-SMALL_INPUT_ROWS = "spark.tablewright.smallInputRows"
-_DEFAULT_BYTES = 32 * 1024 * 1024
-_DEFAULT_ROWS = 10_000_000
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, or None where there is none (Spark Connect)."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True if all of ``df`` is known to fit in a single task with ease.
-
-    The size estimate comes first and costs nothing. As well-compressed files can hold very
-    many rows in few bytes, and an explode is not part of the estimate, inputs that look
-    small are counted as well.
-    """
-    conf = df.sparkSession.conf
-    size = estimated_bytes(df)
-    if size is None or size > int(conf.get(SMALL_INPUT_BYTES, str(_DEFAULT_BYTES))):
-        return False
-    return df.count() <= int(conf.get(SMALL_INPUT_ROWS, str(_DEFAULT_ROWS)))
-
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

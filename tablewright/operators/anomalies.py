@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.common import as_list, join_on, q, unit_hash
 from ..functions.scale import checkpointed
 from .neighbours import nearest, squared_distance
-from .reduce import _complete
+from .reduce import _with_features
 
 
 def _average_path(n: np.ndarray | float) -> np.ndarray:
@@ -53,16 +53,17 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple[int
 def isolation_forest_detection(
     df: DataFrame, features: Sequence[str] | str, key: Sequence[str] | str, trees: int = 100, sample: int = 256, seed: int = 42
 ) -> DataFrame:
-    """Add ``anomaly_score`` = 2^(-mean depth / c(sample)).
+    """Add ``anomaly_score`` = 2^(-mean depth / c(sample)); null for rows with a missing feature.
 
     Rows are given to trees by hash, about ``sample`` each, so every tree grows in one small
     group. The forest (trees by at most twice the sample of nodes) goes to all tasks, which
     score Arrow batches.
     """
-    rows = _complete(df, features)
+    every_row = _with_features(df, features)
+    rows = every_row.where("_x is not null")
     n = rows.count()
     if n == 0:
-        return rows.drop("_x").withColumn("anomaly_score", F.lit(None).cast("double"))
+        return every_row.drop("_x").withColumn("anomaly_score", F.lit(None).cast("double"))
     sample = min(sample, n)
     per_row = trees * sample / n
     copies = max(1, math.ceil(per_row))
@@ -87,6 +88,15 @@ def isolation_forest_detection(
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
+        known = x.notna()
+        if not known.all():
+            out = pd.Series(np.nan, index=x.index).astype(object).where(known, None)
+            if known.any():
+                out[known] = judged(x[known])
+            return out
+        return judged(x)
+
+    def judged(x: pd.Series) -> pd.Series:
         points = np.stack(x.to_numpy()).astype(float)
         total = np.zeros(len(points))
         every = np.arange(len(points))
@@ -102,7 +112,7 @@ def isolation_forest_detection(
             total += t[at, 4]
         return pd.Series(2.0 ** (-total / len(packed) / scale), index=x.index)
 
-    return rows.withColumn("anomaly_score", score("_x")).drop("_x")
+    return every_row.withColumn("anomaly_score", score("_x")).drop("_x")
 
 
 def local_outlier_factor(

@@ -8,7 +8,6 @@ default every row whose hash lies below the rate, with ``exact=True`` exactly
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,19 +77,34 @@ def _apply(
     if not exact:
         new = {c: F.when(choose.hit(tag, rate, among), value).otherwise(q(c)) for c, (tag, among, value) in changes.items()}
         return df.withColumns(new)
-    out = df
-    total = df.agg(F.count("*").alias("n")).first()["n"]
-    n = int(total * rate)
+    n = int(df.count() * rate)
+    new = {}
     for c, (tag, among, value) in changes.items():
-        order = [choose.unit(tag).asc(), *[q(k).asc() for k in choose.keys]]
         pool = df if among is None else df.where(F.coalesce(among, F.lit(False)))
-        hit = pool.orderBy(*order).limit(n).select(*[q(k).alias(f"_k{i}") for i, k in enumerate(choose.keys)])
-        cond = reduce(lambda a, b: a & b, [q(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(choose.keys)])
-        marked = out.join(hit.withColumn("_hit", F.lit(True)), cond, "left")
-        out = marked.withColumn(c, F.when(F.col("_hit"), value).otherwise(q(c))).drop(
-            "_hit", *[f"_k{i}" for i in range(len(choose.keys))]
-        )
-    return out
+        hit = choose.unit(tag) <= F.lit(_nth_smallest(pool, choose.unit(tag), n))
+        new[c] = F.when(hit if among is None else hit & F.coalesce(among, F.lit(False)), value).otherwise(q(c))
+    return df.withColumns(new)
+
+
+def _nth_smallest(df: DataFrame, unit: Column, n: int) -> float:
+    """The n-th smallest of hashes from 0 to 1; below all of them for n = 0, their largest if there are fewer.
+
+    Counts per slice find the slice, counts of the hashes inside it the value: 32-bit hashes make at most
+    2**16 of either. Rows with equal keys have equal hashes and are chosen together.
+    """
+    if n <= 0:
+        return -1.0
+    left, at = n, None
+    for cell in (F.floor(unit * (1 << 16)), unit):
+        part = df if at is None else df.where(F.floor(unit * (1 << 16)) == at)
+        for row in part.groupBy(cell.alias("at")).agg(F.count("*").alias("n")).orderBy("at").toLocalIterator():
+            at = row["at"]
+            if row["n"] >= left:
+                break
+            left -= row["n"]
+        if at is None:
+            return -1.0
+    return float(at)
 
 
 def corrupt_missing(
@@ -151,8 +165,8 @@ def corrupt_duplicates(
     ``delayed`` with the first timestamp 1 to 7 days later (no effect without one)."""
     choose = _Chooser(df, key, seed)
     if exact:
-        n = int(df.agg(F.count("*").alias("n")).first()["n"] * rate)
-        extra = df.orderBy(choose.unit("duplicate").asc(), *[q(k) for k in choose.keys]).limit(n)
+        least = _nth_smallest(df, choose.unit("duplicate"), int(df.count() * rate))
+        extra = df.where(choose.unit("duplicate") <= F.lit(least))
     else:
         extra = df.where(choose.hit("duplicate", rate))
     if type_ == "exact":

@@ -142,7 +142,8 @@ def dedup_audit(df: DataFrame, keys: Sequence[str], id_col: str, ts: str) -> Dat
     newest = F.max(F.struct(q(ts).alias("ts"), q(id_col).alias("id")))
     survivors = df.groupBy(*keys).agg(newest.alias("_s"))
     joined = join_on(df, survivors, keys)
-    reason = F.when(q(ts) < F.col("_s.ts"), "older version").otherwise("same instant, smaller id")
-    return joined.where(q(id_col) != F.col("_s.id")).select(
+    same_instant = q(ts).eqNullSafe(F.col("_s.ts"))
+    reason = F.when(same_instant, "same instant, smaller id").when(q(ts).isNull(), "no instant").otherwise("older version")
+    return joined.where(~(q(id_col).eqNullSafe(F.col("_s.id")) & same_instant)).select(
         *keys, q(id_col).alias("dropped_id"), F.col("_s.id").alias("survivor_id"), reason.alias("reason")
     )

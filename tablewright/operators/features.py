@@ -182,11 +182,11 @@ def foreign_keys(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence
 
 
 def hierarchy(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Does each child value have one parent value? ``(child, parent, child_values, most_parents, is_hierarchy)``."""
+    """Does each child value have one parent value, nulls aside? ``(child, parent, child_values, most_parents, is_hierarchy)``."""
     out = []
     for child, parent in pairs:
         links = df.where(q(child).isNotNull()).groupBy(q(child).alias("c"), q(parent).alias("p")).agg(F.lit(1).alias("one"))
-        per_child = links.groupBy("c").agg(F.count("*").alias("n"))
+        per_child = links.groupBy("c").agg(F.count("p").alias("n"))
         row = per_child.agg(F.count("*").alias("child_values"), F.max("n").alias("most_parents"))
         out.append(
             row.select(

@@ -142,8 +142,8 @@ def online_transition_update(adj: DataFrame, links: DataFrame, nodes: DataFrame,
     give ``d^m p + (1-d^m)/N``. Rows of sources with new links are then scaled to sum to 1.
     Links from or to unknown nodes are left out (see :func:`unseen_sources`).
     """
-    n = nodes.agg(F.count("*").cast("double").alias("n")).scalar()
     known = nodes.select("node").distinct()
+    n = known.agg(F.count("*").cast("double").alias("n")).scalar()
     seen = (
         links.groupBy("src", "dst").agg(F.count("*").alias("m"))
         .join(known.withColumnRenamed("node", "src"), "src", "left_semi")
@@ -162,7 +162,7 @@ def unseen_sources(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.select("src").distinct().join(nodes.select(F.col("node").alias("src")), "src", "left_anti")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: the smallest node each one is connected to.
 
     Every round passes the smallest label across edges and then jumps to the label's own
@@ -173,7 +173,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     labels = checkpointed(
         links.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"))
     )
-    for _ in range(max_rounds):
+    while True:
         sent = links.join(labels, links["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m"))
         lower = labels.join(sent, labels["node"] == sent["src"]).select(
             "node", F.col("component").alias("old"), F.least("component", "m").alias("component")
@@ -184,4 +184,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = saved.select("node", "component")
         if saved.where(F.col("old") != F.col("component")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

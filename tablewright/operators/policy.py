@@ -46,7 +46,7 @@ def select_actions(sessions: DataFrame, log: DataFrame, catalog: DataFrame, seed
     logged = log.groupBy("field_pattern").agg(F.min(names).alias("_low"), F.max(names).alias("_high"))
     total = F.aggregate(F.map_values("space"), F.lit(0.0), lambda a, x: a + x)
     long = log.select("field_pattern", total.alias("_t"), F.explode("space").alias("action", "p"))
-    means = long.groupBy("field_pattern", "action").agg(F.avg(F.col("p") / F.col("_t")).alias("p"))
+    means = long.groupBy("field_pattern", "action").agg(F.avg(F.try_divide("p", "_t")).alias("p"))
     ranked = means.join(F.broadcast(catalog.select("stage", "action", "action_pos")), "action")
     best = F.min(F.struct((-F.col("p")).alias("neg"), "action_pos", "action")).alias("_b")
     seen = ranked.groupBy("field_pattern", "stage").agg(best).select(
@@ -104,7 +104,7 @@ def policy_table(log: DataFrame, actions: list[str]) -> DataFrame:
     """One row per pattern with the mean normalised probability of each listed action."""
     total = F.aggregate(F.map_values("space"), F.lit(0.0), lambda a, x: a + x)
     long = log.select("field_pattern", total.alias("_t"), F.explode("space").alias("_a", "_p"))
-    cells = [F.avg(F.when(F.col("_a") == a, F.col("_p") / F.col("_t"))).alias(a) for a in actions]
+    cells = [F.avg(F.when(F.col("_a") == a, F.try_divide("_p", "_t"))).alias(a) for a in actions]
     return long.groupBy("field_pattern").agg(*cells)
 
 

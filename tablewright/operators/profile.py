@@ -340,7 +340,7 @@ def classify_columns(df: DataFrame, dictionary: DataFrame | None = None, cols: S
         if isinstance(kind, T.StringType):
             shaped = q(c).rlike(r"^\d{4}-\d{2}-\d{2}([ T].*)?$")
             parsed = date(F.when(shaped, F.substring(q(c), 1, 10)), "yyyy-MM-dd").isNotNull()
-            aggs += [F.avg(parsed.cast("double")).alias(f"date{i}"), F.avg(F.length(q(c))).alias(f"len{i}")]
+            aggs += [F.avg(F.when(~is_missing(df, c), parsed.cast("double"))).alias(f"date{i}"), F.avg(F.length(q(c))).alias(f"len{i}")]
         elif isinstance(kind, NUMERIC):
             x = present(df, c).cast("double")
             aggs.append(F.max(F.abs(x)).alias(f"abs{i}"))

@@ -11,8 +11,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,19 +26,36 @@ def feature_array(df: DataFrame, features: Sequence[str] | str) -> Column:
     return F.array(*[present(df, c).cast("double") for c in names])
 
 
+def _with_features(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
+    """All rows, their features as the array ``_x``; null where a feature is missing."""
+    x = feature_array(df, features)
+    return df.withColumn("_x", F.when(~F.exists(x, lambda v: v.isNull() | F.isnan(v)), x))
+
+
 def _complete(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
-    """Rows without missing features, which become the array ``_x``."""
-    return df.withColumn("_x", feature_array(df, features)).where(
-        F.col("_x").isNotNull() & ~F.exists("_x", lambda v: v.isNull() | F.isnan(v))
-    )
+    """For fitting: rows without missing features, which become the array ``_x``."""
+    return _with_features(df, features).where("_x is not null")
+
+
+def array_udf(change):
+    """A function of stacked feature rows as a column function; null stays null."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        known = x.notna()
+        out = pd.Series([None] * len(x), index=x.index, dtype=object)
+        if known.any():
+            out[known] = pd.Series(list(change(np.stack(x[known].to_numpy()).astype(float))), index=x.index[known])
+        return out
+
+    return run
 
 
 def moments(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
-    """``(i, j, s)`` sums of products of features i <= j; index -1 is the constant 1.
+    """``(part, n, mean, m2)``: per task the row count, means and centred sums of products of its rows.
 
-    ``(-1, -1)`` is then the row count and ``(-1, j)`` the column sums. Every task folds its
-    rows into one such matrix, and only these are shuffled. Tables of moments add up, so
-    batches can be merged by summing.
+    ``m2`` is the square matrix row by row. Only these rows are shuffled. Parts of several tables can be
+    put together with ``unionByName``; :func:`merged_moments` adds them up without loss of digits.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,27 +64,55 @@ def moments(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
             if len(batch) == 0:
                 continue
             x = np.stack(batch["_x"].to_numpy()).astype(float)
-            x = np.hstack([np.ones((len(x), 1)), x])
-            total = x.T @ x if total is None else total + x.T @ x
+            mean = x.mean(axis=0)
+            own = len(x), mean, (x - mean).T @ (x - mean)
+            total = own if total is None else _merged(total, own)
         if total is not None:
-            i, j = np.triu_indices(len(total))
-            yield pd.DataFrame({"i": i - 1, "j": j - 1, "s": total[i, j]})
+            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "m2": [total[2].ravel()]})
+
+    return _complete(df, features).select("_x").mapInPandas(fold, "n long, mean array<double>, m2 array<double>")
 
-    part = _complete(df, features).select("_x").mapInPandas(fold, "i int, j int, s double")
-    return merge_moments(part)
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Count, means and centred products of two sets of rows together (Chan, Golub and LeVeque)."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
 
 
 def merge_moments(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("i", "j").agg(F.sum("s").alias("s"))
+    """One row for all parts, merged pairwise on the executors."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(int(n), np.asarray(m), np.asarray(c).reshape(len(m), -1)) for n, m, c in zip(pdf["n"], pdf["mean"], pdf["m2"], strict=True)]
+        rows.sort(key=lambda r: (r[0], *r[1]))
+        while len(rows) > 1:
+            rows = [_merged(*rows[i : i + 2]) if i + 1 < len(rows) else rows[i] for i in range(0, len(rows), 2)]
+        n, mean, m2 = rows[0]
+        return pd.DataFrame({"n": [n], "mean": [mean], "m2": [m2.ravel()]})
+
+    schema = "n long, mean array<double>, m2 array<double>"
+    some = parts.withColumn("_g", F.pmod(F.xxhash64("n", "mean"), F.lit(64)))
+    few = some.groupBy("_g").applyInPandas(lambda pdf: fold(pdf.drop(columns="_g")), schema)
+    return few.groupBy().applyInPandas(fold, schema)
 
 
-def _matrix(table: DataFrame) -> np.ndarray:
-    rows = table.collect()
-    size = max((r["j"] for r in rows), default=-1) + 2
-    out = np.zeros((size, size))
-    for r in rows:
-        out[r["i"] + 1, r["j"] + 1] = out[r["j"] + 1, r["i"] + 1] = r["s"]
-    return out
+def moment_sums(merged: DataFrame) -> DataFrame:
+    """``(i, j, s)`` sums of products of features i <= j; index -1 is the constant 1."""
+    d = F.size("mean")
+    cells = merged.withColumn("i", F.explode(F.sequence(F.lit(-1), d - 1))).withColumn("j", F.explode(F.sequence("i", d - 1)))
+    at = lambda column, i: F.get(F.col(column), i)
+    ones = F.when(F.col("j") < 0, F.col("n").cast("double")).otherwise(F.col("n") * at("mean", F.col("j")))
+    products = at("m2", F.col("i") * d + F.col("j")) + F.col("n") * at("mean", F.col("i")) * at("mean", F.col("j"))
+    return cells.select("i", "j", F.when(F.col("i") < 0, ones).otherwise(products).alias("s"))
+
+
+def _collected(parts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, means and centred sums of products."""
+    row = merge_moments(parts).first()
+    if row is None:
+        raise ValueError("no row has all features")
+    mean = np.array(row["mean"])
+    return row["n"], mean, np.array(row["m2"]).reshape(len(mean), -1)
 
 
 def _fix_signs(loadings: np.ndarray) -> np.ndarray:
@@ -80,40 +123,30 @@ def _fix_signs(loadings: np.ndarray) -> np.ndarray:
 
 def components_from_moments(table: DataFrame, k: int, centre: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(loadings, variances, means)`` of the k strongest directions."""
-    m = _matrix(table)
-    n, sums, gram = m[0, 0], m[0, 1:], m[1:, 1:]
-    means = sums / n if centre else np.zeros(len(sums))
-    cov = (gram - n * np.outer(means, means)) / (n - 1) if centre else gram
+    n, means, m2 = _collected(table)
+    if centre:
+        cov = m2 / (n - 1)
+    else:
+        cov, means = m2 + n * np.outer(means, means), np.zeros(len(means))
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[:k]
     return _fix_signs(vectors[:, order]), values[order], means
 
 
 def project(df: DataFrame, features: Sequence[str] | str, loadings: np.ndarray, means: np.ndarray, prefix: str) -> DataFrame:
-    """Add ``<prefix>1`` ... by multiplying Arrow batches with the loadings."""
-    k = loadings.shape[1]
-
-    @F.pandas_udf("array<double>")
-    def times(x: pd.Series) -> pd.Series:
-        out = (np.stack(x.to_numpy()).astype(float) - means) @ loadings
-        return pd.Series(list(out), index=x.index)
-
-    rows = _complete(df, features).withColumn("_p", times("_x"))
-    return rows.withColumns({f"{prefix}{i + 1}": F.col("_p")[i] for i in range(k)}).drop("_x", "_p")
+    """Add ``<prefix>1`` ... by multiplying Arrow batches with the loadings; null where a feature is missing."""
+    times = array_udf(lambda x: (x - means) @ loadings)
+    rows = _with_features(df, features).withColumn("_p", times("_x"))
+    return rows.withColumns({f"{prefix}{i + 1}": F.col("_p")[i] for i in range(loadings.shape[1])}).drop("_x", "_p")
 
 
 def pca(df: DataFrame, features: Sequence[str] | str, k: int, prefix: str = "pc") -> DataFrame:
-    """Principal components of the centred features; the largest loading of each is positive."""
-    rows = _complete(df, features).withColumn("_v", array_to_vector("_x"))
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(rows)
-    loadings = model.pc.toArray()
-    fixed = _fix_signs(loadings)
-    signs = np.sign((fixed * loadings).sum(axis=0))
-    mean = _matrix(moments(df, features))
-    shift = (mean[0, 1:] / mean[0, 0]) @ fixed
-    out = model.transform(rows).withColumn("_a", vector_to_array("_pc"))
-    cols = {f"{prefix}{i + 1}": F.col("_a")[i] * F.lit(float(signs[i])) - F.lit(float(shift[i])) for i in range(k)}
-    return out.withColumns(cols).drop("_v", "_pc", "_a", "_x")
+    """Principal components of the centred features; the largest loading of each is positive.
+
+    Rows with a missing feature stay, with null components.
+    """
+    loadings, _, means = components_from_moments(moments(df, features), k)
+    return project(df, features, loadings, means, prefix)
 
 
 def incremental_pca(batches: Sequence[DataFrame], features: Sequence[str] | str, k: int):
@@ -126,7 +159,7 @@ def incremental_pca(batches: Sequence[DataFrame], features: Sequence[str] | str,
     for batch in batches:
         part = moments(batch, features)
         total = part if total is None else total.unionByName(part)
-    return components_from_moments(merge_moments(total), k)
+    return components_from_moments(total, k)
 
 
 def truncated_svd(df: DataFrame, features: Sequence[str] | str, k: int, prefix: str = "sv") -> DataFrame:
@@ -137,17 +170,13 @@ def truncated_svd(df: DataFrame, features: Sequence[str] | str, k: int, prefix:
 
 def fourier_features(df: DataFrame, features: Sequence[str] | str, gamma: float, n_features: int = 64, seed: int = 42) -> DataFrame:
     """Random Fourier features (Rahimi and Recht, 2007) of the kernel exp(-gamma |x-y|^2), as the array ``_z``."""
-    rows = _complete(df, features)
-    size = rows.select(F.max(F.size("_x")).alias("d")).first()["d"] or 0
+    rows = _with_features(df, features)
+    size = max(rows.select(F.max(F.size("_x")).alias("d")).first()["d"] or 0, 0)
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), (size, n_features))
     b = rng.uniform(0.0, 2 * math.pi, n_features)
 
-    @F.pandas_udf("array<double>")
-    def lift(x: pd.Series) -> pd.Series:
-        z = math.sqrt(2.0 / n_features) * np.cos(np.stack(x.to_numpy()).astype(float) @ w + b)
-        return pd.Series(list(z), index=x.index)
-
+    lift = array_udf(lambda x: math.sqrt(2.0 / n_features) * np.cos(x @ w + b))
     return rows.withColumn("_z", lift("_x")).drop("_x")
 
 
@@ -168,10 +197,8 @@ def autoencoder_projection(
     Full-batch gradient descent with momentum: each task sums the gradient of its rows, the sums are added up,
     and the weights (features by k) go round. Rows never leave their task.
     """
-    base = _matrix(moments(df, features))
-    n, sums = base[0, 0], base[0, 1:]
-    means = sums / n
-    spread = np.sqrt(np.maximum(np.diag(base)[1:] / n - means**2, 0.0))
+    n, means, m2 = _collected(moments(df, features))
+    spread = np.sqrt(np.diag(m2) / n)
     spread[spread == 0] = 1.0
     d = len(means)
     rng = np.random.default_rng(seed)
@@ -214,12 +241,8 @@ def autoencoder_projection(
     rows.unpersist()
     w, b = weights["w"], weights["b"]
 
-    @F.pandas_udf("array<double>")
-    def encode(x: pd.Series) -> pd.Series:
-        h = np.tanh((np.stack(x.to_numpy()).astype(float) - means) / spread @ w + b)
-        return pd.Series(list(h), index=x.index)
-
-    out = _complete(df, features).withColumn("_p", encode("_x"))
+    encode = array_udf(lambda x: np.tanh((x - means) / spread @ w + b))
+    out = _with_features(df, features).withColumn("_p", encode("_x"))
     return out.withColumns({f"{prefix}{i + 1}": F.col("_p")[i] for i in range(k)}).drop("_x", "_p")
 
 

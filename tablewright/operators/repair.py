@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -118,7 +119,7 @@ def repair_categories(
 ) -> DataFrame:
     """Map rare values to the closest vocabulary value within ``max_dist`` edits.
 
-    The vocabulary is given, or is the values with at least ``min_share`` of the rows. Ties
+    The vocabulary is given (its words need not occur), or is the values with at least ``min_share`` of the rows. Ties
     go to the more frequent value, then to the alphabetically first. A value that only
     differs by look-alike characters counts as distance 0. The work is done on distinct
     values, and candidates come from an equi-join on deletion variants.
@@ -129,8 +130,17 @@ def repair_categories(
     else:
         total = counts.agg(F.sum("n").alias("t")).scalar()
         good = F.col("n") >= F.lit(min_share) * total
-    frequent = counts.where(good).select(F.col("value").alias("target"), F.col("n").alias("target_n"))
-    plain = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LOOKALIKES.items(), F.col("value"))
+    if vocab is not None:
+        listed = df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(vocab)], "target string")
+        seen = counts.select(F.col("value").alias("target"), "n")
+        frequent = listed.join(seen, "target", "left").select("target", F.coalesce("n", F.lit(0)).alias("target_n"))
+    else:
+        frequent = counts.where(good).select(F.col("value").alias("target"), F.col("n").alias("target_n"))
+    plain = F.col("value")
+    for look, letter in LOOKALIKES.items():
+        # a look-alike between capitals stands for a capital
+        capital = F.regexp_replace(plain, f"(?<=[A-Z]){re.escape(look)}(?![a-z])|{re.escape(look)}(?=[A-Z])", letter.upper())
+        plain = F.replace(capital, F.lit(look), F.lit(letter))
     rare = counts.where(~good).select("value", plain.alias("plain"))
     forms = rare.select("value", F.explode(F.array_distinct(F.array("value", "plain"))).alias("form"))
     pairs = close_pairs(forms.select("form").distinct(), "form", frequent.select("target"), "target", max_dist)

@@ -99,11 +99,15 @@ def stream_dedup(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) ->
 def session_progress(
     stream: DataFrame, session_col: str, ts: str, stage: str, gap: str, delay: str, status: str | None = None
 ) -> DataFrame:
-    """Per session of activity (closed by a gap): start, end, events, last stage and last status."""
+    """Per session of activity (closed by a gap): start, end, events, last stage and last status.
+
+    Of rows at the last instant that with the greatest stage, then status, counts as the last.
+    """
     timed = with_event_time(stream, ts, delay)
-    last = [F.max_by(q(stage), q(ts)).alias("last_stage")]
+    latest = F.struct(q(ts), q(stage), q(status)) if status else F.struct(q(ts), q(stage))
+    last = [F.max_by(q(stage), latest).alias("last_stage")]
     if status:
-        last.append(F.max_by(q(status), q(ts)).alias("last_status"))
+        last.append(F.max_by(q(status), latest).alias("last_status"))
     grouped = timed.groupBy(F.session_window(q(ts), gap).alias("w"), q(session_col))
     out = grouped.agg(F.count("*").alias("n_events"), *last)
     names = [c for c in out.columns if c not in ("w", session_col)]

@@ -22,11 +22,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture()
-def large(spark):
-    """Run a test on the plans meant for large inputs, whatever the size."""
-    spark.conf.set("spark.tablewright.smallInputBytes", "-1")
-    yield
-    spark.conf.unset("spark.tablewright.smallInputBytes")

@@ -1,8 +1,9 @@
 import random
 
-import duckdb
+import pandas as pd
 import pytest
 
+from tablewright.functions import quantiles
 from tablewright.functions.quantiles import quantile_table
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
@@ -18,9 +19,7 @@ def _rows(n):
 
 
 @pytest.mark.parametrize("n", [1, 2, 500])
-def test_narrowing_equals_sorting(spark, large, n):
-    import pandas as pd
-
+def test_narrowing_equals_sorting(spark, n):
     rows = _rows(n)
     df = spark.createDataFrame(rows, "g int, x double, y double")
     got = quantile_table(df, {"x": PROBS, "y": [0.5]}).first()
@@ -33,12 +32,21 @@ def test_narrowing_equals_sorting(spark, large, n):
     assert got["y"] == [pdf["y"].quantile(0.5)]
 
 
-def test_groups_and_small_plan_agree(spark, large):
-    df = spark.createDataFrame(_rows(600), "g int, x double, y double")
-    big = {r["g"]: r for r in quantile_table(df, {"x": PROBS, "y": PROBS}, "g").collect()}
-    spark.conf.set("spark.tablewright.smallInputBytes", str(1 << 30))
-    small = {r["g"]: r for r in quantile_table(df, {"x": PROBS, "y": PROBS}, "g").collect()}
-    assert big.keys() == small.keys()
-    for g in small:
-        assert big[g]["x"] == pytest.approx(small[g]["x"], rel=1e-12)
-        assert big[g]["y"] == pytest.approx(small[g]["y"], rel=1e-12)
+def test_groups_equal_sorting(spark):
+    rows = _rows(600)
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    got = {r["g"]: r for r in quantile_table(df, {"x": PROBS, "y": PROBS}, "g").collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "x", "y"])
+    for g, own in pdf.groupby("g", dropna=False):
+        r = got[None if pd.isna(g) else int(g)]
+        assert r["x"] == pytest.approx(own["x"].quantile(PROBS).tolist(), rel=1e-12)
+        assert r["y"] == pytest.approx(own["y"].quantile(PROBS).tolist(), rel=1e-12)
+
+
+def test_narrowing_repeats_until_few_rows_are_left(spark, monkeypatch):
+    """A far value inside the logarithmic bin leaves the others in one slice of the next pass."""
+    monkeypatch.setattr(quantiles, "_MOST_RANKED", 50)
+    values = [1000.0 + i * 1e-9 for i in range(700)] + [1003.0] + [1000.0] * 100
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = quantile_table(df, {"x": PROBS}).first()["x"]
+    assert got == pytest.approx(pd.Series(values).quantile(PROBS).tolist(), rel=1e-14)

@@ -1,19 +1,10 @@
-from tablewright.functions.scale import is_small
+from tablewright.functions.scale import checkpointed, shared_folder
 
 
-def test_small_means_few_bytes_and_few_rows(spark, tmp_path):
-    # A constant column takes next to no space, however many rows there are.
-    path = str(tmp_path / "flat")
-    spark.range(2_000_000).selectExpr("1.5D as v").coalesce(1).write.parquet(path)
-    flat = spark.read.parquet(path)
-    assert is_small(flat)
-    spark.conf.set("spark.tablewright.smallInputRows", "1000000")
-    try:
-        assert not is_small(flat)
-    finally:
-        spark.conf.unset("spark.tablewright.smallInputRows")
-    spark.conf.set("spark.tablewright.smallInputBytes", "-1")
-    try:
-        assert not is_small(flat.limit(1))
-    finally:
-        spark.conf.unset("spark.tablewright.smallInputBytes")
+def test_checkpoints_go_to_the_session_s_folder(spark):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark)
+    assert folder == spark.conf.get("spark.checkpoint.dir") and before in (None, folder)
+    kept = checkpointed(spark.range(10).selectExpr("id * 2 as x"))
+    assert "Scan ExistingRDD" in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.x for r in kept.collect()) == list(range(0, 20, 2))
