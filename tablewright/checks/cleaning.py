@@ -492,6 +492,17 @@ def _(spark, sf):
     return E.delayed_duplicates(read(spark, sf, "events"), ["user_id", "event_type"], "ts", 7, ["event_id"]).select("event_id", "previous_ts")
 
 
+@check("near_duplicates", r"""with recursive w as (select doc_id, string_split_regex(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')), ' ') as w from documents where doc_id is not null),
+ s as (select doc_id, unnest(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: hash(array_to_string(w[i:i + 4], ' '))))) as s from w where w <> ['']),
+ n as (select doc_id, count(*) as n from s group by 1),
+ o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+ e as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where o >= 0.75 * (x.n + y.n - o)),
+ r as (select a as node, a as seen from e union select r.node, e.b from r join e on e.a = r.seen)
+ select node as id, min(seen) as cluster from r group by node""")
+def _(spark, sf):
+    return E.near_duplicates(read(spark, sf, "documents"), "doc_id", "text")
+
+
 @check("dedup_audit", """with k as (select *, first_value(event_id) over w as survivor_id, first_value(ts) over w as sts from events
  window w as (partition by user_id, event_type order by ts desc, event_id desc))
 select user_id, event_type, event_id as dropped_id, survivor_id, case when ts < sts then 'older version' else 'same instant, smaller id' end as reason

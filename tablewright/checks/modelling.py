@@ -8,7 +8,7 @@ from ..operators import anomalies as N
 from ..operators import corrupt as M
 from ..operators import reduce as K
 from . import check, read
-from .profiles import holed, rounded, union
+from .profiles import HOLED, holed, rounded, union
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -63,6 +63,12 @@ def _(spark, sf):
     return K.pca(read(spark, sf, "embeddings"), "embedding", 4).select("vec_id", "pc1", "pc2", "pc3", "pc4")
 
 
+@check("pca_keeps_rows", f"select count(*) as n_rows, count(value) as n_known from {HOLED}")
+def _(spark, sf):
+    out = K.pca(holed(spark, sf), ["value", "user_id"], 1)
+    return out.agg(F.count("*").alias("n_rows"), F.count("pc1").alias("n_known"))
+
+
 @check("incremental_pca")
 def _(spark, sf):
     vectors = read(spark, sf, "embeddings")
@@ -139,6 +145,12 @@ def _(spark, sf):
     return M.corrupt_missing(read(spark, sf, "events"), E, ["value"], exact=True).select(E, "value")
 
 
+@check("corrupt_missing_exact_shared_keys", f"""with u as (select l_orderkey, l_linenumber, l_tax, {_u('l_orderkey', 'missing:l_tax')} as u from lineitem)
+select l_orderkey, l_linenumber, case when u <= (select max(u) from (select u from u order by u limit (select floor(count(*) * 0.1)::int from lineitem))) then null else l_tax end as l_tax from u""")
+def _(spark, sf):
+    return M.corrupt_missing(read(spark, sf, "lineitem"), "l_orderkey", ["l_tax"], exact=True).select("l_orderkey", "l_linenumber", "l_tax")
+
+
 @check("corrupt_missing_mar", f"""select event_id, case when {_u(E, 'missing:value')} < 0.2 and user_id > (select quantile_cont(user_id, 0.5) from events) then null else value end as value from events""")
 def _(spark, sf):
     return M.corrupt_missing(read(spark, sf, "events"), E, ["value"], pattern="mar", reference="user_id").select(E, "value")

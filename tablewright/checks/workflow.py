@@ -270,6 +270,17 @@ def event_stream(spark, sf):
     return S.read_stream(spark, sf, "events.parquet")
 
 
+def batched_events(spark, sf, n=3):
+    """All events as a stream of ``n`` batches, each later than the one before."""
+    events = read(spark, sf, "events")
+    ends = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / n for i in range(1, n)], 100).alias("e")).first()["e"]
+    part = sum((F.unix_micros(F.col("ts").cast("timestamp")) > end).cast("int") for end in ends)
+    folder = scratch(spark, "events")
+    for i in range(n):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return S.read_stream(spark, folder, files_per_batch=1)
+
+
 _STAGES = Q.DEFAULT_STAGES
 _EVENTS = union([f"select 'Processing {i + 1} / 4 stage: {s}' as content, event_id::varchar as \"sessionId\", 200 as \"statusCode\", '{s}' as stage, {i}::int as pos from events" for i, s in enumerate(_STAGES)]
                 + ["select '[END]', event_id::varchar, 200, '[END]', 4 from events"])
@@ -297,13 +308,13 @@ _WINDOWS = """select time_bucket(interval 1 day, ts)::timestamp as window_start,
  round(avg(value), 4) as value_mean, min(value) as value_min, max(value) as value_max from events"""
 
 
-@check("stream_profile", f"""{_WINDOWS} where time_bucket(interval 1 day, ts) + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2""")
+@check("stream_profile", f"{_WINDOWS} group by 1, 2")
 def _(spark, sf):
-    out = Q.stream_profile(event_stream(spark, sf), "ts", ["value"], "1 hour", "1 day", by="event_type")
+    out = Q.stream_profile(batched_events(spark, sf), "ts", ["value"], "1 hour", "1 day", by="event_type")
     path = scratch(spark, "windows")
-    S.append_to_table(out, path, scratch(spark, "checkpoint"))
-    got = spark.read.parquet(path).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).drop("window_end")
-    return rounded(got, 4, "value_mean")
+    S.update_table(out, path, scratch(spark, "checkpoint"))
+    got = S.latest_rows(spark, path, ["window_start", "event_type"])
+    return rounded(got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).drop("window_end"), 4, "value_mean")
 
 
 @check("batch_profile_windows", f"{_WINDOWS} group by 1, 2")
@@ -322,15 +333,19 @@ def _(spark, sf):
 
 _SESSIONS = """(with s as (select *, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 6 hours then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)),
  n as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as no from s)
-select user_id, min(ts)::timestamp as session_start, (max(ts) + interval 6 hours)::timestamp as session_end, count(*) as n_events, arg_max(event_type, ts) as last_stage from n group by user_id, no)"""
+select user_id, min(ts)::timestamp as session_start, (max(ts) + interval 6 hours)::timestamp as session_end, count(*) as n_events, arg_max(event_type, (ts, event_type)) as last_stage from n group by user_id, no)"""
 
 
-@check("session_progress", f"select * from {_SESSIONS} where session_end <= (select max(ts) - interval 1 hour from events)")
+@check("session_progress", f"select * from {_SESSIONS}")
 def _(spark, sf):
-    out = Q.session_progress(event_stream(spark, sf), "user_id", "ts", "event_type", "6 hours", "1 hour")
+    out = Q.session_progress(batched_events(spark, sf), "user_id", "ts", "event_type", "6 hours", "1 hour")
     path = scratch(spark, "sessions")
     S.append_to_table(out, path, scratch(spark, "checkpoint"))
-    got = spark.read.parquet(path)
+    closed = spark.read.parquet(path)
+    # sessions that are still open: from the rows after each user's last closed one
+    ends = closed.groupBy("user_id").agg(F.max("session_end").alias("_end"))
+    rest = read(spark, sf, "events").join(ends, "user_id", "left").where(F.col("_end").isNull() | (F.col("ts").cast("timestamp") >= F.col("_end")))
+    got = closed.unionByName(Q.session_progress(rest.drop("_end"), "user_id", "ts", "event_type", "6 hours", "1 hour"))
     return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +49,47 @@ def close_pairs(
     candidates = met.select(*on, left_col, right_col).distinct()
     distance = F.levenshtein(q(left_col), q(right_col), max_dist)
     return candidates.withColumn("distance", distance).where(F.col("distance") >= 0)
+
+
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the runs of ``words`` words of a text in lower case; a shorter text is one run."""
+    found = (text or "").lower().split()
+    runs = [" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(r) for r in runs), np.uint64, len(runs)))
+
+
+def shingle_sets(words: int):
+    """A column function: the distinct word runs of a text, hashed, as an array of long."""
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _shingle_hashes(t, words).view(np.int64), na_action=None)
+
+    return run
+
+
+def minhash_bands(words: int, bands: int, rows: int, seed: int = 42):
+    """A column function: one key for each band of ``rows`` minima over the word runs of a text; none without words.
+
+    Two texts agree in a band with probability similarity ** rows.
+    """
+    rng = np.random.default_rng(seed)
+    odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    plus = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+
+    def keys(text: str | None) -> np.ndarray:
+        own = _shingle_hashes(text, words)
+        if not len(own):
+            return np.empty(0, np.int64)
+        least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+        for start in range(0, len(own), 4096):
+            mixed = own[start : start + 4096, None] * odd + plus
+            mixed ^= mixed >> np.uint64(31)
+            least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+        return np.array([xxhash.xxh3_64_intdigest(b.tobytes()) for b in least.reshape(bands, rows)], np.uint64).view(np.int64)
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(keys, na_action=None)
+
+    return run

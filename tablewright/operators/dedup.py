@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.common import as_list, is_missing, join_on, q
 from ..functions.ordered import row_frame, sort_columns
-from ..functions.text import close_pairs
+from ..functions.scale import checkpointed
+from ..functions.text import close_pairs, minhash_bands, shingle_sets
 from .graph import connected_components
 
 
@@ -136,6 +137,35 @@ def duplicate_clusters(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> Da
     )
 
 
+def near_duplicates(
+    df: DataFrame, id_col: str, text_col: str, similarity: float = 0.75, words: int = 5, bands: int = 32, rows: int = 3
+) -> DataFrame:
+    """``(id, cluster)``: every text with a near copy, and the smallest id of its cluster.
+
+    Near copies have word runs with a Jaccard ``similarity`` of at least that. Whole texts make MinHash
+    bands; with 32 bands of 3 rows a pair at 0.75 is missed once in 10 million. Texts of a band are
+    compared, over all their runs, with the band's smallest id, so a band of any size costs a row for each
+    of its texts. Texts with equal runs count as one beforehand. Texts without words, and rows without an
+    id, are near nothing.
+    """
+    docs = df.select(q(id_col).alias("id"), q(text_col).alias("text")).where("id is not null")
+    signed = checkpointed(docs.select("id", minhash_bands(words, bands, rows)("text").alias("bands")).where(F.size("bands") > 0))
+    # equal sets have equal bands; of those with equal bands, all but the first are checked against it only
+    alike = signed.groupBy("bands").agg(F.min("id").alias("first"))
+    copies = signed.join(alike, "bands").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    posted = signed.join(alike.select(F.col("first").alias("id")), "id", "left_semi").select("id", F.posexplode("bands").alias("band", "key"))
+    heads = posted.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = posted.join(heads, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = checkpointed(copies.union(met))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    runs = docs.join(wanted, "id", "left_semi").select("id", shingle_sets(words)("text").alias("runs"))
+    sets = checkpointed(runs)
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("runs").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    near = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared))
+    return duplicate_clusters(near.select("a", "b"), "a", "b")
+
+
 def dedup_audit(df: DataFrame, keys: Sequence[str], id_col: str, ts: str) -> DataFrame:
     """Every row that keeping the latest version would drop: its id, the survivor and the reason."""
     keys = as_list(keys)

@@ -51,10 +51,13 @@ def array_udf(change):
     return run
 
 
+_MOMENTS = "n long, mean array<double>, left array<double>, m2 array<double>"
+
+
 def moments(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
-    """``(part, n, mean, m2)``: per task the row count, means and centred sums of products of its rows.
+    """``(n, mean, left, m2)``: per task the row count, means and centred sums of products of its rows.
 
-    ``m2`` is the square matrix row by row. Only these rows are shuffled. Parts of several tables can be
+    The mean is ``mean + left``, in two numbers to keep the digits of large ones. ``m2`` is the square matrix row by row. Only these rows are shuffled. Parts of several tables can be
     put together with ``unionByName``; :func:`merged_moments` adds them up without loss of digits.
     """
 
@@ -64,45 +67,46 @@ def moments(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
             if len(batch) == 0:
                 continue
             x = np.stack(batch["_x"].to_numpy()).astype(float)
-            mean = x.mean(axis=0)
-            own = len(x), mean, (x - mean).T @ (x - mean)
+            apart = x - x.mean(axis=0)  # the mean of large numbers is not exact, so what it leaves is centred again
+            left = apart.mean(axis=0)
+            own = len(x), x.mean(axis=0), left, (apart - left).T @ (apart - left)
             total = own if total is None else _merged(total, own)
         if total is not None:
-            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "m2": [total[2].ravel()]})
+            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "left": [total[2]], "m2": [total[3].ravel()]})
 
-    return _complete(df, features).select("_x").mapInPandas(fold, "n long, mean array<double>, m2 array<double>")
+    return _complete(df, features).select("_x").mapInPandas(fold, _MOMENTS)
 
 
 def _merged(a: tuple, b: tuple) -> tuple:
     """Count, means and centred products of two sets of rows together (Chan, Golub and LeVeque)."""
-    n, apart = a[0] + b[0], b[1] - a[1]
-    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+    n, apart = a[0] + b[0], (b[1] - a[1]) + (b[2] - a[2])
+    return n, a[1], a[2] + apart * (b[0] / n), a[3] + b[3] + np.outer(apart, apart) * (a[0] * b[0] / n)
 
 
 def merge_moments(parts: DataFrame) -> DataFrame:
     """One row for all parts, merged pairwise on the executors."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(n), np.asarray(m), np.asarray(c).reshape(len(m), -1)) for n, m, c in zip(pdf["n"], pdf["mean"], pdf["m2"], strict=True)]
+        parts = zip(pdf["n"], pdf["mean"], pdf["left"], pdf["m2"], strict=True)
+        rows = [(int(n), np.asarray(m), np.asarray(x), np.asarray(c).reshape(len(m), -1)) for n, m, x, c in parts]
         rows.sort(key=lambda r: (r[0], *r[1]))
         while len(rows) > 1:
             rows = [_merged(*rows[i : i + 2]) if i + 1 < len(rows) else rows[i] for i in range(0, len(rows), 2)]
-        n, mean, m2 = rows[0]
-        return pd.DataFrame({"n": [n], "mean": [mean], "m2": [m2.ravel()]})
+        n, mean, left, m2 = rows[0]
+        return pd.DataFrame({"n": [n], "mean": [mean], "left": [left], "m2": [m2.ravel()]})
 
-    schema = "n long, mean array<double>, m2 array<double>"
     some = parts.withColumn("_g", F.pmod(F.xxhash64("n", "mean"), F.lit(64)))
-    few = some.groupBy("_g").applyInPandas(lambda pdf: fold(pdf.drop(columns="_g")), schema)
-    return few.groupBy().applyInPandas(fold, schema)
+    few = some.groupBy("_g").applyInPandas(lambda pdf: fold(pdf.drop(columns="_g")), _MOMENTS)
+    return few.groupBy().applyInPandas(fold, _MOMENTS)
 
 
 def moment_sums(merged: DataFrame) -> DataFrame:
     """``(i, j, s)`` sums of products of features i <= j; index -1 is the constant 1."""
     d = F.size("mean")
     cells = merged.withColumn("i", F.explode(F.sequence(F.lit(-1), d - 1))).withColumn("j", F.explode(F.sequence("i", d - 1)))
-    at = lambda column, i: F.get(F.col(column), i)
-    ones = F.when(F.col("j") < 0, F.col("n").cast("double")).otherwise(F.col("n") * at("mean", F.col("j")))
-    products = at("m2", F.col("i") * d + F.col("j")) + F.col("n") * at("mean", F.col("i")) * at("mean", F.col("j"))
+    mean = lambda i: F.get("mean", F.col(i)) + F.get("left", F.col(i))
+    ones = F.when(F.col("j") < 0, F.col("n").cast("double")).otherwise(F.col("n") * mean("j"))
+    products = F.get("m2", F.col("i") * d + F.col("j")) + F.col("n") * mean("i") * mean("j")
     return cells.select("i", "j", F.when(F.col("i") < 0, ones).otherwise(products).alias("s"))
 
 
@@ -111,7 +115,7 @@ def _collected(parts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     row = merge_moments(parts).first()
     if row is None:
         raise ValueError("no row has all features")
-    mean = np.array(row["mean"])
+    mean = np.array(row["mean"]) + np.array(row["left"])
     return row["n"], mean, np.array(row["m2"]).reshape(len(mean), -1)
 
 

@@ -294,3 +294,60 @@ def test_streams_survive_a_restart(spark, tmp_path):
     first = Q.stream_dedup(_batches(spark, tmp_path / "d"), ["id"], "ts", "1 day")
     S.append_to_table(first, str(tmp_path / "dedup"), str(tmp_path / "cp2"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "dedup")).collect()) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_moments_keep_their_digits(spark):
+    """Features with a mean of 1e15 and a spread of a few units."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 3, (400, 2)).round()
+    df = spark.createDataFrame([(float(1e15 + a), float(1e15 + b)) for a, b in x], "a double, b double").repartition(6)
+    parts = [K.moments(df.where(c), ["a", "b"]) for c in ("a < 1e15", "a >= 1e15")]
+    row = K.merge_moments(parts[0].unionByName(parts[1])).first()
+    assert row["n"] == 400
+    assert np.allclose(np.array(row["m2"]).reshape(2, 2) / 399, np.cov(x.T), rtol=1e-9)
+    _, variances, _ = K.incremental_pca([df.where("b < 1e15"), df.where("b >= 1e15")], ["a", "b"], 2)
+    assert np.allclose(variances, np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1], rtol=1e-9)
+
+
+def test_projections_and_forests_keep_every_row(spark):
+    rows = [(i, float(i % 7), None if i % 5 == 0 else float(i * i % 11)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    for out, name in (
+        (K.pca(df, ["a", "b"], 1), "pc1"),
+        (K.truncated_svd(df, ["a", "b"], 1), "sv1"),
+        (K.kernel_pca(df, ["a", "b"], 1), "kpc1"),
+        (K.autoencoder_projection(df, ["a", "b"], 1, epochs=2), "ae1"),
+        (A.isolation_forest_detection(df, ["a", "b"], "id", trees=5), "anomaly_score"),
+    ):
+        got = out.select("id", "b", name).collect()
+        assert len(got) == 100 and all((r[name] is None) == (r["b"] is None) for r in got), name
+
+
+def test_exact_corruption_never_multiplies_rows(spark):
+    df = spark.createDataFrame([(i // 4, float(i)) for i in range(400)], "k long, v double")
+    out = M.corrupt_missing(df, "k", ["v"], rate=0.1, exact=True)
+    assert out.count() == 400 and out.where("v is null").count() == 40
+    assert M.corrupt_duplicates(df, "k", rate=0.1, exact=True).count() == 440
+    assert M.corrupt_missing(df, "k", ["v"], rate=0.0, exact=True).where("v is null").count() == 0
+
+
+def test_wrong_answers_of_nulls_ties_and_capitals(spark):
+    from tablewright.operators import features, policy, profile
+
+    words = spark.createDataFrame([("Expresso",), ("ESPR3SSO",), ("Latte",), (None,)], "w string")
+    assert {r[0] for r in R.repair_categories(words, "w", ["Espresso", "ESPRESSO", "Latte"], max_dist=1).collect()} == {"Espresso", "ESPRESSO", "Latte", None}
+    links = spark.createDataFrame([(1, "x"), (1, None), (2, "y")], "c int, p string")
+    assert features.hierarchy(links, [("c", "p")]).first()["is_hierarchy"]
+    days = spark.createDataFrame([(f"2024-01-{i:02d}" if i % 5 else None,) for i in range(1, 21)], "d string")
+    assert "nominal" not in str(profile.classify_columns(days).first().asDict().values())
+    log = spark.createDataFrame([("p", {"a": 0.0, "b": 0.0})], "field_pattern string, space map<string,double>")
+    assert policy.policy_table(log, ["a"]).first()["a"] is None
+    rows = spark.createDataFrame([("k", 1, 5), ("k", 1, 9), ("k", 2, None)], "k string, id int, t int")
+    assert {(r.dropped_id, r.reason) for r in E.dedup_audit(rows, ["k"], "id", "t").collect()} == {(1, "older version"), (2, "no instant")}
+
+
+def test_near_duplicates(spark):
+    text = [f"word{i}" for i in range(60)]
+    rows = [(1, " ".join(text)), (2, " ".join(text[:-3])), (3, " ".join(text).upper()), (4, "something else"), (5, None), (6, ""), (None, " ".join(text)), (7, "something  else"), (8, " ".join(text[:30]))]
+    got = E.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (7, 4)}
