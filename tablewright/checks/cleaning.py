@@ -52,7 +52,7 @@ def _(spark, sf):
 
 
 @check("html_links", """select page_id, (generate_subscripts(h, 1) - 1)::int as pos, unnest(h) as href
- from (select page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) as h from pages)""")
+ from (select page_id, list_transform(regexp_extract_all(html, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)', 1), lambda x: regexp_replace(x, '^["'']|["'']$', '', 'g')) as h from pages)""")
 def _(spark, sf):
     return A.html_links(read(spark, sf, "pages"), "html", "page_id")
 

@@ -37,7 +37,7 @@ def _trans(edges):
  m as materialized (select e.src, dst, cnt / s as p from e join t using (src) union all select n, n, 1.0 from nd where n not in (select src from t))"""
 
 
-@check("edges_from_lists", """select page_id::varchar as src, h as dst, count(*)::double as cnt from (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as h from pages) group by 1, 2""")
+@check("edges_from_lists", """select page_id::varchar as src, h as dst, count(*)::double as cnt from (select page_id, unnest(list_transform(regexp_extract_all(html, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)', 1), lambda x: regexp_replace(x, '^["'']|["'']$', '', 'g'))) as h from pages) group by 1, 2""")
 def _(spark, sf):
     links = html_links(read(spark, sf, "pages"), "html", "page_id")
     lists = links.groupBy(F.col("page_id").cast("string").alias("page")).agg(F.collect_list("href").alias("links"))

@@ -94,12 +94,12 @@ def tree_thresholds(df: DataFrame, col: str, target: str, depth: int = 2, classi
 
 
 def decision_tree_binning(
-    df: DataFrame, col: str, target: str, depth: int = 2, classify: bool = False, name: str | None = None
+    df: DataFrame, col: str, target: str, depth: int = 2, classify: bool = False, name: str | None = None, max_bins: int = 256
 ) -> DataFrame:
-    """Bins between the split points of a tree. As in the tree, a value equal to a split belongs below it."""
+    """Bins between the split points of a tree that tries ``max_bins`` candidates. As in the tree, a value equal to a split belongs below it."""
     x = _x(df, col)
     total = F.lit(0)
-    for t in tree_thresholds(df, col, target, depth, classify):
+    for t in tree_thresholds(df, col, target, depth, classify, max_bins):
         total = total + (x > t).cast("int")
     return df.withColumn(name or f"{col}_bin", F.when(x.isNotNull(), total))
 

@@ -21,9 +21,12 @@ def find_levels(df: DataFrame, col: str, most: int = _MOST_LEVELS) -> list:
     return sorted(r[0] for r in rows)
 
 
-def one_hot_encoding(df: DataFrame, col: str, levels: Sequence | None = None, drop: bool = False) -> DataFrame:
-    """One 0/1 column ``<col>_<level>`` per level. Without ``levels`` a query finds them first."""
-    levels = find_levels(df, col) if levels is None else list(levels)
+def one_hot_encoding(df: DataFrame, col: str, levels: Sequence | None = None, drop: bool = False, most_levels: int = _MOST_LEVELS) -> DataFrame:
+    """One 0/1 column ``<col>_<level>`` per level. Without ``levels`` a query finds them first.
+
+    More than ``most_levels`` of them are an error, as each becomes a column.
+    """
+    levels = find_levels(df, col, most_levels) if levels is None else list(levels)
     hot = {f"{col}_{v}": F.coalesce(q(col) == F.lit(v), F.lit(False)).cast("int") for v in levels}
     out = df.withColumns(hot)
     return out.drop(col) if drop else out

@@ -69,16 +69,19 @@ def resolve(step: Step) -> Callable[..., DataFrame]:
     return OPERATORS[step.action]
 
 
-def apply_plan(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    """Apply the steps in order. All of them are resolved before the first one runs."""
-    if len(steps) > MOST_STEPS:
-        raise ValueError(f"a plan has at most {MOST_STEPS} steps, not {len(steps)}")
+def apply_plan(df: DataFrame, steps: Sequence[Step], most_steps: int | None = MOST_STEPS) -> DataFrame:
+    """Apply the steps in order. All of them are resolved before the first one runs.
+
+    A plan of more than ``most_steps`` is an error; None allows any number.
+    """
+    if most_steps is not None and len(steps) > most_steps:
+        raise ValueError(f"a plan has at most {most_steps} steps, not {len(steps)}")
     for step, operator in [(s, resolve(s)) for s in steps]:
         df = operator(df, **step.params)
     return df
 
 
-def evaluate_plan(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, DataFrame]:
+def evaluate_plan(df: DataFrame, steps: Sequence[Step], most_steps: int | None = MOST_STEPS) -> tuple[DataFrame, DataFrame]:
     """The cleaned table, and the before/after report on it."""
-    cleaned = apply_plan(df, steps)
+    cleaned = apply_plan(df, steps, most_steps)
     return cleaned, degradation_report(df, cleaned)

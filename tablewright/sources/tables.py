@@ -70,8 +70,13 @@ def _cell_text(cell):
 
 
 def html_links(df: DataFrame, html_col: str, id_col: str) -> DataFrame:
-    """Every link target of an HTML text as rows ``(id, pos, href)``."""
-    hrefs = F.regexp_extract_all(q(html_col), F.lit(r'<a href="([^"]*)"'), F.lit(1))
+    """Every link target of an HTML text as rows ``(id, pos, href)``.
+
+    Tags and attributes in any case, other attributes before ``href``, both kinds of quotes or none.
+    """
+    pattern = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+    quoted = F.regexp_extract_all(q(html_col), F.lit(pattern), F.lit(1))
+    hrefs = F.transform(quoted, lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
     return df.select(q(id_col), F.posexplode(hrefs).alias("pos", "href"))
 
 
