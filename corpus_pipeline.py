@@ -29,17 +29,28 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _key(doc_id, digest):
-    return F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("-")), digest)
+def _without(docs: DataFrame, told: DataFrame, digest) -> DataFrame:
+    """``docs`` without the rows that ``told`` does not keep; rows are known by their identifier and a digest.
 
-
-def _only(docs: DataFrame, kept: DataFrame, digest) -> DataFrame:
-    """The rows of ``docs`` whose identifier and digest are in ``kept``; of rows with both the same, the longest text."""
-    key, place = _fresh(docs, "key"), _fresh(docs, "place")
-    keyed = docs.withColumn(key, _key(F.col("doc_id").cast("long"), digest))
-    some = keyed.join(kept.select(_key(F.col("doc_id"), F.col("text_sha256")).alias(key)), key, "left_semi")
+    The rows to drop, which are fewer than the rest, are written first: Spark then knows their size, and
+    sends them to all tasks if they are below its limit for broadcasts, or else deals both sides by key. Of
+    rows with the same identifier and digest, of which one stays, that is the longest text.
+    """
+    spark, key = docs.sparkSession, _fresh(docs, "key")
+    by = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text_sha256")]
+    keyed = told.select(F.xxhash64(*by).alias("a"), F.hash(*by).alias("b"), "kept")
+    folder = f"{shared_folder(spark)}/dropped-{uuid.uuid4().hex}"
+    counted = keyed.groupBy("a", "b").agg(F.count_if("kept").alias("kept"), F.count("*").alias("rows")).where("rows > kept")
+    counted.select("a", "b", (F.col("kept") > 0).alias("one")).write.parquet(folder)
+    dropped = spark.read.parquet(folder).select(F.struct("a", "b", "one").alias(key))
+    own = [F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), digest]
+    same = (F.xxhash64(*own) == F.col(f"{key}.a")) & (F.hash(*own) == F.col(f"{key}.b"))
+    marked = docs.join(dropped, same, "left").where(F.col(key).isNull() | F.col(f"{key}.one"))
+    # copies under one identifier: a few rows, as the others have no key
+    repeated, place = marked.where(F.col(key).isNotNull()), _fresh(docs, "place")
     first = Window.partitionBy(key).orderBy(F.length("text").desc_nulls_last(), F.col("text"))
-    return some.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
+    once = repeated.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return marked.where(F.col(key).isNull()).select(*docs.columns).union(once.select(*docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,16 +69,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with the same text but for white space one stays: the longest, then the smallest identifier."""
     ship(spark)
-    kept = exact.exact_duplicates(docs).where("kept")
+    told = exact.exact_duplicates(docs)
     same = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")
-    return _only(docs, kept, F.sha2(same, 256))
+    return _without(docs, told, F.sha2(same, 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingles of five words and a similarity of 0.75 that with the smallest identifier stays."""
     ship(spark)
-    kept = jaccard.jaccard_components(docs).where("kept")
-    return _only(docs, kept, F.sha2(F.coalesce("text", F.lit("")), 256))
+    told = jaccard.jaccard_components(docs)
+    return _without(docs, told, F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
