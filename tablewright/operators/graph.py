@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import q
+from ..functions.components import components
 from ..functions.ordered import row_frame
 from ..functions.scale import checkpointed
 
@@ -38,7 +39,8 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 def transition_matrix(edges: DataFrame) -> DataFrame:
     """``(src, dst, p)``: counts over their sum per source; a node without out-edges loops on itself."""
-    totals = edges.groupBy("src").agg(F.sum("cnt").alias("_t")).where(F.col("_t") != 0)
+    # written first, so that the join can split a source of very many edges
+    totals = checkpointed(edges.groupBy("src").agg(F.sum("cnt").alias("_t")).where(F.col("_t") != 0))
     moves = edges.where(F.col("cnt") != 0).join(totals, "src").select("src", "dst", (F.col("cnt") / F.col("_t")).alias("p"))
     dangling = nodes_of(edges).join(totals, F.col("node") == totals["src"], "left_anti")
     loops = dangling.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("p"))
@@ -163,24 +165,8 @@ def unseen_sources(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``(node, component)``: the smallest node each one is connected to.
+    """``(node, component)``: the smallest node each one is connected to; a node linked to itself alone is its own."""
+    found = components(edges.select("src", "dst"))
+    alone = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.select("node", F.col("node").alias("component")))
 
-    Every round passes the smallest label across edges and then jumps to the label's own
-    label, so chains shrink by half. Each round is checkpointed and tested once.
-    """
-    both = edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
-    links = checkpointed(both.select("e.src", "e.dst").distinct())
-    labels = checkpointed(
-        links.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"))
-    )
-    while True:
-        sent = links.join(labels, links["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m"))
-        lower = labels.join(sent, labels["node"] == sent["src"]).select(
-            "node", F.col("component").alias("old"), F.least("component", "m").alias("component")
-        )
-        hop = lower.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        jumped = lower.join(hop, "component").select("node", "old", F.least("component", "far").alias("component"))
-        saved = checkpointed(jumped)
-        labels = saved.select("node", "component")
-        if saved.where(F.col("old") != F.col("component")).isEmpty():
-            return labels

@@ -26,6 +26,7 @@ from ..functions.common import (
     with_stats,
 )
 from ..functions.quantiles import quantile_table
+from ..functions.scale import checkpointed
 
 # Codes of the physical type families, in fingerprint order.
 FAMILY_CODES = {
@@ -444,19 +445,39 @@ def missingness_correlation(df: DataFrame, cols: Sequence[str], against: Sequenc
 
 
 def candidate_keys(df: DataFrame, cols: Sequence[str] | None = None, max_arity: int = 2) -> DataFrame:
-    """For columns and column pairs: distinct values, rows with a null, and whether they form a key."""
+    """For columns and column pairs: distinct values, rows with a null, and whether they form a key.
+
+    Single columns are counted first. A set that holds a column without repeated values has as many values
+    as rows without a null, so all such sets share one scan; only the others are grouped.
+    """
     cols = list(cols or df.columns)
-    parts = []
-    for combo in [c for k in range(1, max_arity + 1) for c in combinations(cols, k)]:
-        groups = df.groupBy(*combo).agg(F.count("*").alias("n"))
-        null = _any([is_missing(df, c) for c in combo])
-        parts.append(
-            groups.agg(
-                F.count(F.when(~null, 1)).alias("distinct_values"),
-                F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("rows_with_null"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-            ).withColumn("columns", F.lit(",".join(combo)))
-        )
+    null_of = lambda combo: _any([is_missing(df, c) for c in combo])
+
+    def grouped(combo: Sequence[str]) -> DataFrame:
+        null = null_of(combo)
+        return df.groupBy(*combo).agg(F.count("*").alias("n")).agg(
+            F.count(F.when(~null, 1)).alias("distinct_values"),
+            F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("rows_with_null"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        ).withColumn("columns", F.lit(",".join(combo)))
+
+    singles = checkpointed(reduce(DataFrame.unionByName, [grouped([c]) for c in cols]))
+    unique = {r["columns"] for r in singles.where(F.col("distinct_values") + F.col("rows_with_null") == F.col("n_rows")).collect()}
+    more = [c for k in range(2, max_arity + 1) for c in combinations(cols, k)]
+    parts = [singles, *(grouped(c) for c in more if not unique & set(c))]
+    known = [c for c in more if unique & set(c)]
+    if known:
+        row = df.agg(F.count("*").alias("n_rows"), *[F.count(F.when(null_of(c), 1)).alias(f"null{i}") for i, c in enumerate(known)])
+        structs = [
+            F.struct(
+                (F.col("n_rows") - F.col(f"null{i}")).alias("distinct_values"),
+                F.col(f"null{i}").alias("rows_with_null"),
+                "n_rows",
+                F.lit(",".join(c)).alias("columns"),
+            )
+            for i, c in enumerate(known)
+        ]
+        parts.append(_rows_from(row, structs))
     out = reduce(DataFrame.unionByName, parts)
     is_key = (F.col("rows_with_null") == 0) & (F.col("distinct_values") == F.col("n_rows"))
     return out.withColumn("is_key", is_key)
