@@ -7,12 +7,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import id_and_text, task_id, texts
+from .batches import id_and_text, slices, task_id, texts
 
 WINDOW = 4096
 
@@ -20,7 +21,10 @@ WINDOW = 4096
 OPEN_WINDOWS = 1024
 
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+
+#: Characters of text that are split before their new words are looked up together.
+TOGETHER = 1 << 20
 
 #: Characters up to this one are split here; texts with others go to the library whole.
 _LAST = 0x24F
@@ -33,6 +37,7 @@ def _class(kind: str) -> str:
 _L, _N, _S = _class("L"), _class("N"), "\t-\r \x85\xa0"
 #: The vocabulary's own split of a lower-case text into words, for characters up to ``_LAST``.
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _OTHER = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
 
 
@@ -55,25 +60,40 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
+    def _words(self, text: str) -> list[str] | None:
+        """The words of a text, None if only the library can tell."""
         low = text.lower()
-        if not low.isascii() and (_OTHER.search(low) or _OTHER.search(text)):
-            return self._whole(text)
-        words = _SPLIT.findall(low)
-        found = list(map(self.new.get, words))
-        if None in found:
-            unknown = []
-            for w in {w for w, x in zip(words, found, strict=True) if x is None}:
-                if (x := self.old.get(w)) is None:
-                    unknown.append(w)
-                else:
-                    self.new[w] = x
-            for w, x in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-                self.new[w] = np.asarray(x.ids, "<u4").tobytes()
-            found = list(map(self.new.__getitem__, words))
+        if low.isascii():
+            return _SPLIT_ASCII.findall(low)
+        return None if _OTHER.search(low) or _OTHER.search(text) else _SPLIT.findall(low)
+
+    def _learn(self, words: set[str]) -> None:
+        unknown, merges = [], self.library.model.tokenize
+        for w in words - self.new.keys():
+            if (x := self.old.get(w)) is not None:
+                self.new[w] = x
+            elif w.isascii() and w.isprintable():  # the merges see such words as they are
+                ids = [t.id for t in merges(w)]
+                self.new[w] = pack(f"<{len(ids)}I", *ids)
+            else:
+                unknown.append(w)
+        for w, x in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            self.new[w] = pack(f"<{len(x.ids)}I", *x.ids)
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; texts are taken together until they come to ``TOGETHER`` characters."""
+        start, size = 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text)
+            if size < TOGETHER and end < len(texts):
+                continue
+            split = [self._words(t) for t in texts[start:end]]
+            self._learn(set().union(*(w for w in split if w)))
+            for own, words in zip(texts[start:end], split, strict=True):
+                yield self._whole(own) if words is None else b"".join(map(self.new.__getitem__, words))
             if len(self.new) > REMEMBERED:
                 self.new, self.old = {}, self.new
-        return b"".join(found)
+            start, size = end, 0
 
 
 @lru_cache(maxsize=2)
@@ -195,9 +215,9 @@ def packed(
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
                 rows.clear()
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-                ids = words.ids(text) + end
+        for batch in slices(batches):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.ids(texts(batch.column("text"))), strict=True):
+                ids += end
                 n, at = len(ids) // 4, 0
                 while n - at >= size:
                     emit([(doc_id, at, ids[4 * at : 4 * (at + size)], n)])
@@ -212,7 +232,7 @@ def packed(
                             for piece in window:
                                 if full := bins.place(piece):
                                     emit(full)
-                if len(rows) > 4000:
+                if len(rows) > 1000:
                     yield from out()
         for window in bins.close():
             emit(window)
