@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.components import components
 from ..functions.scale import checkpointed
-from .batches import LOWER, id_and_text, raw, task_id
-from .components import components
+from .batches import LOWER, id_and_text, raw, slices, task_id
 
 N = 5
 
@@ -21,7 +21,7 @@ N = 5
 PERCENT = 75
 
 #: Shingles that a task gathers before it sends them off, and that a bucket is meant to get.
-BLOCK_SHINGLES, BUCKET_SHINGLES = 2 << 20, 1 << 20
+BLOCK_SHINGLES, BUCKET_SHINGLES = 1 << 20, 1 << 20
 
 #: Bits of a shingle's hash that go with it, besides those of its bucket.
 _REST = 40
@@ -68,15 +68,15 @@ def shingles(text: bytes, n: int = N) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _planes(rests: np.ndarray) -> bytes:
-    """Numbers of 40 bits, byte by byte."""
-    return np.ascontiguousarray(rests.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _REST // 8].T).tobytes()
+def _packed(rests: np.ndarray) -> bytes:
+    """Sorted numbers of 40 bits as their gaps: four bytes each, or eight in the rare case that a gap is wider."""
+    gaps = np.diff(rests, prepend=np.uint64(0))
+    wide = len(gaps) > 0 and int(gaps.max()) >= 1 << 32
+    return (b"\1" if wide else b"\0") + gaps.astype("<u8" if wide else "<u4").tobytes()
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    wide = np.zeros((len(planes) // (_REST // 8), 8), np.uint8)
-    wide[:, : _REST // 8] = np.frombuffer(planes, np.uint8).reshape(_REST // 8, -1).T
-    return wide.view("<u8").ravel()
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, "<u8" if packed[0] else "<u4", offset=1), dtype=np.uint64)
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -121,7 +121,7 @@ def _blocks(n_words: int, bits: int, block: int):
             for b in range(1 << bits):
                 if at[b] < at[b + 1] or also[b] < also[b + 1]:
                     mine = slice(at[b], at[b + 1])
-                    for k, v in zip(_BLOCK.names, (b, base, refs[mine].tobytes(), _planes(ones[mine] & mask), _planes(others[also[b] : also[b + 1]] & mask), None, None, None, None, None, None), strict=True):
+                    for k, v in zip(_BLOCK.names, (b, base, refs[mine].tobytes(), _packed(ones[mine] & mask), _packed(others[also[b] : also[b + 1]] & mask), None, None, None, None, None, None), strict=True):
                         out[k].append(v)
             docs.clear()
             sets.clear()
@@ -133,7 +133,7 @@ def _blocks(n_words: int, bits: int, block: int):
             docs.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), strict=True):
                 row = task + place
                 place += 1
@@ -248,7 +248,7 @@ def jaccard_components(
     """
     docs = id_and_text(df, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(9, (size // 7 // bucket_shingles).bit_length())
+    bits = max(7, (size // 7 // bucket_shingles).bit_length())
     sent = docs.mapInArrow(_blocks(n_words, bits, block_shingles), _BLOCK_DDL)
     told = sent.groupBy("bucket").applyInArrow(_shared(bits), _ROW_DDL)
     parts = [F.max(c).alias(c) for c in ("doc_id", "n", "same", "rep", "text_sha256")]
@@ -262,11 +262,11 @@ def jaccard_components(
     copies = copies.union(rows.where("row <> rep").select("row", "rep"))
     sets = left.join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
 
-    grams = sets.select("row", "n", F.explode("shared").alias("gram"))
+    grams = sets.select("row", F.explode("shared").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = grams.join(counts, "gram").groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
+    ranked = grams.join(counts, "gram").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
     sets = checkpointed(
-        ranked.select(
+        ranked.join(sets.select("row", "n"), "row").select(
             "row",
             "n",
             F.transform("ranked", lambda x: x.gram).alias("grams"),
@@ -296,7 +296,10 @@ def jaccard_components(
     links = first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
     found = components(links.union(copies))
     grouped = rows.join(found, F.col("row") == F.col("node"), "left")
-    grouped = grouped.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("group"), "text_sha256")
+    grouped = grouped.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("group"), F.col("component").isNotNull().alias("linked"), "text_sha256")
+    # the owners are written first, so that the join with them can split a group of very many rows
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("owner")
-    named = grouped.join(grouped.groupBy("group").agg(owner), "group")
+    owners = checkpointed(grouped.where("linked").groupBy("group").agg(owner))
+    alone = F.struct(F.lit(False).alias("none"), "doc_id", "row")
+    named = grouped.join(owners, "group", "left").withColumn("owner", F.coalesce("owner", alone))
     return named.select("doc_id", "n_shingles", F.col("owner.doc_id").alias("component_id"), (F.col("row") == F.col("owner.row")).alias("kept"), "text_sha256")

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from tablewright.llm.components import components
+from tablewright.functions.components import components
 from tablewright.llm.jaccard import jaccard_components
 
 from .conftest import pairs
