@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import checkpointed
-from .batches import LOWER, id_and_text, raw, task_id
+from .batches import LOWER, id_and_text, raw, slices, task_id
 
 #: Bytes of context.
-DEPTH = 4
+DEPTH = 5
 
 #: A context stands alone in the tree from this share of all training bytes; rarer ones share a leaf with
 #: their siblings. So each depth has at most 2**17 contexts, whatever the size of the corpus.
@@ -83,7 +83,7 @@ def _counted(depth: int):
             yield send(_TOKEN, list(map(token_key, tokens)), list(tokens.values()))
             tokens.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, held = [], 0
             for text in raw(batch.column("text")):
                 own = words_of(text)
@@ -129,10 +129,13 @@ def _bits(counts: np.ndarray) -> np.ndarray:
 
 def _estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the 255 decisions: ln of the Krichevsky-Trofimov probability of the counts, and that of a next 1."""
-    tree = _bits(counts)
-    zero, one = tree[:, 2:512:2], tree[:, 3:512:2]
-    block = log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - np.log(np.pi)
-    return block, (one + 0.5) / (zero + one + 1)
+    block, following = np.empty((len(counts), 255)), np.empty((len(counts), 255), np.float32)
+    for at in range(0, len(counts), 1024):  # small pieces keep the driver's memory small
+        tree = _bits(counts[at : at + 1024])
+        zero, one = tree[:, 2:512:2], tree[:, 3:512:2]
+        block[at : at + 1024] = log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - np.log(np.pi)
+        following[at : at + 1024] = (one + 0.5) / (zero + one + 1)
+    return block, following
 
 
 @dataclass(frozen=True)
@@ -180,16 +183,19 @@ def weighted(depths: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, coun
         _, table = levels[d]
         rest = table.copy()
         np.subtract.at(rest, parents[d + 1], levels[d + 1][1])
-        block, kt[d] = _estimates(table)
+        levels[d + 1] = levels[d + 1][0], None
         children, rest_kt[d] = _estimates(rest)
         np.add.at(children, parents[d + 1], below)
-        stop[d] = 1 / (1 + np.exp(np.clip(children - block, -700, 700)))
-        below = np.logaddexp(block, children) - np.log(2)
+        block, kt[d] = _estimates(table)
+        stop[d] = (1 / (1 + np.exp(np.clip(children - block, -700, 700)))).astype(np.float32)
+        below = np.logaddexp(block, children, out=children)
+        below -= np.log(2)
+    del below, children, block, rest
 
     bases = np.cumsum([0, *(len(levels[d][0]) for d in range(depth))])
     inner = int(bases[-1])
     step = np.empty((inner, 256), np.int32)
-    mixed = np.zeros((1, 255)), np.ones((1, 255))
+    mixed = np.zeros((1, 255), np.float32), np.ones((1, 255), np.float32)
     leaves = []
     for d in range(depth):
         n = len(levels[d][0])
@@ -206,10 +212,11 @@ def weighted(depths: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, coun
     leaves.append(last[0] + last[1] * kt[depth])
 
     one = np.concatenate(leaves)
-    logs = np.zeros((len(one), 1), np.float32)
-    for width in (1, 2, 4, 8, 16, 32, 64, 128):
-        now = one[:, width - 1 : 2 * width - 1]
-        logs = np.stack([logs + np.log10(1 - now), logs + np.log10(now)], axis=2).reshape(len(one), 2 * width).astype(np.float32)
+    del leaves, mixed, last
+    logs = np.zeros((len(one), 256), np.float32)
+    for width in (128, 64, 32, 16, 8, 4, 2, 1):  # the decisions of a byte, from the last bit to the first
+        now = np.log10(np.stack([1 - one[:, width - 1 : 2 * width - 1], one[:, width - 1 : 2 * width - 1]], axis=2)).reshape(len(one), 2 * width, 1)
+        logs.reshape(len(one), 2 * width, 128 // width)[...] += now
     return Tree(step, logs, depth)
 
 
@@ -298,7 +305,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 row += 1
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCORED, strict=True)], schema=_SCORED)
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, held = [], [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text")), strict=True):
                 ids.append(doc_id)
