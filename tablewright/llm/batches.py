@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,13 @@ def texts(column: pa.Array) -> list[str]:
     return [x.decode("utf-8", "replace") for x in raw(column)]
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that only few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def task_id() -> int:
     """The number of the partition that this task works on; equal when the task is run again."""
     return TaskContext.get().partitionId()

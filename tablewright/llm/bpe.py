@@ -12,7 +12,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .batches import replace_column, schema_with, texts
+from .batches import replace_column, schema_with, slices, texts
 
 #: Texts above this many characters are cut at safe boundaries before they are encoded.
 LONG_TEXT = 1 << 16
@@ -62,7 +62,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.asarray(encode_text(t, path, pattern, long_text), np.int32) for t in texts(batch.column(text_col))]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             flat = np.concatenate([*found, np.empty(0, np.int32)])
@@ -80,7 +80,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {i: b for b, i in ranks(path).items()}
-        for batch in batches:
+        for batch in slices(batches, 128):
             rows = [b"".join(map(token.__getitem__, x or ())) for x in batch.column(ids_col).to_pylist()]
             yield replace_column(batch, bytes_col, pa.array(rows, pa.binary()))
 

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import checkpointed
-from .batches import SPACE, id_and_text, raw, task_id
+from .batches import SPACE, id_and_text, raw, slices, task_id
 from .trie import RadixTrie
 
 #: Bytes of text and nodes that one trie may hold before its heaviest subtrees are spilled.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 24 << 20
 
 _LOCAL = pa.schema(
     [
@@ -85,7 +85,7 @@ def _local_owners(budget: int):
             if rows:
                 yield _batch(rows, _LOCAL)
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = raw(batch.column("text"))
             points = pc.utf8_length(batch.column("text").fill_null("")).to_pylist()
             rows = []
@@ -135,7 +135,7 @@ def _owners(budget: int):
             if rows:
                 yield _batch(rows, _OWNED)
 
-        for batch in batches:
+        for batch in slices(batches):
             for x in batch.to_pylist():
                 part = (x["n_bytes"], x["content_hash"])
                 if part != last and trie.bytes > budget:  # every text below this length and hash is complete

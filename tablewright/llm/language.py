@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import replace_column, schema_with
+from .batches import replace_column, schema_with, slices
 
 #: Labelled rows that the model is fitted on, as an expected number; the model's size depends on this alone.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 
 #: The longest character n-gram that stands in for an unseen word.
 LONGEST_GRAM = 4
@@ -78,7 +78,7 @@ def _counted(longest: int):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(sizes, pa.int32()), pa.array(grams, pa.string()), pa.array(out.values(), pa.int64())], schema=_COUNTS)
             words.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, words.values())) > 200_000:
@@ -164,7 +164,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", out_col: str =
             best = int(total.argmax())
             return own.languages[best], float(1 / np.exp((total - total[best]) / len(words)).sum())
 
-        for batch in batches:
+        for batch in slices(batches):
             told = [judge(t) for t in batch.column(text_col).to_pylist()]
             langs, values = zip(*told, strict=True) if told else ((), ())
             yield replace_column(batch, out_col, pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(values, pa.float64())], ["lang", "score"]))

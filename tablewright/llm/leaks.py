@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import replace_column, schema_with, texts
+from .batches import replace_column, schema_with, slices, texts
 from .bpe import encoding
 
 #: The kinds of spans, in the order in which spans of one start are listed.
@@ -85,7 +85,7 @@ def secret_spans(df: DataFrame, path: str, pattern: str, text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t, path, pattern, most_ratio)] for t in texts(batch.column(text_col))]
             yield replace_column(batch, spans_col, pa.array(rows, pa.list_(_SPAN)))
 
@@ -110,7 +110,7 @@ def redacted(df: DataFrame, path: str, pattern: str, text_col: str = "text", mar
     names, schema = df.columns, df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column(text_col).to_pylist()
             new = pa.array([None if t is None else clean(t) for t in old], batch.schema.field(text_col).type)
             yield pa.RecordBatch.from_arrays([new if n == text_col else batch.column(n) for n in names], names)

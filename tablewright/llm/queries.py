@@ -26,8 +26,13 @@ PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch. Spark's default of 10,000 whole texts takes too much memory beside the heap.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for an application, so that they need no copy of their own."""
+    """Prepare a session: batches of few rows, and this package sent to the executors once for an application."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -9,7 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import id_and_text, raw
+from .batches import id_and_text, raw, slices
 
 #: Marks the start of a word in the vocabulary.
 WORD_START = "▁"
@@ -106,7 +106,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, known = automaton(path).count, {}
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in raw(batch.column("text")):
                 words = text.split()
