@@ -18,9 +18,15 @@ from .batches import LOWER, id_and_text, raw, slices, task_id
 #: Bytes of context.
 DEPTH = 5
 
-#: A context stands alone in the tree from this share of all training bytes; rarer ones share a leaf with
-#: their siblings. So each depth has at most 2**17 contexts, whatever the size of the corpus.
-CONTEXT_SHARE = 2.0**-17
+#: The tree is cut here: nodes of contexts shorter than this are few and known to every task; a longer
+#: context's nodes are made, and asked, in the task that has all counts of its nearest bytes.
+SPLIT = 3
+
+#: Bytes that are scored from a broadcast, with their contexts, at most; the others are looked up by a join.
+FREQUENT_GRAMS = 1 << 20
+
+#: Rows of counts that a task turns into nodes at a time.
+CHUNK_ROWS = 1 << 18
 
 #: Tokens of at least this share of all training tokens go to the tasks in a broadcast: at most 2**20 tokens.
 TOKEN_SHARE = 2.0**-20
@@ -57,13 +63,17 @@ def _windows(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return joined, np.flatnonzero(own)
 
 
-def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte below the ``depth`` bytes before it, the nearest lowest, as one number, with its count."""
+def _keys(texts: list[bytes], depth: int) -> np.ndarray:
+    """Each byte below the ``depth`` bytes before it, the nearest lowest, as one number."""
     joined, places = _windows(texts, depth)
     keys = np.zeros(len(places), np.uint64)
     for i in range(depth, -1, -1):
         keys = (keys << np.uint64(8)) | joined[places - i]
-    return np.unique(keys, return_counts=True)
+    return keys
+
+
+def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(_keys(texts, depth), return_counts=True)
 
 
 def _counted(depth: int):
@@ -159,9 +169,136 @@ class Tree:
         return np.add.reduceat(each.astype(np.float64), np.cumsum([0, *map(len, texts[:-1])]))
 
 
+#: Of one decision of a byte and one depth, sorted by number: the nodes that have counts, their probability of a
+#: next 1, and the weight of stopping there. A node's number is its context, the nearest byte highest, and
+#: the bits of the byte so far.
+Nodes = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _split_keys(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts, the nearest byte highest, and bytes of keys."""
+    contexts = np.zeros(len(keys), np.int64)
+    for i in range(1, depth + 1):
+        contexts = contexts << 8 | (keys >> 8 * i & 255)
+    return contexts, keys & 255
+
+
+def _folded(ids: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The distinct ids, and the sums of their values."""
+    ids, at = np.unique(ids, return_inverse=True)
+    return [ids, *(np.bincount(at, v, len(ids)) for v in values)]
+
+
+def _climbed(j: int, state: list[np.ndarray | None], deepest: int, top: int) -> tuple[list[Nodes], list[np.ndarray | None]]:
+    """Nodes of decision ``j`` from depth ``deepest`` up to ``top``, the topmost first, and the state one depth higher.
+
+    A state is the numbers of nodes, their counts of 0 and 1, and the sum of ln of their children's weighted
+    probabilities, or None where nodes have no children.
+    """
+    found = []
+    for _ in range(deepest, top - 1, -1):
+        ids, zero, one, below = state
+        block = log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - np.log(np.pi)
+        stop = np.ones(len(ids)) if below is None else 1 / (1 + np.exp(np.clip(below - block, -700, 700)))
+        found.append((ids, (one + 0.5) / (zero + one + 1), stop))
+        both = block if below is None else np.logaddexp(block, below) - np.log(2)
+        state = _folded((ids >> 8 + j) << j | (ids & (1 << j) - 1), zero, one, both)
+    return found[::-1], state
+
+
+def _grown(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> list[tuple[list[Nodes], list]]:
+    """``_climbed`` from the counts of whole keys, for each of a byte's eight decisions."""
+    contexts, symbols = _split_keys(keys, depth)
+    found = []
+    for j in range(8):
+        ids, zero, one = _folded(contexts << j | symbols >> 8 - j, *(counts * ((symbols >> 7 - j & 1) == bit) for bit in (0, 1)))
+        found.append(_climbed(j, [ids, zero, one, None], depth, top))
+    return found
+
+
+def _logs(levels: list[list[Nodes]], keys: np.ndarray, depth: int) -> np.ndarray:
+    """log10 of the probability of each key's byte after its context; where no node is, a bit has 1/2."""
+    contexts, symbols = _split_keys(keys, depth)
+    logs = np.zeros(len(keys))
+    for j, nodes in enumerate(levels):
+        one, left = np.zeros(len(keys)), np.ones(len(keys))
+        for d, (ids, following, stop) in enumerate(nodes):
+            if not len(ids):
+                continue
+            wanted = (contexts >> 8 * (depth - d)) << j | symbols >> 8 - j
+            at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+            hit = ids[at] == wanted
+            share = left * np.where(hit, stop[at], 0.0)
+            one += share * following[at]
+            left -= share
+        one += left / 2
+        logs += np.log10(np.where(symbols >> 7 - j & 1, one, 1 - one))
+    return logs
+
+
+def _whole_chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray]]:
+    """``key, n, asked`` of batches sorted by ``at``, in pieces of some ``least`` rows that never part an ``at``."""
+    held, n, limit = [], 0, least
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < limit:
+            continue
+        table = pa.Table.from_batches(held)
+        at = table.column("at").to_numpy()
+        cut = int(np.searchsorted(at, at[-1]))
+        if cut:
+            yield [table.column(c).slice(0, cut).to_numpy() for c in ("key", "n", "asked")]
+        held = table.slice(cut).to_batches()
+        n -= cut
+        limit = max(least, 2 * n)
+    if n:
+        yield [pa.Table.from_batches(held).column(c).to_numpy() for c in ("key", "n", "asked")]
+
+
+def _dealt(rows: DataFrame, depth: int) -> DataFrame:
+    """``key, n, asked`` with all rows of the same ``SPLIT`` nearest bytes together."""
+    at = F.shiftright("key", 8).bitwiseAND((1 << 8 * min(SPLIT, depth)) - 1).alias("at")
+    return rows.select(at, "key", "n", "asked").repartition("at").sortWithinPartitions("at")
+
+
+_UP = pa.schema([("j", pa.int32()), ("id", pa.int64()), ("zero", pa.float64()), ("one", pa.float64()), ("below", pa.float64())])
+
+
+def _rolled_up(depth: int, chunk: int):
+    """What the nodes of a chunk add to the nodes one depth above the split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts, _ in _whole_chunks(batches, chunk):
+            for j, (_, state) in enumerate(_grown(keys, counts, depth, min(SPLIT, depth))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(state[0]), j, np.int32)), *map(pa.array, state)], schema=_UP)
+
+    return run
+
+
+_LOG = pa.schema([("key", pa.int64()), ("log", pa.float64())])
+
+
+def _asked(top, depth: int, chunk: int):
+    """The logs of the asked keys of a chunk, from its nodes and those above the split in the broadcast ``top``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts, asked in _whole_chunks(batches, chunk):
+            wanted = keys[asked]
+            if not len(wanted):
+                continue
+            seen = counts > 0
+            below = _grown(keys[seen], counts[seen], depth, min(SPLIT, depth))
+            logs = _logs([[*upper, *lower] for upper, (lower, _) in zip(top.value, below, strict=True)], wanted, depth)
+            yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(logs)], schema=_LOG)
+
+    return run
+
+
 def weighted(depths: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
-    """The weighted tree of the kept contexts, from (depth, context, byte, count) of each.
+    """The weighted tree of the kept contexts, from (depth, context, byte, count) of each, in one process.
 
+    For small tables; ``fit`` and ``score`` give what this gives when all contexts are kept.
     A node with children has one more child, a leaf for all contexts that were not kept. Going up, a node's
     weighted probability is half its own estimate and half the product of its children's; going down,
     that gives every leaf the mixture over all depths of its path.
@@ -222,20 +359,29 @@ def weighted(depths: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, coun
 
 @dataclass(frozen=True)
 class Model:
-    tree: Tree
+    depth: int
+    gram_counts: DataFrame
+    top: list[list[Nodes]]
+    frequent_grams: np.ndarray
+    frequent_logs: np.ndarray
     token_counts: DataFrame
     frequent: np.ndarray
     frequent_counts: np.ndarray
     tokens: int
     vocabulary: int
+    chunk_rows: int
 
 
-def fit(texts: DataFrame, text_col: str = "text", depth: int = DEPTH, context_share: float = CONTEXT_SHARE, token_share: float = TOKEN_SHARE) -> Model:
-    """Count all tokens and all byte contexts of the training texts.
+def fit(
+    texts: DataFrame, text_col: str = "text", depth: int = DEPTH, token_share: float = TOKEN_SHARE, frequent_grams: int = FREQUENT_GRAMS, chunk_rows: int = CHUNK_ROWS
+) -> Model:
+    """Count all tokens and all byte contexts of the training texts; every context seen once has its node.
 
     Tasks count their own texts; the sums of all of them stay a table in the shared checkpoint folder. The
-    driver gets the contexts that hold ``context_share`` of the bytes and the tokens that hold
-    ``token_share`` of the tokens, so at most 1 / share of them for each depth.
+    tree's nodes are made where all counts of the same three nearest bytes are, and rolled up to the nodes of
+    shorter contexts by a sum. The driver gets the nodes of contexts of at most two bytes, the
+    ``frequent_grams`` most frequent bytes with their contexts, and the tokens that hold ``token_share`` of the
+    tokens. What it gets only spares joins: no score depends on it.
     """
     sent = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counted(depth), "kind int, key long, n long")
     counts = checkpointed(sent.groupBy("kind", "key").agg(F.sum("n").alias("n")))
@@ -243,18 +389,30 @@ def fit(texts: DataFrame, text_col: str = "text", depth: int = DEPTH, context_sh
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = tokens.where(F.col("n") >= max(1.0, n * token_share)).orderBy("key").toArrow()
 
-    grams = counts.where(F.col("kind") == _BYTES)
-    levels = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.shiftright("key", 8).bitwiseAND((1 << 8 * d) - 1).alias("context")) for d in range(depth + 1))))
-    spread = grams.select(levels.alias("at"), F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "n")
-    table = spread.groupBy("at.depth", "at.context", "symbol").agg(F.sum("n").alias("n"))
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = table.groupBy("depth", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1.0, total * context_share)).drop("all")
-    rows = table.join(kept, ["depth", "context"]).toArrow()
-    tree = weighted(*(rows.column(c).to_numpy() for c in ("depth", "context", "symbol", "n")), depth)
-    return Model(tree, tokens, frequent.column("key").to_numpy(), frequent.column("n").to_numpy(), n, v)
+    grams = counts.where(F.col("kind") == _BYTES).select("key", "n")
+    split = min(SPLIT, depth)
+    rolled = _dealt(grams.withColumn("asked", F.lit(False)), depth).mapInArrow(_rolled_up(depth, chunk_rows), "j int, id long, zero double, one double, below double")
+    upper = rolled.groupBy("j", "id").agg(*(F.sum(c).alias(c) for c in ("zero", "one", "below"))).orderBy("j", "id").toArrow()
+    j, *state = (upper.column(c).to_numpy() for c in _UP.names)
+    top = [_climbed(i, [x[j == i] for x in state], split - 1, 0)[0] for i in range(8)]
+
+    # the least count from which at most frequent_grams keys are left, by bins of counts
+    sizes = grams.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count("*").alias("keys"), F.min("n").alias("least"))
+    least, taken = None, 0
+    for row in sorted(sizes.collect(), reverse=True):
+        taken += row.keys
+        if taken > frequent_grams:
+            break
+        least = row.least
+    asked = _dealt(grams.withColumn("asked", F.lit(False) if least is None else F.col("n") >= least), depth)
+    logs = asked.mapInArrow(_asked(texts.sparkSession.sparkContext.broadcast(top), depth, chunk_rows), "key long, log double").orderBy("key").toArrow()
+    return Model(
+        depth, grams, top, logs.column("key").to_numpy(), logs.column("log").to_numpy(),
+        tokens, frequent.column("key").to_numpy(), frequent.column("n").to_numpy(), n, v, chunk_rows,
+    )
 
 
-_SCORED_DDL = "row long, doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>"
+_SCORED_DDL = "row long, doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, grams array<long>"
 _SCORED = pa.schema([(n, {"long": pa.int64(), "double": pa.float64()}.get(t, pa.list_(pa.int64()))) for n, t in (x.split() for x in _SCORED_DDL.split(", "))])
 
 
@@ -266,14 +424,16 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     probability of the words, joined by single spaces, and the end, under the weighted context tree;
     ``bits_per_byte`` is its code length. One row for each row of ``df``.
 
-    Tree and frequent tokens come in a broadcast of bounded size; the other tokens are looked up in the
-    table of counts by a join. A null or empty text is its end alone. Without training texts every bit has
+    Frequent tokens and frequent bytes with their contexts come in a broadcast of bounded size; the other
+    tokens are looked up in the table of counts by a join, and the other bytes, each distinct one once, in
+    the nodes made again from the counts. A null or empty text is its end alone. Without training texts every bit has
     probability 1/2. An empty table gives no rows; other columns are not looked at.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.tree, model.frequent, np.log10(model.frequent_counts + 0.5)))
+    shared = df.sparkSession.sparkContext.broadcast((model.frequent_grams, model.frequent_logs, model.frequent, np.log10(model.frequent_counts + 0.5)))
+    depth = model.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, logs = shared.value
+        gram_keys, gram_logs, keys, logs = shared.value
         known: dict[bytes, float] = {}  # NaN: not in the broadcast
         row = task_id() << 40
         nan = float("nan")
@@ -287,11 +447,22 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             values = np.where(keys[at] == asked, logs[at], nan) if len(keys) else np.full(len(new), nan)
             known.update(zip(new, values.tolist(), strict=True))
 
+        def weigh(texts: list[bytes]) -> tuple[list[float], list[np.ndarray]]:
+            """Of each text: the sum of the logs that are here, and the keys of the bytes that are not."""
+            asked = _keys(texts, depth).astype(np.int64)
+            once, back = np.unique(asked, return_inverse=True)
+            at = np.minimum(np.searchsorted(gram_keys, once), max(0, len(gram_keys) - 1))
+            hit = gram_keys[at] == once if len(gram_keys) else np.zeros(len(once), bool)
+            each = np.where(hit, gram_logs[at], 0.0)[back] if len(gram_keys) else np.zeros(len(asked))
+            ends = np.cumsum([0, *map(len, texts)])
+            missed = np.flatnonzero(~hit[back])
+            return np.add.reduceat(each, ends[:-1]).tolist(), np.split(asked[missed], np.searchsorted(missed, ends[1:-1]))
+
         def told(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
             nonlocal row
             rows = []
-            scores = tree.scores([b" ".join(t[:-1]) + END for t in texts]).tolist()
-            for doc_id, words, own in zip(ids, texts, scores, strict=True):
+            scores, grams = weigh([b" ".join(t[:-1]) + END for t in texts])
+            for doc_id, words, own, unseen in zip(ids, texts, scores, grams, strict=True):
                 found = list(map(known.get, words))
                 if None in found:
                     look(set(words))
@@ -301,7 +472,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 n_rare = int(rare.sum())
                 names = [token_key(words[i]) for i in np.flatnonzero(rare)] if n_rare else []
                 n_bytes = sum(map(len, words[:-1])) + max(1, len(words) - 1)
-                rows.append((row, doc_id, len(words), len(words) - n_rare, float(values[~rare].sum()), own, n_bytes, names))
+                rows.append((row, doc_id, len(words), len(words) - n_rare, float(values[~rare].sum()), own, n_bytes, names, unseen))
                 row += 1
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCORED, strict=True)], schema=_SCORED)
 
@@ -320,13 +491,20 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     scored = checkpointed(id_and_text(df, id_col, text_col).mapInArrow(run, _SCORED_DDL))
     asked = scored.select("row", F.explode("rare").alias("key")).join(model.token_counts, "key", "left")
     rare = asked.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_base"), F.count("n").alias("rare_known"))
+    missed = scored.select("row", F.explode("grams").alias("key"))
+    once = missed.select("key", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")).distinct()
+    rows = _dealt(model.gram_counts.withColumn("asked", F.lit(False)).union(once), depth)
+    top = df.sparkSession.sparkContext.broadcast(model.top)
+    logs = rows.mapInArrow(_asked(top, depth, model.chunk_rows), "key long, log double")
+    told = missed.join(logs, "key").groupBy("row").agg(F.sum("log").alias("rare_score"))
     whole = float(np.log10(model.tokens + 0.5 * (model.vocabulary + 1)))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    total = F.col("score") + F.coalesce("rare_score", F.lit(0.0))
+    return scored.drop("rare", "grams").join(rare, "row", "left").join(told, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"),
-        "score",
-        (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        total.alias("score"),
+        (-total * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

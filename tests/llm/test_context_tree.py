@@ -106,6 +106,27 @@ def test_log_gamma():
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-10)
 
 
+def test_rare_contexts_keep_their_nodes_in_a_large_corpus(spark):
+    common = [f"the common text number {i % 7} is here again and again" * 40 for i in range(150)]
+    rare = ["xylo quark", "xylo quartz", "qwyx xylo quark"]
+    texts = [t.encode() + ctw.END for t in common + rare]
+    assert sum(map(len, texts)) > 2**17 * 2  # a share of 2**-17 left out what is seen once
+    rows = Counter()
+    for t in texts:
+        padded = b"\0" * ctw.DEPTH + t
+        for i in range(ctw.DEPTH, len(padded)):
+            for d in range(ctw.DEPTH + 1):
+                rows[d, int.from_bytes(padded[i - d : i][::-1], "little"), padded[i]] += 1
+    tree = ctw.weighted(*np.array([(*k, n) for k, n in rows.items()]).T, ctw.DEPTH)
+    asked = ["xylo quark", "xylo quart", "the common xylo", "zzz \u00e9", ""]
+    want = tree.scores([t.encode() + ctw.END for t in asked])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(common + rare)], "doc_id long, text string")
+    held = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    for few, chunk in ((1 << 20, 1 << 18), (50, 30), (0, 1)):  # the broadcast and the chunks change no score
+        got = {r.doc_id: r.score for r in ctw.score(held, ctw.fit(docs, frequent_grams=few, chunk_rows=chunk)).collect()}
+        assert [got[i] for i in range(len(asked))] == pytest.approx(want.tolist(), rel=1e-5)
+
+
 def tokens(text):
     lower = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
     return [*lower.split(), None]
