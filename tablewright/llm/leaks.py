@@ -30,11 +30,18 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _DIGESTS = (32, 40, 56, 64, 96, 128)
 _ANY_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+_PIECE = re.compile(r"[^/_-]+")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 #: Random strings have fewer characters to a token than this; words and names have more.
 MOST_RATIO = 1.9
 
+#: The same, at most, for strings of letters alone.
+LETTERS_RATIO = 1.85
+
+#: Characters of a random string, and the mean length from which pieces without digits are no initials.
+LEAST_RUN, LEAST_PIECE = 20, 4
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of the fixed patterns; leftmost, not overlapping within a kind."""
@@ -53,13 +60,53 @@ def known_form(run: str) -> bool:
     return bool(len(run) in _DIGESTS and _ANY_HEX.match(run) or _UUID.match(run))
 
 
+def _random(run: str, tokens, most_ratio: float) -> bool:
+    if known_form(run) or not _LETTER.search(run):
+        return False
+    if not _DIGIT.search(run):
+        pieces = _PIECE.findall(run)
+        size = sum(map(len, pieces))
+        if size < max(LEAST_RUN, LEAST_PIECE * len(pieces)):
+            return False
+        most_ratio = min(most_ratio, LETTERS_RATIO)
+    return len(run) < most_ratio * tokens(run)
+
+
+def _parts(run: str, tokens, most_ratio: float) -> Iterator[tuple[int, int]]:
+    """Stretches of neighbouring pieces between ``/``, ``_`` and ``-`` that each have the ratio of random strings.
+
+    Words end a stretch, as do digests; UUIDs are passed over.
+    """
+    start = end = at = None
+    for m in _PIECE.finditer(run):
+        if at is not None and m.start() < at:
+            continue
+        uuid = _UUID.match(run[m.start() : m.start() + 36]) and (m.start() + 36 == len(run) or run[m.start() + 36] in "/_-")
+        at = m.start() + 36 if uuid else None
+        if not uuid and not known_form(m[0]) and len(m[0]) < most_ratio * tokens(m[0]):
+            start, end = m.start() if start is None else start, m.end()
+            continue
+        if start is not None:
+            yield start, end
+        start = None
+    if start is not None:
+        yield start, end
+
+
 def random_spans(text: str, path: str, pattern: str, most_ratio: float = MOST_RATIO) -> list[tuple[int, int, int]]:
-    """Runs of 20 or more letters and digits with fewer than ``most_ratio`` characters to a token."""
+    """Runs of 20 or more letters and digits with fewer than ``most_ratio`` characters to a token, or parts of runs."""
+
+    def tokens(run: str) -> int:
+        return len(encoding(path, pattern).encode_ordinary(run))
+
     found = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if _MIXED.match(run) and not known_form(run) and len(run) < most_ratio * len(encoding(path, pattern).encode_ordinary(run)):
+        if _random(m[0], tokens, most_ratio):
             found.append((m.start(), 3, m.end()))
+        elif not known_form(m[0]) and any(x in m[0] for x in "/_-"):
+            for start, end in _parts(m[0], tokens, most_ratio):
+                if end - start >= LEAST_RUN and _random(m[0][start:end], tokens, most_ratio):
+                    found.append((m.start() + start, 3, m.start() + end))
     return found
 
 
@@ -78,7 +125,8 @@ def secret_spans(df: DataFrame, path: str, pattern: str, text_col: str = "text",
 
     Kinds are ``assign`` (a keyword with a value of 12 or more characters), ``access`` (access keys of 18
     or more), ``hex`` (16 or more digits) and ``random``: runs that the vocabulary in ``path`` needs many
-    tokens for, other than digests, UUIDs, runs without letters or digits, and what a base span covers.
+    tokens for, whole or in neighbouring parts between ``/``, ``_`` and ``-``, other than digests, UUIDs,
+    runs without letters, and what a base span covers. Runs of letters alone must stay below a ratio of 1.85.
     Positions count code points, the end is exclusive; spans are sorted by start, then by kind as listed.
     A null or empty text has no spans; a column that is already called ``spans_col`` is replaced. A map
     over the rows, without a shuffle.
