@@ -143,27 +143,42 @@ def near_duplicates(
     """``(id, cluster)``: every text with a near copy, and the smallest id of its cluster.
 
     Near copies have word runs with a Jaccard ``similarity`` of at least that. Whole texts make MinHash
-    bands; with 32 bands of 3 rows a pair at 0.75 is missed once in 10 million. Texts of a band are
-    compared, over all their runs, with the band's smallest id, so a band of any size costs a row for each
-    of its texts. Texts with equal runs count as one beforehand. Texts without words, and rows without an
-    id, are near nothing.
+    bands; with 32 bands of 3 rows a pair at 0.75 shares no band once in 10 million. Texts of a band are
+    compared, over all their runs, with the band's smallest id; those that this leaves in different clusters
+    are then compared with each other, so no pair that shares a band is missed. Texts with equal runs
+    count as one beforehand. Texts without words, and rows without an id, are near nothing.
     """
     docs = df.select(q(id_col).alias("id"), q(text_col).alias("text")).where("id is not null")
-    signed = checkpointed(docs.select("id", minhash_bands(words, bands, rows)("text").alias("bands")).where(F.size("bands") > 0))
-    # equal sets have equal bands; of those with equal bands, all but the first are checked against it only
-    alike = signed.groupBy("bands").agg(F.min("id").alias("first"))
-    copies = signed.join(alike, "bands").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    posted = signed.join(alike.select(F.col("first").alias("id")), "id", "left_semi").select("id", F.posexplode("bands").alias("band", "key"))
-    heads = posted.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = posted.join(heads, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    pairs = checkpointed(copies.union(met))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    runs = docs.join(wanted, "id", "left_semi").select("id", shingle_sets(words)("text").alias("runs"))
-    sets = checkpointed(runs)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("runs").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    near = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared))
-    return duplicate_clusters(near.select("a", "b"), "a", "b")
+    signed = docs.select("id", minhash_bands(words, bands, rows)("text").alias("bands"), shingle_sets(words)("text").alias("runs"))
+    sets = checkpointed(signed.where(F.size("bands") > 0).select("id", "bands", "runs", F.sha2(F.array_join(F.col("runs").cast("array<string>"), " "), 256).alias("same")))
+    alike = sets.groupBy("same").agg(F.min("id").alias("first"))
+    copies = sets.select("id", "same").join(alike, "same").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    single = sets.join(alike.select(F.col("first").alias("id")), "id", "left_semi")
+    posted = single.select("id", F.size("runs").alias("n"), F.posexplode("bands").alias("band", "key"))
+    heads = posted.groupBy("band", "key").agg(F.min_by(F.struct("id", "n"), "id").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
+    posted = checkpointed(posted.join(heads, ["band", "key"]))
+
+    def possible(x, y):
+        return F.least(x, y) >= similarity * F.greatest(x, y)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        left, right = (single.select(F.col("id").alias(i), F.col("runs").alias(x)) for i, x in (("a", "x"), ("b", "y")))
+        shared = F.size(F.array_intersect("x", "y"))
+        both = pairs.join(left, "a").join(right, "b")
+        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    met = posted.where((F.col("id") != F.col("head.id")) & possible(F.col("n"), F.col("head.n"))).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
+    first = checkpointed(near(met))
+
+    found = duplicate_clusters(first, "a", "b")
+    member = posted.select("band", "key", "id", "n", F.col("head.id").alias("head")).join(found, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    groups = member.groupBy("band", "key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("band", "key")
+    # the head has met all members of its buckets
+    member = checkpointed(member.join(groups, ["band", "key"], "left_semi").where("id <> head").drop("head"))
+    other = member.select("band", "key", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("cluster").alias("of"))
+    across = member.join(other, ["band", "key"]).where((F.col("id") < F.col("other")) & (F.col("cluster") != F.col("of")) & possible(F.col("n"), F.col("n_other")))
+    second = near(across.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
+    return duplicate_clusters(first.union(second).union(copies), "a", "b")
 
 
 def dedup_audit(df: DataFrame, keys: Sequence[str], id_col: str, ts: str) -> DataFrame:

@@ -351,3 +351,21 @@ def test_near_duplicates(spark):
     rows = [(1, " ".join(text)), (2, " ".join(text[:-3])), (3, " ".join(text).upper()), (4, "something else"), (5, None), (6, ""), (None, " ".join(text)), (7, "something  else"), (8, " ".join(text[:30]))]
     got = E.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t")
     assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (7, 4)}
+
+
+def test_near_duplicates_that_share_a_passage_with_a_third_text(spark):
+    # heads share a passage with all texts at about 0.7; the near copies only have each other
+    rows, want = [], set()
+    for group in range(12):
+        passage = [f"p{group}w{i}" for i in range(400)]
+        for i in range(6):
+            rows.append((group * 100 + i, " ".join(passage + [f"h{group}x{i}y{j}" for j in range(86)])))
+        tail = [f"t{group}y{j}" for j in range(86)]
+        for i in range(2):
+            rows.append((group * 100 + 50 + i, " ".join(passage + tail[:60] + [f"u{group}x{i}y{j}" for j in range(26)])))
+            want.add((group * 100 + 50 + i, group * 100 + 50))
+    got = E.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", bands=4)
+    runs = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    assert len(runs[50] & runs[51]) / len(runs[50] | runs[51]) > 0.85
+    assert len(runs[0] & runs[1]) / len(runs[0] | runs[1]) < 0.75
+    assert {tuple(r) for r in got.collect()} == want
