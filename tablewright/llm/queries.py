@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, exact, jaccard, kdtree, language, leaks, packing, warc, wordpiece
+from . import bpe, ctw, exact, jaccard, kdtree, language, leaks, lines, packing, warc, wordpiece
 from .batches import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,18 @@ def _(spark, sf):
 
     base = F.filter("spans", lambda s: s.kind.isin("assign", "access", "hex"))
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
+@query(
+    "op11_line_dedup",
+    r"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+ l as (select r, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
+ k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from l),
+ h as (select k, count(distinct r) as docs, max(coalesce(doc_id, -9223372036854775808)) as keeper from k where length(k) >= 20 group by k having count(distinct r) >= 3),
+ m as (select k.*, h.k is not null and h.keeper > coalesce(doc_id, -9223372036854775808) as lost from k left join h on k.k = h.k)
+ select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not lost), '')) as kept_sha256
+ from m group by r, doc_id""",
+)
+def _(spark, sf):
+    kept = lines.dedup_lines(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
