@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, exact, jaccard, kdtree, language, leaks, lines, packing, warc, wordpiece
+from ..functions.common import join_on
+from . import bpe, ctw, exact, jaccard, kdtree, language, leaks, lines, merkle, packing, warc, wordpiece
 from .batches import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +191,51 @@ def _(spark, sf):
 def _(spark, sf):
     kept = lines.dedup_lines(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_CRC = """list_reduce(list_concat([4294967295::bigint], list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda c: ord(c)::bigint)), lambda x, c:
+  list_reduce(list_concat([xor(x, c)], range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))"""
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""with recursive d as (select row_number() over () as r, *, case when doc_id is null or xor({_CRC}, 4294967295) % 3 = 0
+    then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as other from documents),
+ f as (select *, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as fields from d),
+ h as (select r, doc_id, lang, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) as leaf, sha256(fields || coalesce(strlen(other) || ':' || other, '-')) as tampered from f),
+ v as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from h),
+ t as (select lang, 0 as level, pos, leaf as digest, n from v
+  union all select lang, any_value(level) + 1, pos // 8, sha256(string_agg(digest, '' order by pos)), (any_value(n) + 7) // 8 from t where n > 1 group by lang, pos // 8),
+ s as (select *, row_number() over (order by lang nulls first) - 1 as place, count(*) over () as langs from t where n = 1),
+ u as (select 0 as level, place as pos, digest, langs as n from s
+  union all select any_value(level) + 1, pos // 8, sha256(string_agg(digest, '' order by pos)), (any_value(n) + 7) // 8 from u where n > 1 group by pos // 8),
+ e as (select v.r, x.level, string_agg(x.digest, '' order by x.pos) filter (x.pos < v.pos // (8 ** x.level)::bigint) as before, string_agg(x.digest, '' order by x.pos) filter (x.pos > v.pos // (8 ** x.level)::bigint) as after
+   from (select r, lang, pos::bigint as pos from v) v join t x on v.lang is not distinct from x.lang and x.n > 1 and x.pos // 8 = v.pos // (8 ** (x.level + 1))::bigint group by v.r, x.level
+  union all select v.r, 100 + x.level, string_agg(x.digest, '' order by x.pos) filter (x.pos < s.place // (8 ** x.level)::bigint), string_agg(x.digest, '' order by x.pos) filter (x.pos > s.place // (8 ** x.level)::bigint)
+   from v join s on v.lang is not distinct from s.lang join u x on x.n > 1 and x.pos // 8 = s.place // (8 ** (x.level + 1))::bigint group by v.r, x.level),
+ o as (select *, row_number() over (partition by r order by level) as step from e),
+ p as (select r, sha256(string_agg(coalesce(before, '') || coalesce(after, ''), '' order by step)) as proof_sha256 from o group by r),
+ w as (select r, 0::bigint as step, tampered as now from v
+  union all select w.r, o.step, sha256(coalesce(o.before, '') || w.now || coalesce(o.after, '')) from w join o on o.r = w.r and o.step = w.step + 1),
+ z as (select r, arg_max(now, step) as folded_root from w group by r)
+ select v.doc_id, v.leaf, s.digest as subroot, u.digest as root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, z.folded_root, z.folded_root = u.digest as verified
+ from v join s on v.lang is not distinct from s.lang join u on u.n = 1 left join p on p.r = v.r join z on z.r = v.r""",
+)
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars")
+    altered = F.when(fold("doc_id", 3) == 0, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
+    tampered = merkle.leaf_digest([*map(F.col, fields), altered])
+    told = merkle.build(docs, [*fields, "text"], carry={"doc_id": F.col("doc_id"), "tampered": tampered})
+    proved = merkle.proofs(told, told.leaves)
+    subroots = told.trees.select("tree", F.col("digest").alias("subroot"))
+    return join_on(proved, subroots, ["tree"]).select(
+        "doc_id",
+        F.col("found").alias("leaf"),
+        "subroot",
+        F.lit(told.root).cast("string").alias("root"),
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.folded(F.col("proof"), F.col("tampered")).alias("folded_root"),
+        (merkle.folded(F.col("proof"), F.col("tampered")) == F.lit(told.root)).alias("verified"),
+    )
