@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import join_on
-from . import bpe, ctw, exact, jaccard, kdtree, language, leaks, lines, merkle, packing, warc, wordpiece
+from . import bpe, ctw, exact, jaccard, kdtree, language, leaks, lines, merkle, packing, warc, whitening, wordpiece
 from .batches import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,6 +193,11 @@ def _(spark, sf):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op12_whitening")
+def _(spark, sf):
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
 _CRC = """list_reduce(list_concat([4294967295::bigint], list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda c: ord(c)::bigint)), lambda x, c:
   list_reduce(list_concat([xor(x, c)], range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))"""
 
