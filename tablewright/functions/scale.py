@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffles and checkpoints that no DataFrame refers to any more.
+
+    Its cleaner finds them when the driver's heap is collected, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this session wrote and no longer reads, on whatever file system it is."""
     jvm = spark.sparkContext._jvm
