@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.components import components
-from ..functions.scale import checkpointed
+from ..functions.scale import checkpointed, release
 from .batches import LOWER, id_and_text, raw, slices, task_id
 
 N = 5
@@ -20,36 +22,26 @@ N = 5
 #: Similarity in per cent from which two documents link.
 PERCENT = 75
 
-#: Shingles that a task gathers before it sends them off, and that a bucket is meant to get.
-BLOCK_SHINGLES, BUCKET_SHINGLES = 1 << 20, 1 << 20
+#: Shingles that a task gathers before it sends them off, that a bucket is meant to get, and that are sorted at a time.
+BLOCK_SHINGLES, BUCKET_SHINGLES, SORTED_SHINGLES = 1 << 21, 1 << 22, 1 << 19
 
-#: Bits of a shingle's hash that go with it, besides those of its bucket.
-_REST = 40
+#: Document rows that a bucket is meant to get, at most.
+BUCKET_ROWS = 1 << 17
+
+#: Pairs for each posting of the lists that are still open, above which another round of heads is worth while.
+CROWDED = 8
+
+#: Share of these pairs that a round may leave for another one to follow.
+WORTH_WHILE = 0.7
 
 #: Classes by which the suffix filter compares two sets.
 CLASSES = 16
 
-_BLOCK = pa.schema(
-    [
-        ("bucket", pa.int32()),
-        ("base", pa.int64()),
-        ("refs", pa.binary()),
-        ("rests", pa.binary()),
-        ("others", pa.binary()),
-        ("doc_id", pa.int64()),
-        ("n", pa.int64()),
-        ("same", pa.binary()),
-        ("rep", pa.int64()),
-        ("text_sha256", pa.string()),
-        ("shared", pa.list_(pa.int64())),
-    ]
-)
-_BLOCK_DDL = (
-    "bucket int, base long, refs binary, rests binary, others binary, doc_id long, n long, same binary, rep long, "
-    "text_sha256 string, shared array<long>"
-)
-_ROW = pa.schema([(f.name if f.name != "base" else "row", f.type) for f in _BLOCK if f.name in ("base", "doc_id", "n", "same", "rep", "text_sha256", "shared")])
-_ROW_DDL = "row long, doc_id long, n long, same binary, rep long, text_sha256 string, shared array<long>"
+_DOC = [("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("rep", pa.int64()), ("text_sha256", pa.binary())]
+_BLOCK = pa.schema([("bucket", pa.int32()), ("base", pa.int64()), ("refs", pa.binary()), ("hashes", pa.binary()), ("others", pa.binary()), *_DOC, ("shared", pa.list_(pa.int64()))])
+_BLOCK_DDL = "bucket int, base long, refs binary, hashes binary, others binary, doc_id long, n long, same binary, rep long, text_sha256 binary, shared array<long>"
+_ROW = pa.schema([("row", pa.int64()), *_DOC, ("shared", pa.list_(pa.int64()))])
+_ROW_DDL = "row long, doc_id long, n long, same binary, rep long, text_sha256 binary, shared array<long>"
 
 
 def shingles(text: bytes, n: int = N) -> np.ndarray:
@@ -68,26 +60,43 @@ def shingles(text: bytes, n: int = N) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _packed(rests: np.ndarray) -> bytes:
-    """Sorted numbers of 40 bits as their gaps: four bytes each, or eight in the rare case that a gap is wider."""
-    gaps = np.diff(rests, prepend=np.uint64(0))
-    wide = len(gaps) > 0 and int(gaps.max()) >= 1 << 32
-    return (b"\1" if wide else b"\0") + gaps.astype("<u8" if wide else "<u4").tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Sorted numbers as their gaps, each in as many bytes as the widest takes; the first byte says how many."""
+    gaps = np.diff(numbers, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _numbers(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(packed, "<u8" if packed[0] else "<u4", offset=1), dtype=np.uint64)
+    gaps = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, packed[0])
+    whole = np.zeros((len(gaps), 8), np.uint8)
+    whole[:, : packed[0]] = gaps
+    return np.cumsum(whole.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _parts(hashes: np.ndarray, bits: int) -> dict[int, slice]:
+    """Where each bucket that occurs lies in sorted hashes."""
+    if not len(hashes):
+        return {}
+    of = hashes >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    return {b: slice(x, y) for b, x, y in zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True)}
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
+def _spread(row: int, bits: int) -> int:
+    """The bucket that a document's own row passes through."""
+    return xxhash.xxh32_intdigest(row.to_bytes(8, "little")) % (1 << bits)
+
+
 def _blocks(n_words: int, bits: int, block: int):
     """Per task: a row for each document, and for each block of documents and bucket the block's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[tuple[int, int | None, int, bytes, str]] = []
+        docs: list[tuple[int, int | None, int, bytes, bytes]] = []
         sets: dict[bytes, tuple[int, np.ndarray]] = {}
         place, held, task = 0, 0, task_id() << 40
 
@@ -102,34 +111,32 @@ def _blocks(n_words: int, bits: int, block: int):
             hashes, owners = hashes[order], owners[order]
             equal = hashes[1:] == hashes[:-1]
             twice = np.r_[False, equal] | np.r_[equal, False]
-            prints = hashes >> np.uint64(64 - bits - _REST)
             # what several documents of the block share is known here; other blocks get it once, without a document
             by = np.argsort(owners[twice], kind="stable")
-            of, what = owners[twice][by], prints[twice][by].astype(np.int64)
+            of, what = owners[twice][by], hashes[twice][by].astype(np.int64)
             local = dict(zip((rows - base).tolist(), np.split(what, np.searchsorted(of, rows[1:] - base)), strict=True))
             out = {k: [] for k in _BLOCK.names}
+
+            def add(*values) -> None:
+                for k, v in zip(_BLOCK.names, values, strict=True):
+                    out[k].append(v)
+
             for row, doc_id, n, same, sha in docs:
                 rep = sets[same][0] if n else row
-                shared = local.get(row - base) if rep == row else None
-                for k, v in zip(_BLOCK.names, (xxhash.xxh32_intdigest(row.to_bytes(8, "little")) % (1 << bits), row, None, None, None, doc_id, n, same, rep, sha, shared), strict=True):
-                    out[k].append(v)
+                add(_spread(row, bits), row, None, None, None, doc_id, n, same, rep, sha, local.get(row - base) if rep == row else None)
             once, first = ~twice, twice & ~np.r_[False, equal]
-            edges = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(_REST)
-            mask = np.uint64((1 << _REST) - 1)
-            ones, refs, others = prints[once], owners[once].astype("<u2"), prints[first]
-            at, also = np.searchsorted(ones, edges), np.searchsorted(others, edges)
-            for b in range(1 << bits):
-                if at[b] < at[b + 1] or also[b] < also[b + 1]:
-                    mine = slice(at[b], at[b + 1])
-                    for k, v in zip(_BLOCK.names, (b, base, refs[mine].tobytes(), _packed(ones[mine] & mask), _packed(others[also[b] : also[b + 1]] & mask), None, None, None, None, None, None), strict=True):
-                        out[k].append(v)
+            ones, refs, others = hashes[once], owners[once].astype("<u2"), hashes[first]
+            mine, also, mask, none = _parts(ones, bits), _parts(others, bits), np.uint64((1 << (64 - bits)) - 1), slice(0, 0)
+            for b in mine.keys() | also.keys():
+                at = mine.get(b, none)
+                add(b, base, refs[at].tobytes(), _packed(ones[at] & mask), _packed(others[also.get(b, none)] & mask), *[None] * 6)
             docs.clear()
             sets.clear()
             held = 0
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _BLOCK], schema=_BLOCK)
 
         def empty() -> Iterator[pa.RecordBatch]:
-            rows = [(0, row, None, None, None, doc_id, n, same, row, sha, None) for row, doc_id, n, same, sha in docs]
+            rows = [(_spread(row, bits), row, None, None, None, doc_id, n, same, row, sha, None) for row, doc_id, n, same, sha in docs]
             docs.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
 
@@ -139,7 +146,7 @@ def _blocks(n_words: int, bits: int, block: int):
                 place += 1
                 own = shingles(text, n_words)
                 same = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
-                docs.append((row, doc_id, len(own), same, hashlib.sha256(text).hexdigest()))
+                docs.append((row, doc_id, len(own), same, hashlib.sha256(text).digest()))
                 if len(own) and same not in sets:
                     sets[same] = (row, own)
                     held += len(own)
@@ -151,33 +158,43 @@ def _blocks(n_words: int, bits: int, block: int):
     return run
 
 
-def _shared(bits: int):
-    """Of one bucket: for each document, the shingles that some other document has too."""
+def _repeated(numbers: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that occur more than once, with each of their owners; -1 owns nothing."""
+    own, what = np.concatenate(owners), np.concatenate(numbers)
+    order = np.argsort(what, kind="stable")
+    what, own = what[order], own[order]
+    equal = what[1:] == what[:-1]
+    take = (np.r_[False, equal] | np.r_[equal, False]) & (own >= 0)
+    return what[take], own[take]
+
+
+def _shared(bits: int, sorted_shingles: int):
+    """Of one bucket: for each document, the shingles that some other document has too.
+
+    The bucket's range of hashes is worked through in parts, so that few shingles are sorted at a time.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        is_doc = np.asarray(table.column("refs").is_null())
-        passed = table.filter(pa.array(is_doc)).rename_columns(["row" if n == "base" else n for n in table.column_names]).select(_ROW.names)
-        chunks = table.filter(pa.array(~is_doc))
-        if not chunks.num_rows:
-            return passed.cast(_ROW)
-        refs = [np.frombuffer(x, "<u2").astype(np.int64) + base for x, base in zip(chunks.column("refs").to_pylist(), chunks.column("base").to_pylist(), strict=True)]
-        rests = [_numbers(x) for x in chunks.column("rests").to_pylist()]
-        others = [_numbers(x) for x in chunks.column("others").to_pylist()]
-        n_others = sum(map(len, others))
-        numbers = np.concatenate([*rests, *others])
-        owners = np.concatenate([*refs, np.full(n_others, -1, np.int64)])
-        order = np.argsort(numbers, kind="stable")
-        numbers, owners = numbers[order], owners[order]
-        equal = numbers[1:] == numbers[:-1]
-        take = (np.r_[False, equal] | np.r_[equal, False]) & (owners >= 0)
-        numbers, owners = numbers[take] | np.uint64(key[0].as_py() << _REST), owners[take]
+        is_doc = table.column("refs").is_null()
+        passed = table.filter(is_doc).rename_columns(["row" if n == "base" else n for n in table.column_names]).select(_ROW.names).cast(_ROW)
+        lists: list[tuple[np.ndarray, np.ndarray]] = []
+        for chunk in table.filter(pc.invert(is_doc)).select(["base", "refs", "hashes", "others"]).to_batches():
+            for base, refs, hashes, others in zip(*(c.to_pylist() for c in chunk.columns), strict=True):
+                lists.append((_numbers(hashes), np.frombuffer(refs, "<u2").astype(np.int64) + base))
+                lists.append((more := _numbers(others), np.full(len(more), -1, np.int64)))
+        pieces = 1 + sum(len(x) for x, _ in lists) // sorted_shingles
+        edges = [np.uint64((k << (64 - bits)) // pieces) for k in range(1, pieces)]
+        cuts = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x, _ in lists]
+        found = [_repeated([x[c[k] : c[k + 1]] for (x, _), c in zip(lists, cuts, strict=True)], [o[c[k] : c[k + 1]] for (_, o), c in zip(lists, cuts, strict=True)]) for k in range(pieces)] if lists else []
+        if not found:
+            return passed
+        owners = np.concatenate([o for _, o in found])
         order = np.argsort(owners, kind="stable")
-        numbers, owners = numbers[order], owners[order]
+        numbers, owners = np.concatenate([x for x, _ in found])[order] | np.uint64(key[0].as_py() << (64 - bits)), owners[order]
         starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(owners) else np.empty(0, np.int64)
         told = {n: pa.nulls(len(starts), t) for n, t in zip(_ROW.names, _ROW.types, strict=True)}
         told |= {"row": pa.array(owners[starts]), "shared": _lists(numbers, np.r_[starts, len(owners)])}
-        return pa.concat_tables([passed.cast(_ROW), pa.table(told, schema=_ROW)])
+        return pa.concat_tables([passed, pa.table(told, schema=_ROW)])
 
     return run
 
@@ -213,6 +230,22 @@ def _pairs(left: Column, right: Column) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
+def _open(posted: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
+    """The postings of lists that hold several groups of linked sets, with the list's largest group as ``main``.
+
+    Also their number, and the number of pairs of a member outside the main group with any other.
+    """
+    x = F.struct("row", "n", "alone", "sizes", "position").alias("x")
+    member = posted.join(found, F.col("row") == F.col("node"), "left").select("gram", x, F.coalesce("component", "row").alias("group"))
+    groups = member.groupBy("gram", "group").agg(F.count("*").alias("members"))
+    lists = groups.groupBy("gram").agg(
+        F.count("*").alias("groups"), F.sum("members").alias("members"), F.max("members").alias("most"), F.max_by("group", F.struct("members", "group")).alias("main")
+    )
+    lists = checkpointed(lists.where("groups > 1").drop("groups"))
+    total, work = lists.agg(F.sum("members"), F.sum(F.col("members") * (F.col("members") - F.col("most")))).first()
+    return checkpointed(member.join(lists.select("gram", "main"), "gram")), total or 0, work or 0
+
+
 def jaccard_components(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -221,6 +254,7 @@ def jaccard_components(
     percent: int = PERCENT,
     block_shingles: int = BLOCK_SHINGLES,
     bucket_shingles: int = BUCKET_SHINGLES,
+    sorted_shingles: int = SORTED_SHINGLES,
 ) -> DataFrame:
     """Groups of documents whose sets of ``n_words``-word shingles are linked by a similarity of ``percent``.
 
@@ -234,8 +268,10 @@ def jaccard_components(
     2. For the rest, equal sets fold to one; their shared shingles are counted and sorted rare first, and
        each set posts the shingles of its prefix.
     3. In each list of postings, all members are compared with the first. What that links needs no further
-       comparison; members of different components are then compared with each other. Pairs must pass
-       the length, positional and suffix filters; each pair is verified once, over the whole sets.
+       comparison. While lists hold many members that are still apart, each list gets another head by hash, so that
+       a set meets a different one in every list it is in; members of other components are compared with it. When
+       little is left, or a round leaves most of it, members of different components are compared with each
+       other. Pairs must pass the length, positional and suffix filters; each is verified once, over whole sets.
     4. Links and copies go to alternating stars for the components.
 
     Every link between different texts is found or already implied by others; nothing is capped. Hot
@@ -247,14 +283,16 @@ def jaccard_components(
     compared by their hashes. An empty table gives an empty result; other columns are not looked at.
     """
     docs = id_and_text(df, id_col, text_col)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(7, (size // 7 // bucket_shingles).bit_length())
+    size, n_rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    bits = max(7, ((size or 0) // 7 // bucket_shingles).bit_length(), (n_rows // BUCKET_ROWS).bit_length())
     sent = docs.mapInArrow(_blocks(n_words, bits, block_shingles), _BLOCK_DDL)
-    told = sent.groupBy("bucket").applyInArrow(_shared(bits), _ROW_DDL)
+    told = sent.groupBy("bucket").applyInArrow(_shared(bits, sorted_shingles), _ROW_DDL)
     parts = [F.max(c).alias(c) for c in ("doc_id", "n", "same", "rep", "text_sha256")]
     rows = told.groupBy("row").agg(*parts, F.flatten(F.collect_list("shared")).alias("shared"))
     enough = (100 * F.size("shared") >= percent * F.col("n")) & (F.col("n") > 0) & (F.col("row") == F.col("rep"))
     rows = checkpointed(rows.withColumn("shared", F.when(enough, F.col("shared"))))
+    del sent, told
+    release(df.sparkSession)
 
     left = rows.where("shared is not null").select("row", "n", "same", "shared")
     firsts = left.groupBy("same").agg(F.min("row").alias("first"))
@@ -283,20 +321,25 @@ def jaccard_components(
     starred = posted.select("gram", F.struct("row", "n", "alone", "sizes", "position").alias("x")).join(heads, "gram").where("head.row <> x.row").where(_possible("head", "x", percent))
     first = checkpointed(_verified(starred.select(*_pairs(F.col("head.row"), F.col("x.row"))).distinct(), sets, percent))
 
-    found = components(first.where("linked").select("a", "b"))
-    member = posted.join(found, F.col("row") == F.col("node"), "left").select("gram", F.struct("row", "n", "alone", "sizes", "position").alias("x"), F.coalesce("component", "row").alias("group"))
-    groups = member.groupBy("gram", "group").agg(F.count("*").alias("members"))
-    open_lists = groups.groupBy("gram").agg(F.count("*").alias("groups"), F.max_by("group", F.struct("members", "group")).alias("main")).where("groups > 1").drop("groups")
-    member = checkpointed(member.join(open_lists, "gram"))
+    tested, before = first, None
+    for turn in count(1):
+        member, total, work = _open(posted, components(tested.where("linked").select("a", "b")))
+        if work <= CROWDED * total or before is not None and work > before * WORTH_WHILE:
+            break
+        before = work
+        ahead = F.min_by(F.struct("x", "group"), F.xxhash64("gram", "x.row", F.lit(turn))).alias("head")
+        round_heads = member.groupBy("gram").agg(ahead).select("gram", F.col("head.x").alias("y"), F.col("head.group").alias("other"))
+        met = member.join(round_heads, "gram").where("group <> other").where(_possible("x", "y", percent))
+        pairs = met.select(*_pairs(F.col("y.row"), F.col("x.row"))).distinct().join(tested, ["a", "b"], "left_anti")
+        tested = tested.union(checkpointed(_verified(pairs, sets, percent)))
     minor = member.where("group <> main").select("gram", F.col("x").alias("y"), F.col("group").alias("other"))
     across = minor.join(member, "gram").where((F.col("group") != F.col("other")) & ((F.col("group") == F.col("main")) | (F.col("y.row") < F.col("x.row")))).where(_possible("x", "y", percent))
-    pairs = across.select(*_pairs(F.col("y.row"), F.col("x.row"))).distinct().join(first, ["a", "b"], "left_anti")
-    second = _verified(pairs, sets, percent)
+    pairs = across.select(*_pairs(F.col("y.row"), F.col("x.row"))).distinct().join(tested, ["a", "b"], "left_anti")
+    tested = tested.union(_verified(pairs, sets, percent))
 
-    links = first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
-    found = components(links.union(copies))
+    found = components(tested.where("linked").select("a", "b").union(copies))
     grouped = rows.join(found, F.col("row") == F.col("node"), "left")
-    grouped = grouped.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("group"), F.col("component").isNotNull().alias("linked"), "text_sha256")
+    grouped = grouped.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("group"), F.col("component").isNotNull().alias("linked"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
     # the owners are written first, so that the join with them can split a group of very many rows
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("owner")
     owners = checkpointed(grouped.where("linked").groupBy("group").agg(owner))

@@ -72,7 +72,7 @@ def test_chains_hot_passages_and_borders(spark, seed):
     rows += [" ".join(passage + [rng.choice(words) for _ in range(rng.randrange(0, 14))]) for _ in range(80)]
     rows = [(i, t) for i, t in enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert found(df, block_shingles=300) == brute(rows)
+    assert found(df, block_shingles=300, sorted_shingles=50) == brute(rows)
 
 
 def test_components(spark):
@@ -87,3 +87,19 @@ def test_components(spark):
                 want[x] = merged
     assert got == {x: min(s) for x, s in want.items() if len(s) > 1}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_of_heads_join_a_group_whose_first_member_is_apart(spark):
+    """Variants of one text: each links with many others, few with the first; then a group without any link."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for _ in range(1 if i % 9 else 3):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    other = [f"c{i}" for i in range(60)]
+    rows += [(1000 + i, " ".join([*other, *(f"y{i}-{j}" for j in range(14))])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert found(df) == brute(rows)
