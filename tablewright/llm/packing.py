@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ WINDOW = 4096
 #: Partly filled windows that a task keeps open.
 OPEN_WINDOWS = 1024
 
-#: Words whose ids a worker remembers, in each of two generations.
+#: Runs of characters between white space whose ids a worker remembers, in each of two generations.
 REMEMBERED = 100_000
 
 #: Characters of text that are split before their new words are looked up together.
@@ -29,6 +30,18 @@ TOGETHER = 1 << 20
 #: Characters up to this one are split here; texts with others go to the library whole.
 _LAST = 0x24F
 
+#: What a vocabulary file must say of its normaliser, its split and its word ends for words to be
+#: looked up apart. Texts of other files go to the library whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_END = "</w>"
+
 
 def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(_LAST + 1) if unicodedata.category(chr(c))[0] == kind)
@@ -39,13 +52,41 @@ _L, _N, _S = _class("L"), _class("N"), "\t-\r \x85\xa0"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _OTHER = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
+#: White space to Python but not to the vocabulary.
+_NO_SPACE = re.compile(r"[\x1c-\x1f]")
+_RUN = re.compile(rf"[^{_S}]+")
+
+
+class Memory(dict):
+    """Ids of strings, of which the last ``REMEMBERED`` or more are kept: a full generation takes the older one's place."""
+
+    def __init__(self) -> None:
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that are in neither generation; the others are in the newer one afterwards."""
+        out, old = [], self.old
+        for x in wanted - self.keys():
+            ids = old.get(x)
+            if ids is None:
+                out.append(x)
+            else:
+                self[x] = ids
+        return out
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordTokenizer:
     """Ids of a vocabulary that splits a lower-case text into words before its merges.
 
-    The ids of a word do not depend on its neighbours, so each word is sent to the library once and
-    remembered. Ids come as bytes, four for each, little-endian.
+    No word reaches across white space, and its ids do not depend on its neighbours. So what stands between white space
+    is looked up once and remembered; what is new in many texts is sent to the library together, and told apart
+    by the ids that end a word.
+    Ids come as bytes, four for each, little-endian.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,31 +95,35 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _words(self, text: str) -> list[str] | None:
-        """The words of a text, None if only the library can tell."""
+        told = json.loads(self.library.to_str())
+        self.apart = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _PRE_TOKENIZER and told["model"].get("end_of_word_suffix") == _END
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith(_END)]] = True
+        self.runs = Memory()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _split(self, text: str) -> list[str] | None:
+        """What stands between white space in a text, None if only the library can tell its words."""
         low = text.lower()
-        if low.isascii():
-            return _SPLIT_ASCII.findall(low)
-        return None if _OTHER.search(low) or _OTHER.search(text) else _SPLIT.findall(low)
-
-    def _learn(self, words: set[str]) -> None:
-        unknown, merges = [], self.library.model.tokenize
-        for w in words - self.new.keys():
-            if (x := self.old.get(w)) is not None:
-                self.new[w] = x
-            elif w.isascii() and w.isprintable():  # the merges see such words as they are
-                ids = [t.id for t in merges(w)]
-                self.new[w] = pack(f"<{len(ids)}I", *ids)
-            else:
-                unknown.append(w)
-        for w, x in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.new[w] = pack(f"<{len(x.ids)}I", *x.ids)
+        if not low.isascii() and (_OTHER.search(low) or _OTHER.search(text)):
+            return None
+        return _RUN.findall(low) if _NO_SPACE.search(low) else low.split()
+
+    def _learn(self, runs: set[str]) -> None:
+        new = self.runs.missing(runs)
+        if not new:
+            return
+        counts = [1 if x.isalpha() else len((_SPLIT_ASCII if x.isascii() else _SPLIT).findall(x)) for x in new]
+        ids = np.asarray(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(counts)
+        if len(ends) == last[-1]:
+            raw, cuts = ids.tobytes(), (4 * ends[last - 1]).tolist()
+            self.runs.update(zip(new, [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        else:  # the words of some run are others beside a neighbour
+            self.runs.update(zip(new, self._whole(new), strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; texts are taken together until they come to ``TOGETHER`` characters."""
@@ -87,12 +132,15 @@ class WordTokenizer:
             size += len(text)
             if size < TOGETHER and end < len(texts):
                 continue
-            split = [self._words(t) for t in texts[start:end]]
-            self._learn(set().union(*(w for w in split if w)))
-            for own, words in zip(texts[start:end], split, strict=True):
-                yield self._whole(own) if words is None else b"".join(map(self.new.__getitem__, words))
-            if len(self.new) > REMEMBERED:
-                self.new, self.old = {}, self.new
+            own = texts[start:end]
+            if not self.apart:
+                yield from self._whole(own)
+            else:
+                split = [self._split(t) for t in own]
+                self._learn(set().union(*(x for x in split if x)))
+                for t, x in zip(own, split, strict=True):
+                    yield self._whole([t])[0] if x is None else b"".join(map(self.runs.__getitem__, x))
+                self.runs.age()
             start, size = end, 0
 
 
@@ -108,13 +156,15 @@ Piece = tuple[int | None, int, bytes, int]
 class SumOfSquares:
     """Windows filled online so that the squares of the numbers of windows at each level stay small.
 
-    ``levels[h]`` is the number of open windows that hold ``h`` ids. A piece goes to the level where the sum
-    of the squares of ``levels`` becomes smallest, or to a new window; of equal levels to the fullest.
+    ``levels[h]`` is the number of open windows that hold ``h`` ids, and ``filled`` lists the levels that have one. A
+    piece goes to the level where the sum of the squares of ``levels`` becomes smallest, or to a new window; of
+    equal levels to the fullest.
     """
 
     def __init__(self, size: int) -> None:
         self.size = size
-        self.levels = np.zeros(size + 1, np.int64)
+        self.levels = [0] * (size + 1)
+        self.filled: list[int] = []
         self.windows: list[list[list[Piece]]] = [[] for _ in range(size)]
         self.n_open = 0
 
@@ -122,17 +172,22 @@ class SumOfSquares:
         """Put a piece of fewer ids than a window holds; the window, if that filled it."""
         n = len(piece[2]) // 4
         counts, size = self.levels, self.size
-        change = 2 * (counts[n : size + 1] - counts[: size + 1 - n]) + 2
-        change[size - n] -= 1 + 2 * counts[size]  # a full window is no longer counted
-        change[0] = 2 * counts[n] + 1  # a new window
-        ok = counts[: size + 1 - n] > 0
-        ok[0] = True
-        change = np.where(ok, change, np.iinfo(np.int64).max)
-        level = size - n - int(change[::-1].argmin())
+        level, least = 0, 2 * counts[n] + 1  # a new window
+        # what a move to h + n adds to the sum; a full window is no longer counted
+        for h in self.filled:
+            if h + n >= size:
+                if h + n == size and 1 - 2 * counts[h] <= least:
+                    level = h
+                break
+            change = 2 * (counts[h + n] - counts[h]) + 2
+            if change <= least:
+                level, least = h, change
         if level:
             window = self.windows[level].pop()
             counts[level] -= 1
             self.n_open -= 1
+            if not counts[level]:
+                del self.filled[bisect_left(self.filled, level)]
         else:
             window = []
         window.append(piece)
@@ -141,6 +196,8 @@ class SumOfSquares:
         self.windows[level + n].append(window)
         counts[level + n] += 1
         self.n_open += 1
+        if counts[level + n] == 1:
+            insort(self.filled, level + n)
         return None
 
     def close(self) -> Iterator[list[Piece]]:

@@ -103,7 +103,7 @@ def test_sum_of_squares_takes_the_best_level():
     rng, size = np.random.default_rng(1), 16
     bins = SumOfSquares(size)
     for n in rng.integers(1, size, 300).tolist():
-        levels = bins.levels.copy()
+        levels = np.array(bins.levels)
         bins.place((0, 0, bytes(4 * n), n))
         best = None
         for h in range(size - n + 1):
@@ -115,5 +115,7 @@ def test_sum_of_squares_takes_the_best_level():
             if h + n < size:
                 after[h + n] += 1
             best = min(best, (after**2).sum()) if best is not None else (after**2).sum()
-        assert (bins.levels**2).sum() == best
-        assert bins.n_open == bins.levels.sum() and not bins.levels[0] and not bins.levels[size]
+        now = np.array(bins.levels)
+        assert (now**2).sum() == best
+        assert bins.n_open == now.sum() and not now[0] and not now[size]
+        assert bins.filled == np.flatnonzero(now).tolist()
