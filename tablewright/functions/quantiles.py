@@ -1,29 +1,26 @@
 """Exact quantiles with linear interpolation, on any amount of data.
 
-The wanted ranks are found by narrowing. A histogram over logarithmic bins finds the bins
-that hold them; as long as such a bin holds many different values, a histogram over equal
-slices of it takes its place. Only the values of the last bins are ranked. Each pass is one
-scan with map-side combine, and none but the last moves more than bin counts. The passes
-before the last run when the plan is built, and what they find is checkpointed.
+Distributed selection with two pivots around each wanted rank. One pass builds a mergeable rank
+sketch of every column and group, whose error is bounded; it yields pivots that the rank must lie
+between. A second pass counts what lies below them, a third folds the few values between them
+to counts, and only those are ranked. All columns and ranks go through the same passes, with
+map-side combine. Nothing runs while the plan is built.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_list, join_on, present, q
-from .scale import checkpointed
+from .common import as_list, join_on, present, q, with_stats
 
-_LOG_BINS_PER_E = 256
-_SLICES = 8192
+#: The sketch misses a rank by at most one part in this many of a group's rows.
+ACCURACY = 20_000
 
-#: A bin with more rows than this and more than one value is narrowed further.
-_MOST_RANKED = 65_536
+#: Distance of the pivots from the wanted share of rows: twice the error on either side.
+_MARGIN = 2 / ACCURACY
 
 
 def quantile_table(
@@ -31,9 +28,82 @@ def quantile_table(
     probs: Mapping[str, Sequence[float]],
     by: Sequence[str] | str | None = None,
 ) -> DataFrame:
-    """One row (per ``by`` group) with an array column of quantiles per input column."""
-    keys = as_list(by)
-    return _narrowed(df, probs, keys)
+    """One row (per ``by`` group) with an array column of quantiles per input column.
+
+    Nulls and NaN do not count. A group without any value of a column has null there.
+    """
+    keys, names = as_list(by), list(probs)
+    rows = df.select(*[q(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[present(df, c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
+    group = [f"_k{i}" for i in range(len(keys))]
+    asked = [(i, j, float(p)) for i, c in enumerate(names) for j, p in enumerate(probs[c])]
+
+    # Pass 1: pivots around each rank, by a sketch of bounded error.
+    near = {i: [min(1.0, max(0.0, p + side)) for k, _, p in asked if k == i for side in (-_MARGIN, _MARGIN)] for i in range(len(names))}
+    sketch = [F.percentile_approx(f"_v{i}", near[i], ACCURACY).alias(f"_p{i}") for i in near]
+    pivots = rows.groupBy(*group).agg(*sketch)
+    if keys:
+        met = join_on(rows, pivots, group)
+    else:
+        met = with_stats(rows, pivots, "_s").select("*", *[F.col(f"_s._p{i}").alias(f"_p{i}") for i in near])
+
+    def ends(i: int, j: int, p: float) -> tuple[Column, Column]:
+        low = F.lit(float("-inf")) if p <= _MARGIN else F.col(f"_p{i}")[2 * j]
+        return low, F.lit(float("inf")) if p >= 1 - _MARGIN else F.col(f"_p{i}")[2 * j + 1]
+
+    # Pass 2: how many values lie below the lower pivot, and the nearest ones outside of the two.
+    counts = []
+    for i in range(len(names)):
+        counts.append(F.count(f"_v{i}").alias(f"_n{i}"))
+    for i, j, p in asked:
+        x, (low, high) = F.col(f"_v{i}"), ends(i, j, p)
+        counts.append(F.count_if(x < low).alias(f"_below{i}_{j}"))
+        counts.append(F.max(F.when(x < low, x)).alias(f"_prev{i}_{j}"))
+        counts.append(F.min(F.when(x > high, x)).alias(f"_next{i}_{j}"))
+    below = met.groupBy(*group).agg(*counts)
+    wanted = []
+    for i, j, p in asked:
+        target = F.lit(p) * (F.col(f"_n{i}") - 1)
+        wanted.append(
+            F.struct(
+                F.lit(i).alias("c"),
+                F.lit(j).alias("j"),
+                (F.floor(target) - F.col(f"_below{i}_{j}")).alias("first"),
+                (F.ceil(target) - F.col(f"_below{i}_{j}")).alias("last"),
+                (target - F.floor(target)).alias("frac"),
+                F.col(f"_prev{i}_{j}").alias("prev"),
+                F.col(f"_next{i}_{j}").alias("next"),
+            )
+        )
+    ranks = below.select(*group, F.explode(F.array(*wanted)).alias("w")).select(*group, "w.*")
+
+    # Pass 3: the values between the pivots, as counts, and their running count.
+    def hit(i: int, j: int, p: float) -> Column:
+        x, (low, high) = F.col(f"_v{i}"), ends(i, j, p)
+        return F.when((x >= low) & (x <= high), F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), x.alias("x")))
+
+    between = met.select(*group, F.explode(F.array_compact(F.array(*[hit(*a) for a in asked]))).alias("h"))
+    on = [*group, "c", "j"]
+    values = between.select(*group, "h.*").groupBy(*on, "x").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*on).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("upto", F.sum("n").over(upto))
+
+    # The order statistics on both sides of the target give the interpolated value.
+    placed = join_on(ranks, values, on)
+    found = placed.groupBy(*on, "first", "last", "frac", "prev", "next").agg(
+        F.min(F.when(F.col("upto") > F.col("first"), F.col("x"))).alias("a"),
+        F.min(F.when(F.col("upto") > F.col("last"), F.col("x"))).alias("b"),
+    )
+    low = F.when(F.col("first") < 0, F.col("prev")).otherwise(F.coalesce("a", "next"))
+    high = F.when(F.col("last") < 0, F.col("prev")).otherwise(F.coalesce("b", "next"))
+    value = F.when((low == high) | (F.col("frac") == 0), low).otherwise(low + (high - low) * F.col("frac"))
+    found = found.select(*group, "c", "j", value.alias("v"))
+    picked = []
+    for i, c in enumerate(names):
+        own = F.collect_list(F.when(F.col("c") == i, F.struct("j", "v")))
+        picked.append(F.transform(F.array_sort(own), lambda s: s["v"]).alias(c))
+    wide = found.groupBy(*group).agg(*picked)
+    held = [F.when(F.exists(q(c), lambda v: v.isNotNull()), q(c)).alias(c) for c in names]
+    return wide.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], *held)
 
 
 def quantile_struct(
@@ -46,95 +116,3 @@ def quantile_struct(
         q(c)[i].alias(f"{c}_q{i}") for c, ps in probs.items() for i in range(len(ps))
     ]
     return wide.select(*keys, *cols)
-
-
-def _log_bin(x: Column) -> Column:
-    scaled = F.signum(x) * F.log1p(F.abs(x)) * F.lit(float(_LOG_BINS_PER_E))
-    return F.floor(F.greatest(F.lit(-1e6), F.least(F.lit(1e6), scaled)))
-
-
-def _narrowed(df: DataFrame, probs: Mapping[str, Sequence[float]], keys: list[str]) -> DataFrame:
-    names = list(probs)
-    values = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("c"), present(df, c).cast("double").alias("x")) for i, c in enumerate(names)])
-    ).alias("v")
-    long = (
-        df.select(*keys, values)
-        .select(*keys, "v.c", "v.x")
-        .where(F.col("x").isNotNull())
-        .withColumn("b1", _log_bin(F.col("x")))
-    )
-    asked = [{"c": i, "j": j, "p": float(p)} for i, c in enumerate(names) for j, p in enumerate(probs[c])]
-    wanted = F.from_json(F.lit(json.dumps(asked)), "array<struct<c:int,j:int,p:double>>")
-    group = [*keys, "c"]
-
-    # Pass 1: counts per logarithmic bin; the ranks wanted and the bins they fall in.
-    bins = long.groupBy(*group, "b1").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    in_order = Window.partitionBy(*group).orderBy("b1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("cum", F.sum("n").over(in_order)).withColumn(
-        "total", F.sum("n").over(Window.partitionBy(*group))
-    )
-    totals = bins.groupBy(*group).agg(F.max("total").alias("total"))
-    asked = totals.withColumn("w", F.explode(F.filter(wanted, lambda w: w["c"] == F.col("c"))))
-    target = F.col("w.p") * (F.col("total") - 1)
-    ranks = asked.select(
-        *group,
-        F.col("w.j").alias("j"),
-        (target - F.floor(target)).alias("frac"),
-        F.explode(F.array_distinct(F.array(F.floor(target), F.ceil(target)))).alias("rank"),
-    )
-    # A few rows per group: kept, so that the passes below do not repeat the one above.
-    cells = checkpointed(_locate(bins, ranks, group))
-
-    # Next passes: equal slices inside those bins, until few rows or one value are left in each.
-    slices = max(64, _SLICES // max(len(p) for p in probs.values()))
-    on = [*group, "b1", "floor"]
-    while not cells.where((F.col("hi") > F.col("lo")) & (F.col("n") > _MOST_RANKED)).isEmpty():
-        step = (F.col("x") - F.col("floor")) / (F.col("ceiling") - F.col("floor")) * slices
-        b2 = F.when(F.col("ceiling") > F.col("floor"), F.least(F.lit(slices - 1), F.floor(step))).otherwise(F.lit(0))
-        inside = _inside(long, cells, group).withColumn("b2", b2.cast("bigint"))
-        slim = inside.groupBy(*on, "b2").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        in_bin = Window.partitionBy(*on).orderBy("b2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        slim = slim.withColumn("cum", F.sum("n").over(in_bin))
-        cells = checkpointed(_locate(slim, _left(cells, group), on).drop("floor"))
-
-    # Last pass: exact ranks among the distinct values of the bins that are left.
-    counts = _inside(long, cells, group).groupBy(*on, "x").agg(F.count("*").alias("n"))
-    in_cell = Window.partitionBy(*on).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = _locate(counts.withColumn("cum", F.sum("n").over(in_cell)), _left(cells, group), on)
-
-    # The two neighbouring order statistics give the interpolated value.
-    value = F.min("x") + (F.max("x") - F.min("x")) * F.max("frac")
-    per_prob = found.groupBy(*group, "j").agg(value.alias("v"))
-    per_col = per_prob.groupBy(*group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("vs")
-    )
-    # Every group keeps a row, also where a column holds no value at all.
-    base = df.groupBy(*keys).agg(F.lit(1).alias("_one"))
-    picked = [F.max(F.when(F.col("c") == i, F.col("vs"))).alias(c) for i, c in enumerate(names)]
-    wide = per_col.groupBy(*keys).agg(*picked)
-    if not keys:
-        return wide
-    return join_on(base.drop("_one"), wide, keys)
-
-
-def _inside(rows: DataFrame, cells: DataFrame, group: list[str]) -> DataFrame:
-    """The rows whose value lies in a cell, with the cell's ends."""
-    ends = cells.select(*group, "b1", F.col("lo").alias("floor"), F.col("hi").alias("ceiling")).distinct()
-    return join_on(rows, ends, [*group, "b1"], "inner").where(F.col("x").between(F.col("floor"), F.col("ceiling")))
-
-
-def _left(cells: DataFrame, group: list[str]) -> DataFrame:
-    """The ranks, counted inside their cells."""
-    return cells.select(*group, "j", "frac", "b1", F.col("lo").alias("floor"), F.col("left").alias("rank"))
-
-
-def _locate(hist: DataFrame, ranks: DataFrame, on: list[str]) -> DataFrame:
-    """The histogram cell that holds each rank, and the rank counted inside it."""
-    cond = reduce(lambda a, b: a & b, [hist[k].eqNullSafe(F.col(f"_k_{k}")) for k in on])
-    asked = ranks.withColumnsRenamed({k: f"_k_{k}" for k in on})
-    hit = (F.col("rank") < F.col("cum")) & (F.col("rank") >= F.col("cum") - F.col("n"))
-    cells = hist.join(asked, cond, "inner").where(hit)
-    return cells.withColumn("left", F.col("rank") - (F.col("cum") - F.col("n"))).drop(
-        "rank", *[f"_k_{k}" for k in on]
-    )

@@ -43,10 +43,31 @@ def test_groups_equal_sorting(spark):
         assert r["y"] == pytest.approx(own["y"].quantile(PROBS).tolist(), rel=1e-12)
 
 
-def test_narrowing_repeats_until_few_rows_are_left(spark, monkeypatch):
-    """A far value inside the logarithmic bin leaves the others in one slice of the next pass."""
-    monkeypatch.setattr(quantiles, "_MOST_RANKED", 50)
-    values = [1000.0 + i * 1e-9 for i in range(700)] + [1003.0] + [1000.0] * 100
-    df = spark.createDataFrame([(v,) for v in values], "x double")
+def test_pivots_that_leave_many_values_between_them(spark, monkeypatch):
+    """A rough sketch: ranks next to, on and between pivots, repeated values, far values and infinities."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 10)
+    monkeypatch.setattr(quantiles, "_MARGIN", 0.2)
+    rng = random.Random(8)
+    values = [1000.0 + i * 1e-9 for i in range(700)] + [1003.0, -1e300, 1e300] + [1000.0] * 100 + [rng.random() for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(6)
     got = quantile_table(df, {"x": PROBS}).first()["x"]
     assert got == pytest.approx(pd.Series(values).quantile(PROBS).tolist(), rel=1e-14)
+    ends = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),)], "x double")
+    assert quantile_table(ends, {"x": [0.0, 0.5, 1.0]}).first()["x"] == [float("-inf"), 1.0, float("inf")]
+
+
+@pytest.mark.parametrize("n", list(range(1, 12)) + [37])
+def test_small_groups_at_many_ranks(spark, n):
+    rng = random.Random(n)
+    values = [float(rng.randint(0, 6)) for _ in range(n)]
+    probs = [i / 20 for i in range(21)] + [0.333, 0.951, 0.9999]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert quantile_table(df, {"x": probs}).first()["x"] == pytest.approx(pd.Series(values).quantile(probs).tolist(), rel=1e-12)
+
+
+def test_no_job_runs_while_the_plan_is_built(spark):
+    df = spark.createDataFrame(_rows(50), "g int, x double, y double")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.jobsList(None).size()
+    quantile_table(df, {"x": PROBS, "y": [0.5]}, "g")
+    assert store.jobsList(None).size() == before
