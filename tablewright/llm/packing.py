@@ -25,7 +25,7 @@ OPEN_WINDOWS = 1024
 REMEMBERED = 100_000
 
 #: Characters of text that are split before their new words are looked up together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 21
 
 #: Characters up to this one are split here; texts with others go to the library whole.
 _LAST = 0x24F
@@ -65,14 +65,10 @@ class Memory(dict):
 
     def missing(self, wanted: set[str]) -> list[str]:
         """Those of ``wanted`` that are in neither generation; the others are in the newer one afterwards."""
-        out, old = [], self.old
-        for x in wanted - self.keys():
-            ids = old.get(x)
-            if ids is None:
-                out.append(x)
-            else:
-                self[x] = ids
-        return out
+        new = wanted.difference(self)
+        known = new.intersection(self.old)
+        self.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        return list(new.difference(known))
 
     def age(self) -> None:
         if len(self) > REMEMBERED:
