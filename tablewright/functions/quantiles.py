@@ -2,14 +2,16 @@
 
 Distributed selection with two pivots around each wanted rank. One pass builds a mergeable rank
 sketch of every column and group, whose error is bounded; it yields pivots that the rank must lie
-between. A second pass counts what lies below them, a third folds the few values between them
-to counts, and only those are ranked. All columns and ranks go through the same passes, with
-map-side combine. Nothing runs while the plan is built.
+between. A second pass folds the values: those between two pivots by value, all others to one
+count for each gap. Running counts over these few rows place the ranks. All columns and ranks go
+through the same passes, with map-side combine. Nothing runs while the plan is built.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ ACCURACY = 20_000
 #: Distance of the pivots from the wanted share of rows: twice the error on either side.
 _MARGIN = 2 / ACCURACY
 
+#: Pivots that are compared one by one.
+_FEW = 16
+
 
 def quantile_table(
     df: DataFrame,
@@ -33,79 +38,79 @@ def quantile_table(
     Nulls and NaN do not count. A group without any value of a column has null there.
     """
     keys, names = as_list(by), list(probs)
-    rows = df.select(*[q(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[present(df, c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
     group = [f"_k{i}" for i in range(len(keys))]
-    asked = [(i, j, float(p)) for i, c in enumerate(names) for j, p in enumerate(probs[c])]
+    rows = df.select(*[q(k).alias(g) for k, g in zip(keys, group, strict=True)], *[present(df, c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
 
     # Pass 1: pivots around each rank, by a sketch of bounded error.
-    near = {i: [min(1.0, max(0.0, p + side)) for k, _, p in asked if k == i for side in (-_MARGIN, _MARGIN)] for i in range(len(names))}
-    sketch = [F.percentile_approx(f"_v{i}", near[i], ACCURACY).alias(f"_p{i}") for i in near]
-    pivots = rows.groupBy(*group).agg(*sketch)
+    asked = [sorted((float(p), j) for j, p in enumerate(probs[c])) for c in names]
+    pivots = rows.groupBy(*group).agg(*[F.percentile_approx(f"_v{i}", _shares(a), ACCURACY).alias(f"_p{i}") for i, a in enumerate(asked)])
+    pivots = pivots.select(*group, *[x for i, a in enumerate(asked) for x in _pivots(i, [p for p, _ in a])])
     if keys:
         met = join_on(rows, pivots, group)
     else:
-        met = with_stats(rows, pivots, "_s").select("*", *[F.col(f"_s._p{i}").alias(f"_p{i}") for i in near])
-
-    def ends(i: int, j: int, p: float) -> tuple[Column, Column]:
-        low = F.lit(float("-inf")) if p <= _MARGIN else F.col(f"_p{i}")[2 * j]
-        return low, F.lit(float("inf")) if p >= 1 - _MARGIN else F.col(f"_p{i}")[2 * j + 1]
-
-    # Pass 2: how many values lie below the lower pivot, and the nearest ones outside of the two.
-    counts = []
-    for i in range(len(names)):
-        counts.append(F.count(f"_v{i}").alias(f"_n{i}"))
-    for i, j, p in asked:
-        x, (low, high) = F.col(f"_v{i}"), ends(i, j, p)
-        counts.append(F.count_if(x < low).alias(f"_below{i}_{j}"))
-        counts.append(F.max(F.when(x < low, x)).alias(f"_prev{i}_{j}"))
-        counts.append(F.min(F.when(x > high, x)).alias(f"_next{i}_{j}"))
-    below = met.groupBy(*group).agg(*counts)
-    wanted = []
-    for i, j, p in asked:
-        target = F.lit(p) * (F.col(f"_n{i}") - 1)
-        wanted.append(
-            F.struct(
-                F.lit(i).alias("c"),
-                F.lit(j).alias("j"),
-                (F.floor(target) - F.col(f"_below{i}_{j}")).alias("first"),
-                (F.ceil(target) - F.col(f"_below{i}_{j}")).alias("last"),
-                (target - F.floor(target)).alias("frac"),
-                F.col(f"_prev{i}_{j}").alias("prev"),
-                F.col(f"_next{i}_{j}").alias("next"),
-            )
-        )
-    ranks = below.select(*group, F.explode(F.array(*wanted)).alias("w")).select(*group, "w.*")
-
-    # Pass 3: the values between the pivots, as counts, and their running count.
-    def hit(i: int, j: int, p: float) -> Column:
-        x, (low, high) = F.col(f"_v{i}"), ends(i, j, p)
-        return F.when((x >= low) & (x <= high), F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), x.alias("x")))
-
-    between = met.select(*group, F.explode(F.array_compact(F.array(*[hit(*a) for a in asked]))).alias("h"))
-    on = [*group, "c", "j"]
-    values = between.select(*group, "h.*").groupBy(*on, "x").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*on).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = values.withColumn("upto", F.sum("n").over(upto))
-
-    # The order statistics on both sides of the target give the interpolated value.
-    placed = join_on(ranks, values, on)
-    found = placed.groupBy(*on, "first", "last", "frac", "prev", "next").agg(
-        F.min(F.when(F.col("upto") > F.col("first"), F.col("x"))).alias("a"),
-        F.min(F.when(F.col("upto") > F.col("last"), F.col("x"))).alias("b"),
-    )
-    low = F.when(F.col("first") < 0, F.col("prev")).otherwise(F.coalesce("a", "next"))
-    high = F.when(F.col("last") < 0, F.col("prev")).otherwise(F.coalesce("b", "next"))
-    value = F.when((low == high) | (F.col("frac") == 0), low).otherwise(low + (high - low) * F.col("frac"))
-    found = found.select(*group, "c", "j", value.alias("v"))
-    picked = []
-    for i, c in enumerate(names):
-        own = F.collect_list(F.when(F.col("c") == i, F.struct("j", "v")))
-        picked.append(F.transform(F.array_sort(own), lambda s: s["v"]).alias(c))
-    wide = found.groupBy(*group).agg(*picked)
-    held = [F.when(F.exists(q(c), lambda v: v.isNotNull()), q(c)).alias(c) for c in names]
+        met = with_stats(rows, pivots, "_s").select("*", "_s.*")
+
+    # Pass 2: a value between two pivots counts for itself, any other for the gap that it lies in.
+    events = []
+    for i, a in enumerate(asked):
+        x = F.col(f"_v{i}")
+        low, high = _passed(F.col(f"_l{i}"), len(a), lambda p, x=x: p <= x), _passed(F.col(f"_h{i}"), len(a), lambda p, x=x: p < x)
+        events.append(F.struct(F.lit(i).alias("c"), F.when(low == high, low).alias("gap"), F.when(low > high, x).alias("own"), x.alias("x")))
+    cells = met.select(*group, F.explode(F.array(*events)).alias("e")).select(*group, "e.*").groupBy(*group, "c", "gap", "own")
+    cells = cells.agg(F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+
+    # Running counts place the ranks: on a value, or on the first or last one of a gap.
+    column = Window.partitionBy(*group, "c")
+    upto = column.orderBy("least").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(column))
+    listed = F.from_json(F.lit(json.dumps([{"c": i, "j": j, "p": p} for i, a in enumerate(asked) for p, j in a])), "array<struct<c:int,j:int,p:double>>")
+    ranks = F.transform(F.filter(listed, lambda a: a.c == F.col("c")), _rank)
+    start = F.col("upto") - F.col("n")
+    here = F.filter(ranks, lambda r: ((r.first >= start) & (r.first < F.col("upto"))) | ((r.last >= start) & (r.last < F.col("upto"))))
+    cells = cells.withColumn("here", here).where("total = 0 or size(here) > 0").withColumn("start", start)
+    placed = cells.select("*", F.explode_outer("here").alias("r"))
+
+    def at(rank: Column) -> Column:
+        inside = (rank >= F.col("start")) & (rank < F.col("upto"))
+        edge = F.when(rank == F.col("upto") - 1, F.col("most")).when(rank == F.col("start"), F.col("least"))
+        return F.when(inside, F.coalesce("own", edge))
+
+    found = placed.groupBy(*group, "c", "r.j", "r.frac").agg(F.max(at(F.col("r.first"))).alias("low"), F.max(at(F.col("r.last"))).alias("high"))
+    value = F.when((F.col("low") == F.col("high")) | (F.col("frac") == 0), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("frac"))
+    found = found.withColumn("v", value)
+    own = [F.array_sort(F.collect_list(F.when((F.col("c") == i) & F.col("j").isNotNull(), F.struct("j", "v")))).alias(f"_o{i}") for i in range(len(names))]
+    wide = found.groupBy(*group).agg(*own)
+    held = [F.when(F.size(f"_o{i}") > 0, F.transform(f"_o{i}", lambda s: s["v"])).alias(c) for i, c in enumerate(names)]
     return wide.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], *held)
 
 
+def _shares(asked: list[tuple[float, int]]) -> list[float]:
+    return [min(1.0, max(0.0, p + side)) for side in (-_MARGIN, _MARGIN) for p, _ in asked]
+
+
+def _pivots(i: int, asked: list[float]) -> list[Column]:
+    """The lower and the upper pivots of a column as arrays; a rank next to an end has that end as pivot."""
+    p, m = F.col(f"_p{i}"), len(asked)
+    low = [F.lit(float("-inf")) if share <= _MARGIN else p[k] for k, share in enumerate(asked)]
+    high = [F.lit(float("inf")) if share >= 1 - _MARGIN else p[m + k] for k, share in enumerate(asked)]
+    return [F.array(*low).alias(f"_l{i}"), F.array(*high).alias(f"_h{i}")]
+
+
+def _passed(pivots: Column, m: int, below: Callable[[Column], Column]) -> Column:
+    """How many of ``m`` ascending pivots a value has passed; many are looked through in two steps."""
+    if m <= _FEW:
+        return reduce(lambda a, b: a + b, [F.when(below(pivots[k]), 1).otherwise(0) for k in range(m)])
+    step = int(m**0.5) + 1
+    coarse = F.array(*[pivots[k] for k in range(step - 1, m, step)])
+    block = F.size(F.filter(coarse, below)) * step
+    return block + F.size(F.filter(F.slice(pivots, block + 1, F.lit(step)), below))
+
+
+def _rank(asked: Column) -> Column:
+    target = asked.p * (F.col("total") - 1)
+    return F.struct(asked.j.alias("j"), F.floor(target).alias("first"), F.ceil(target).alias("last"), (target - F.floor(target)).alias("frac"))
+
+
 def quantile_struct(
     df: DataFrame, probs: Mapping[str, Sequence[float]], by: Sequence[str] | str | None = None
 ) -> DataFrame:

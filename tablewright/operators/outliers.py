@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.common import as_list, join_on, present, q, with_stats
 from ..functions.ordered import row_frame
 from ..functions.quantiles import quantile_table
+from ..functions.scale import checkpointed
 
 
 def bounds(
@@ -39,7 +40,8 @@ def bounds(
     elif method == "mad":
         k = 3.5 if k is None else k
         med = quantile_table(df, {c: [0.5] for c in cols}, keys)
-        med = med.select(*keys, *[q(c)[0].alias(f"_m_{c}") for c in cols])
+        # a few rows, kept: what follows reads them more than once
+        med = checkpointed(med.select(*keys, *[q(c)[0].alias(f"_m_{c}") for c in cols]))
         off = join_on(df, med, keys) if keys else with_stats(df, med, "_med").select("*", "_med.*")
         off = off.select(*keys, *[F.abs(present(df, c) - q(f"_m_{c}")).cast("double").alias(c) for c in cols])
         mad = quantile_table(off, {c: [0.5] for c in cols}, keys)
