@@ -291,8 +291,7 @@ def jaccard_components(
     rows = told.groupBy("row").agg(*parts, F.flatten(F.collect_list("shared")).alias("shared"))
     enough = (100 * F.size("shared") >= percent * F.col("n")) & (F.col("n") > 0) & (F.col("row") == F.col("rep"))
     rows = checkpointed(rows.withColumn("shared", F.when(enough, F.col("shared"))))
-    del sent, told
-    release(df.sparkSession)
+    release(df.sparkSession)  # the blocks
 
     left = rows.where("shared is not null").select("row", "n", "same", "shared")
     firsts = left.groupBy("same").agg(F.min("row").alias("first"))
@@ -313,6 +312,7 @@ def jaccard_components(
             (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int").alias("prefix"),
         )
     )
+    release(df.sparkSession)
     within = F.greatest(F.lit(0), F.col("prefix") - F.col("alone")).cast("int")
     posted = sets.select("row", "n", "alone", "sizes", F.posexplode(F.slice("grams", F.lit(1), within)).alias("i", "gram"))
     posted = posted.withColumn("position", F.col("alone") + F.col("i")).drop("i")
