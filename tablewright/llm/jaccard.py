@@ -291,7 +291,8 @@ def jaccard_components(
     rows = told.groupBy("row").agg(*parts, F.flatten(F.collect_list("shared")).alias("shared"))
     enough = (100 * F.size("shared") >= percent * F.col("n")) & (F.col("n") > 0) & (F.col("row") == F.col("rep"))
     rows = checkpointed(rows.withColumn("shared", F.when(enough, F.col("shared"))))
-    release(df.sparkSession)  # the blocks
+    del sent, told
+    release(df.sparkSession)
 
     left = rows.where("shared is not null").select("row", "n", "same", "shared")
     firsts = left.groupBy("same").agg(F.min("row").alias("first"))
