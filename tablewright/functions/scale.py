@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,11 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete shuffles and checkpoints that no DataFrame refers to any more.
 
     Its cleaner finds them when the driver's heap is collected, which a driver with little to do puts off. The
-    scheduler holds the stages of the last job until the next one, so a job of one row goes first.
+    scheduler and the listeners hold the last job until the next one is told, so a job of one row goes first.
     """
     gc.collect()
     spark.range(1).count()
+    time.sleep(1)
     spark.sparkContext._jvm.System.gc()
 
 
