@@ -54,15 +54,19 @@ def _without(docs: DataFrame, told: DataFrame, digest) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without any language: those whose text is null or holds no letter.
+    """Reject documents without any language: null texts, texts without letters, and texts of which the model knows
+    no word and no part of a word, so that all languages are equally likely.
 
-    The identifier is fitted on the documents that have a language. If none has, letters alone decide.
+    The identifier is fitted on the documents that have a language. If none has, letters alone decide. Repeated
+    rows are judged alike; of equally likely languages, that some are likelier than others is enough to stay.
     """
     ship(spark)
     told = _fresh(docs, "language")
     model = language.fit(docs)
     found = language.identify(docs, model, out_col=told)
     good = F.col(f"{told}.lang") != language.UNDETERMINED
+    if len(model.languages) > 1:
+        good = good & (F.col(f"{told}.score") > 1 / len(model.languages) + 1e-9)
     return found.where(good if model.languages else F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
@@ -82,7 +86,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are replaced by ``[secret]``, and ``n_chars`` follows."""
+    """Every document stays; secrets in its text are replaced by ``[secret]``, and ``n_chars`` follows.
+
+    A null text and a null count stay null; repeated rows are masked alike; spans that touch become one mark.
+    """
     ship(spark)
     before = _fresh(docs, "before")
     masked = leaks.redacted(docs.withColumn(before, F.length("text")), BYTE_RANKS, public_tokenizers.PATTERN)
@@ -93,7 +100,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens, with their ids."""
+    """The pieces of all documents in sequences of 4096 tokens, with their ids.
+
+    A null text is packed as its end alone; repeated rows and identifiers are packed one by one.
+    """
     ship(spark)
     return packing.packed(docs, WORD_VOCABULARY, END_ID)
 
