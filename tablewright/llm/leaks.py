@@ -42,6 +42,9 @@ LETTERS_RATIO = 1.85
 #: Characters of a random string, and the mean length from which pieces without digits are no initials.
 LEAST_RUN, LEAST_PIECE = 20, 4
 
+#: Characters of what a base span leaves of a random string, from which it is reported.
+LEAST_PART = 4
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of the fixed patterns; leftmost, not overlapping within a kind."""
@@ -110,11 +113,44 @@ def random_spans(text: str, path: str, pattern: str, most_ratio: float = MOST_RA
     return found
 
 
+def _outside(start: int, end: int, covered: list[tuple[int, int]], at: int) -> Iterator[tuple[int, int]]:
+    """What a stretch has outside of covered ones, which ascend and do not touch; none before ``at`` reaches it."""
+    for low, high in covered[at:]:
+        if low >= end:
+            break
+        if start < low:
+            yield start, low
+        start = max(start, high)
+    if start < end:
+        yield start, end
+
+
 def scan(text: str, path: str, pattern: str, most_ratio: float = MOST_RATIO) -> list[tuple[int, int, int]]:
-    """All base spans, and the random runs that overlap none of them."""
+    """All base spans, and the random strings outside of them.
+
+    A random string that a base span touches is not dropped: what it has outside of the base spans is reported, as
+    it is part of a string that was judged as a whole.
+    """
     found = base_spans(text)
-    extra = [x for x in random_spans(text, path, pattern, most_ratio) if not any(s < x[2] and x[0] < e for s, _, e in found)]
-    return sorted(found + extra)
+    extra = random_spans(text, path, pattern, most_ratio)
+    if not found or not extra:
+        return found + extra
+    covered: list[tuple[int, int]] = []
+    for start, _, end in found:
+        if covered and start <= covered[-1][1]:
+            covered[-1] = covered[-1][0], max(end, covered[-1][1])
+        else:
+            covered.append((start, end))
+    out, at = found, 0
+    for start, kind, end in extra:
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        for low, high in _outside(start, end, covered, at):
+            part = text[low:high].strip("/_-=+")
+            low += text[low:high].find(part)
+            if len(part) >= LEAST_PART:
+                out.append((low, kind, low + len(part)))
+    return sorted(out)
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -126,10 +162,11 @@ def secret_spans(df: DataFrame, path: str, pattern: str, text_col: str = "text",
     Kinds are ``assign`` (a keyword with a value of 12 or more characters), ``access`` (access keys of 18
     or more), ``hex`` (16 or more digits) and ``random``: runs that the vocabulary in ``path`` needs many
     tokens for, whole or in neighbouring parts between ``/``, ``_`` and ``-``, other than digests, UUIDs,
-    runs without letters, and what a base span covers. Runs of letters alone must stay below a ratio of 1.85.
+    and runs without letters. What a base span covers of a random run is left to it, and the rest of the run is
+    reported if it has four characters or more. Runs of letters alone must stay below a ratio of 1.85.
     Positions count code points, the end is exclusive; spans are sorted by start, then by kind as listed.
-    A null or empty text has no spans; a column that is already called ``spans_col`` is replaced. A map
-    over the rows, without a shuffle.
+    A null or empty text has no spans; a column that is already called ``spans_col`` is replaced. Repeated rows are
+    told row by row, an empty table gives no rows. A map over the rows, without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +180,7 @@ def secret_spans(df: DataFrame, path: str, pattern: str, text_col: str = "text",
 def redacted(df: DataFrame, path: str, pattern: str, text_col: str = "text", mark: str = "[secret]", most_ratio: float = MOST_RATIO) -> DataFrame:
     """``df`` with every secret in a text column replaced by ``mark``; other texts stay as they are, null stays null.
 
-    Spans that overlap or touch are replaced as one.
+    Spans that overlap or touch are replaced as one. Repeated rows stay repeated, an empty table stays empty.
     """
 
     def clean(text: str) -> str:
