@@ -16,14 +16,21 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scale import checkpointed, shared_folder
+from ..functions.scale import checkpointed, shared_folder, shuffle_width
 from .batches import raw, task_id
 
 #: A task starts a new archive when the open one has this many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
 
-#: Where captures have no time of their own, that of page 0; each page is one second later than the one before.
-FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
+#: Where captures have no time of their own, that of page 0; each page is one second later than the one before, and
+#: starts again after so many seconds.
+FIRST_CAPTURE, CAPTURE_SECONDS = datetime(2024, 1, 1, tzinfo=UTC), 10**10
+
+#: Captures that a range of the merge is meant to hold.
+RANGE_ROWS = 100_000
+
+#: The table of a folder's archives.
+_LISTED = "_archives"
 
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = "urn:page:"
@@ -98,13 +105,15 @@ def _write(folder: str, archive_bytes: int):
         written = 0
 
         def close() -> None:
-            nonlocal out, made
+            nonlocal out, made, total
             if out is not None:
                 out.close()
-                store.move(f"{top}/.{attempt}", f"{top}/part-{task:06d}-{made:05d}.warc.gz")  # a task that runs again puts the same in its place
-                out, made = None, made + 1
+                name = f"part-{task:06d}-{attempt}-{made:05d}.warc.gz"
+                store.move(f"{top}/.{attempt}", f"{top}/{name}")
+                told.append((name, total))
+                out, made, total = None, made + 1, 0
 
-        total = 0
+        total, told = 0, []
         for batch in batches:
             html = raw(batch.column("html"))
             columns = [batch.column(n).to_pylist() for n in ("page_id", "url", "captured", "refers_to", "revisit")]
@@ -118,7 +127,8 @@ def _write(folder: str, archive_bytes: int):
                 if written >= archive_bytes:
                     close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["records"])
+        names, numbers = zip(*told, strict=True) if told else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int64())], ["name", "records"])
 
     return run
 
@@ -128,13 +138,14 @@ def write_archives(pages: DataFrame, folder: str, time_col: str | None = None, a
 
     Of rows with equal payloads that with the largest ``page_id`` is a response, the others are revisits
     that refer to it; rows that repeat its identifier are responses too. Payloads are dealt by page, so
-    no task gets all copies of one; only digests meet. Archives appear under their final names when whole.
+    no task gets all copies of one; only digests meet. Each attempt of a task writes archives of its own names, and what
+    the attempts that succeeded wrote is listed in the folder's ``_archives``; others are never read.
     """
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"),
-        (F.col(time_col).cast("timestamp") if time_col else F.timestamp_seconds(F.coalesce(F.col("page_id").cast("long"), F.lit(0)) + int(FIRST_CAPTURE.timestamp()))).alias("time"),
+        (F.col(time_col).cast("timestamp") if time_col else F.timestamp_seconds(F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(CAPTURE_SECONDS)) + int(FIRST_CAPTURE.timestamp()))).alias("time"),
     ).withColumn("captured", F.date_format(F.to_utc_timestamp("time", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")).drop("time")
     keyed = own.withColumn("same", F.concat_ws("-", F.coalesce(F.octet_length("html"), F.lit(0)), F.sha1(F.coalesce("html", F.lit("")))))
     small = keyed.select("page_id", "same")
@@ -145,7 +156,8 @@ def write_archives(pages: DataFrame, folder: str, time_col: str | None = None, a
     marked = marked.withColumn("revisit", F.col("refers_to").isNotNull())
     store, top = _store(folder)
     store.create_dir(top, recursive=True)
-    return marked.mapInArrow(_write(folder, archive_bytes), "records long").agg(F.sum("records")).first()[0] or 0
+    marked.mapInArrow(_write(folder, archive_bytes), "name string, records long").write.parquet(f"{folder}/{_LISTED}")
+    return pages.sparkSession.read.parquet(f"{folder}/{_LISTED}").agg(F.sum("records")).first()[0] or 0
 
 
 def _number(value: str | None) -> int | None:
@@ -250,12 +262,18 @@ def capture_index(spark: SparkSession, folder: str) -> DataFrame:
     Each archive is read as a stream and gives a run that is sorted where it is read; a response's payload
     is checked against its digest. The runs are written to the shared folder and cut at borders of key,
     time and page, so a URL with very many captures is split; in each range a loser tree merges the parts
-    of all runs. ``part, position`` is a capture's place in the whole order. A folder without archives has
+    of all runs, of about ``RANGE_ROWS`` captures. ``part, position`` is a capture's place in the whole order. A folder without archives has
     no captures.
     """
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+    store, top = _store(folder)
+    if store.get_file_info(f"{top}/{_LISTED}").type == pafs.FileType.NotFound:
+        archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+    else:
+        archives = spark.read.parquet(f"{folder}/{_LISTED}").select(F.concat(F.lit(f"{folder}/"), "name").alias("path"))
+        archives = archives.repartition(shuffle_width(spark), "path")
     runs = checkpointed(archives.mapInArrow(_index, _INDEX_DDL))
-    cut = runs.repartitionByRange(F.col("url_key"), F.col("captured"), F.col("page_id"), F.col("archive"), F.col("offset"))
+    ranges = max(shuffle_width(spark), -(-runs.count() // RANGE_ROWS))
+    cut = runs.repartitionByRange(ranges, F.col("url_key"), F.col("captured"), F.col("page_id"), F.col("archive"), F.col("offset"))
     return cut.sortWithinPartitions("run", "position").mapInArrow(_merge, _MERGED_DDL)
 
 

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import shutil
 import uuid
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from tablewright.functions.scale import shared_folder
+from tablewright.llm import warc
 from tablewright.llm.warc import LoserTree, archived, capture_index, url_key, write_archives
 
 PAGES = [
@@ -52,7 +54,7 @@ def test_archives_are_whole_and_a_given_time_is_kept(spark):
     folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
     pages = spark.createDataFrame(PAGES[:2], "page_id long, url string, html string").withColumn("at", F.timestamp_seconds(F.lit(1_000_000_000)))
     assert write_archives(pages, folder, "at") == 2
-    names = [f.base_name for f in pafs.LocalFileSystem().get_file_info(pafs.FileSelector(folder))]
+    names = [f.base_name for f in pafs.LocalFileSystem().get_file_info(pafs.FileSelector(folder)) if f.base_name != "_archives"]
     assert names and all(n.endswith(".warc.gz") and not n.startswith(".") for n in names)
     assert {r.captured for r in capture_index(spark, folder).collect()} == {"2001-09-09T01:46:40Z"}
 
@@ -67,3 +69,23 @@ def test_loser_tree():
 def test_url_key():
     assert url_key("http://WWW.A.example.com:80/X?y=1") == "com,example,a)/x?y=1"
     assert url_key("") == ")/"
+
+
+def test_any_page_id_and_archives_of_lost_attempts(spark, monkeypatch):
+    rows = [(i, "http://a.example.com/", f"page {i % 3}") for i in (0, -1, 10**13, 2**63 - 1, -(2**63), 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "RANGE_ROWS", 2)
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    assert write_archives(pages, folder, archive_bytes=100) == len(rows)
+    # a whole archive that a lost attempt left is not listed, and not read
+    names = [f.path for f in pafs.LocalFileSystem().get_file_info(pafs.FileSelector(folder)) if f.base_name.endswith(".gz")]
+    shutil.copy(names[0], f"{folder}/part-000000-lost-00000.warc.gz")
+    index = capture_index(spark, folder)
+    got = Counter(map(tuple, index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
+    want = defaultdict(list)
+    for i, _, html in rows:
+        want[html].append(i)
+    assert sorted(k[0] for k in got.elements()) == sorted(i for i, *_ in rows)
+    assert all((k[3] == "response") == any(k[0] == max(m) for m in want.values()) for k in got)
+    order = [(r.url_key, r.captured, r.page_id) for r in index.orderBy("part", "position").collect()]
+    assert order == sorted(order)
