@@ -55,16 +55,23 @@ def build(ids: np.ndarray, rows: np.ndarray, leaf_rows: int = LEAF_ROWS) -> Tree
     return Tree(ids[order], rows[order], np.array(nodes, np.int64), np.array(low), np.array(high))
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> type:
+    """The type in which sums of products of rows of ``a`` and ``b``, and of two such sums, are exact."""
+    if _floats(a, b):
+        return np.float64
+    most = [max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0)))) for x in (a, b)]
+    return np.int64 if most[0] * most[1] * max(1, a.shape[1]) < 2**62 else object
+
+
 def _floats(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether inner products of rows of ``a`` and ``b`` are exact as floating-point numbers."""
     return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1]) < 2**53
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``a @ b.T`` of integers, by floating point where that is exact."""
-    if _floats(a, b):
-        return a.astype(np.float64) @ b.T.astype(np.float64)
-    return a.astype(np.int64) @ b.T.astype(np.int64)
+    """``a @ b.T`` of integers: as floating-point numbers, longs or Python's integers, whichever is exact."""
+    kind = _exact(a, b)
+    return a.astype(kind) @ b.T.astype(kind)
 
 
 def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -77,12 +84,12 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, bounds: np.nd
     positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
     reach = _product(positive, tree.high) + _product(negative, tree.low)
     children = tree.nodes.tolist()
-    rows = tree.rows.astype(np.float64 if _floats(queries, tree.rows) else np.int64)
+    rows = tree.rows.astype(_exact(queries, tree.rows))
     wanted = queries.astype(rows.dtype)
     out = []
     for q, own in enumerate(query_ids.tolist()):
         best: list[tuple[int, int]] = []  # (score, -vec_id), the worst first
-        kth, mine, limit = bounds[q], wanted[q], reach[q]
+        kth, mine, limit = int(bounds[q]), wanted[q], reach[q]
         heap = [(-limit[0], 0)]
         while heap:
             bound, node = heapq.heappop(heap)
@@ -95,7 +102,7 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, bounds: np.nd
                         heapq.heappush(heap, (-limit[child], child))
                 continue
             scores = rows[start:end] @ mine
-            for i in np.flatnonzero(scores >= kth):
+            for i in np.flatnonzero((scores >= kth).astype(bool)):
                 vec_id = int(tree.ids[start + i])
                 if vec_id == own:
                     continue
@@ -154,14 +161,16 @@ def _visit(k: int):
 def _parted(vectors: DataFrame, rows: int, salt: int) -> DataFrame:
     """Rows of each dimension dealt evenly into parts of about ``rows``."""
     parts = vectors.groupBy("dim").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
-    return vectors.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col("parts")).cast("int"))
+    return vectors.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("row", F.lit(salt)), F.col("parts")).cast("int"))
 
 
 def whole_vector(column: str, scale: float) -> Column:
     """floor(scale * x) of each component x, as long; null if the vector or a component is null, infinite or no number."""
     v = F.transform(column, lambda x: x.cast("double"))
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(good & (F.size(v) > 0), F.transform(v, lambda x: F.floor(x * scale).cast("long")))
+    far = F.exists(v, lambda x: F.abs(x * scale) >= float(1 << 63))
+    told = F.when(far, F.raise_error(F.lit("a scaled component does not fit into a long")).cast("array<bigint>"))
+    return F.when(good & (F.size(v) > 0), told.otherwise(F.transform(v, lambda x: F.floor(x * scale).cast("long"))))
 
 
 def top_k(
@@ -185,11 +194,12 @@ def top_k(
     blocks are joined, by equal keys; a task holds one shard and one block, both of bounded size.
 
     Rows with a null identifier, or whose vector is null, empty or holds a null, an infinity or a NaN, take
-    no part. Vectors meet only vectors of their own length. Of rows that repeat an identifier the smallest
-    vector takes part. Fewer than ``k`` other rows give all of them; an empty table gives no rows.
+    no part. Vectors meet only vectors of their own length. Rows that repeat an identifier all take part: each is a
+    candidate of its own, and as queries they share the ``k`` best pairs. Scores are exact; a scaled component or a
+    score among the best that does not fit into a long is an error. Fewer than ``k`` other rows give all of them; an empty table gives no rows.
     """
     named = df.select(F.col(id_col).cast("long").alias("vec_id"), whole_vector(vector_col, scale).alias("vector")).where("vec_id is not null and vector is not null")
-    vectors = checkpointed(named.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")))
+    vectors = checkpointed(named.withColumns({"dim": F.size("vector"), "row": F.monotonically_increasing_id()}))
     key = ["dim", "part", "parts"]
     shards = checkpointed(_parted(vectors, shard_rows, 0).groupBy(*key).applyInArrow(_shard(leaf_rows), _BLOB_DDL))
     queries = _parted(vectors.where(is_query), query_rows, 1)

@@ -1,24 +1,19 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm.kdtree import build, search, top_k
 
 
 def brute(rows, k, scale=256):
-    good = {}
-    for vec_id, v in rows:
-        if vec_id is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        whole = [math.floor(scale * x) for x in v]
-        good[vec_id] = min(good.get(vec_id, whole), whole)
-    out = set()
-    for q, a in good.items():
-        if q % 50 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in good.items() if c != q and len(a) == len(b))
-            out |= {(q, i + 1, c, -s) for i, (s, c) in enumerate(scores[:k])}
-    return out
+    good = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v and not any(x is None or not math.isfinite(x) for x in v)]
+    out = []
+    for q in {i for i, _ in good if i % 50 == 0}:
+        scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for i, a in good if i == q for c, b in good if c != q and len(a) == len(b))
+        out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scores[:k])]
+    return sorted(out)
 
 
 def test_equals_brute_force_over_many_shards(spark):
@@ -28,7 +23,7 @@ def test_equals_brute_force_over_many_shards(spark):
     rows += [(900, [float("nan")] * 6), (950, None), (1000, []), (1001, [1.0, None]), (None, [1.0] * 6), (1050, [math.inf] * 6), (1100, [0.5, 0.25]), (1101, [0.5, 0.5]), (1102, [-0.001, 0.5]), (50, [9.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("dim", F.lit("x")).withColumn("part", F.lit(1))
     got = top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=100, leaf_rows=8, query_rows=4)
-    assert {tuple(r) for r in got.collect()} == brute(rows, 5)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5)
     assert top_k(df.where("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
@@ -38,6 +33,18 @@ def test_large_numbers_stay_exact(spark):
     assert {tuple(r) for r in top_k(df, F.col("vec_id") == 0, 2, scale=1.0).collect()} == {(0, 1, 2, 60000000000000002), (0, 2, 1, 60000000000000001)}
 
 
+def test_products_beyond_longs_and_repeated_rows(spark):
+    ddl = "vec_id long, embedding array<double>"
+    rows = [(0, [1e18, -1.0]), (1, [-1e18, 1.0]), (2, [9.0, 2.0]), (2, [9.0, 2.0]), (3, [-9.0, 1e17]), (50, [1.0, 1.0]), (50, [2.0, -1.0])]
+    got = top_k(spark.createDataFrame(rows, ddl), F.col("vec_id") % 50 == 0, 3, scale=1.0, shard_rows=2, leaf_rows=1)
+    # scores beyond a long are among the worst here
+    assert sorted(map(tuple, got.collect())) == brute(rows, 3, 1)
+    with pytest.raises(Exception):
+        top_k(spark.createDataFrame([(0, [1e18]), (1, [1e18])], ddl), F.col("vec_id") == 0, 1, scale=1.0).collect()
+    with pytest.raises(Exception):
+        top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], ddl), F.col("vec_id") == 0, 1).collect()
+
+
 def test_boxes_are_tight_and_the_bound_prunes():
     rng = np.random.default_rng(5)
     rows = rng.integers(-100, 100, (500, 3))
