@@ -17,6 +17,9 @@ from .batches import replace_column, schema_with, slices
 #: Labelled rows that the model is fitted on, as an expected number; the model's size depends on this alone.
 SAMPLE_ROWS = 10_000
 
+#: Of each language at least so many are taken, as an expected number, and every n-gram of one that has fewer.
+LEAST_ROWS = 200
+
 #: The longest character n-gram that stands in for an unseen word.
 LONGEST_GRAM = 4
 
@@ -96,20 +99,26 @@ def fit(
     sample_rows: int = SAMPLE_ROWS,
     longest: int = LONGEST_GRAM,
     least_count: int = LEAST_COUNT,
+    least_rows: int = LEAST_ROWS,
 ) -> Model:
     """Learn from whole texts whose text and language are known.
 
     If there are more than ``sample_rows`` such rows, those with the smallest hashes of their identifier
-    are taken, about ``sample_rows`` of them. Counting is a Spark job; the driver gets the words and
-    n-grams that occur ``least_count`` times or more in the sample, so its share does not grow with the table.
+    are taken, about ``sample_rows`` of them, but of each language about ``least_rows`` or all. Counting is a Spark
+    job; the driver gets the words and n-grams that occur ``least_count`` times or more in the sample, or in a
+    language of fewer rows at all, so its share does not grow with the table. Every language with a text that holds
+    a letter is learned. Rows that repeat an identifier are taken together or not at all.
     """
     known = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where("text is not null and lang is not null")
     n = known.count()
-    if n > sample_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
+    rows = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.greatest(F.lit(sample_rows / max(1, n)), least_rows / F.col("rows"))
+    rates = rows.select(F.col("lang").alias("of"), (F.least(F.lit(1.0), share) * (1 << 30)).cast("long").alias("rate"), (F.col("rows") <= least_rows).alias("few"))
+    known = known.join(rates, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate"))
     counts = known.select("lang", "text").mapInArrow(_counted(longest), "lang string, size int, gram string, n long")
-    learned = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count).toArrow()
+    learned = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).join(rates, F.col("lang") == F.col("of"))
+    learned = learned.where((F.col("n") >= least_count) | F.col("few")).select("lang", "size", "gram", "n").toArrow()
     languages = tuple(sorted(learned.column("lang").unique().to_pylist()))
     column = {lang: i for i, lang in enumerate(languages)}
     rows: dict[tuple[int, str], int] = {}
@@ -135,7 +144,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", out_col: str =
     with score 0, if the text is null or holds no letter, or if nothing was learned. ``score`` is the
     language's share, from 0 to 1, of the languages' likelihoods per word. Whole texts are read; words that
     the model does not know back off to n-grams. A column already called ``out_col`` is replaced. The model
-    goes to the tasks as a broadcast; there is no shuffle.
+    goes to the tasks as a broadcast; there is no shuffle. Repeated rows are told row by row, an empty table gives
+    no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
