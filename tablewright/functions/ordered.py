@@ -28,12 +28,16 @@ def sort_columns(order: Sequence[str]) -> list[Column]:
 
 
 def _segmented(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add ``_seg``, which grows along the order and splits rows evenly, whatever the types and values.
+    """Add ``_seg``, which grows along the order and splits rows evenly, whatever the types and values, and ``_tie``.
 
-    Spark samples the order columns for its range borders; the rows with their segment are written to
-    the checkpoint folder once, so that the borders stay put however often the result is read.
+    Rows that tie in all order columns, nulls too, are told apart by a hash of the whole row, so that they are split
+    like others; only rows that are equal in every column stay together. Spark samples these columns for its range
+    borders; the rows with their segment are written to the checkpoint folder once, so that the borders stay put
+    however often the result is read.
     """
-    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *sort_columns(order))
+    hashed = [q(f.name) for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    tied = df.withColumn("_tie", F.xxhash64(*hashed))
+    ranged = tied.repartitionByRange(shuffle_width(df.sparkSession), *sort_columns(order), F.col("_tie"))
     return checkpointed(ranged.withColumn("_seg", F.spark_partition_id()))
 
 
@@ -61,7 +65,7 @@ def ordered_scan(
     """
     keys, last, following = as_list(keys), dict(last or {}), dict(following or {})
     upto = (Window.unboundedPreceding, Window.currentRow)
-    walk = _segmented(df, order)
+    walk, order = _segmented(df, order), [*order, "_tie"]
     if number:
         local = walk.withColumn(number, F.row_number().over(_window(keys, order, "_seg")).cast("bigint"))
         sizes = walk.groupBy(*keys, "_seg").agg(F.count("*").alias("_n"))
@@ -88,7 +92,7 @@ def ordered_scan(
         walk = joined.withColumns({n: F.coalesce(q(n), q(f"_in_{n}")) for n in names}).drop(
             "_rn", *[f"_in_{n}" for n in names]
         )
-    return walk.drop("_seg")
+    return walk.drop("_seg", "_tie")
 
 
 def _earlier(keys: Sequence[str]) -> WindowSpec:

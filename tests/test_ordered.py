@@ -76,3 +76,14 @@ def test_hot_keys_common_prefixes_and_sentinels_are_cut_evenly(spark):
 def test_global_index(frame):
     want = frame.withColumn("i", (F.row_number().over(Window.orderBy("k", "id")) - 1).cast("bigint"))
     _same(O.global_index(frame, ["k", "id"], "i"), want)
+
+
+def test_ties_are_split_evenly(spark):
+    """A third of all rows without an order value, and a third with the same one."""
+    df = spark.range(12_000).withColumn("t", F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, F.lit(5).cast("long")))
+    sizes = [r["count"] for r in O._segmented(df, ["t"]).groupBy("_seg").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * min(sizes)
+    numbered = O.row_numbers(df, None, ["t"], "n").collect()
+    assert sorted(r.n for r in numbered) == list(range(1, 12_001))
+    by_number = [r.t for r in sorted(numbered, key=lambda r: r.n)]
+    assert by_number == sorted(by_number, key=lambda t: (t is not None, t or 0))
