@@ -23,7 +23,7 @@ N = 5
 PERCENT = 75
 
 #: Shingles that a task gathers before it sends them off, that a bucket is meant to get, and that are sorted at a time.
-BLOCK_SHINGLES, BUCKET_SHINGLES, SORTED_SHINGLES = 1 << 21, 1 << 22, 1 << 19
+BLOCK_SHINGLES, BUCKET_SHINGLES, SORTED_SHINGLES = 1 << 20, 1 << 22, 1 << 19
 
 #: Document rows that a bucket is meant to get, at most.
 BUCKET_ROWS = 1 << 17

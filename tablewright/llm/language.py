@@ -20,6 +20,9 @@ SAMPLE_ROWS = 10_000
 #: Of each language at least so many are taken, as an expected number, and every n-gram of one that has fewer.
 LEAST_ROWS = 200
 
+#: Languages whose shares of the sample go to all tasks; beyond that they are joined like any table.
+MOST_BROADCAST = 10_000
+
 #: The longest character n-gram that stands in for an unseen word.
 LONGEST_GRAM = 4
 
@@ -115,6 +118,8 @@ def fit(
     rows = known.groupBy("lang").agg(F.count("*").alias("rows"))
     share = F.greatest(F.lit(sample_rows / max(1, n)), least_rows / F.col("rows"))
     rates = rows.select(F.col("lang").alias("of"), (F.least(F.lit(1.0), share) * (1 << 30)).cast("long").alias("rate"), (F.col("rows") <= least_rows).alias("few"))
+    if rates.count() <= MOST_BROADCAST:
+        rates = F.broadcast(rates)
     known = known.join(rates, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate"))
     counts = known.select("lang", "text").mapInArrow(_counted(longest), "lang string, size int, gram string, n long")
     learned = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).join(rates, F.col("lang") == F.col("of"))
