@@ -236,7 +236,7 @@ def _open(posted: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
     Also their number, and the number of pairs of a member outside the main group with any other.
     """
     x = F.struct("row", "n", "alone", "sizes", "position").alias("x")
-    member = posted.join(found, F.col("row") == F.col("node"), "left").select("gram", x, F.coalesce("component", "row").alias("group"))
+    member = checkpointed(posted.join(found, F.col("row") == F.col("node"), "left").select("gram", x, F.coalesce("component", "row").alias("group")))
     groups = member.groupBy("gram", "group").agg(F.count("*").alias("members"))
     lists = groups.groupBy("gram").agg(
         F.count("*").alias("groups"), F.sum("members").alias("members"), F.max("members").alias("most"), F.max_by("group", F.struct("members", "group")).alias("main")
@@ -322,12 +322,12 @@ def jaccard_components(
     starred = posted.select("gram", F.struct("row", "n", "alone", "sizes", "position").alias("x")).join(heads, "gram").where("head.row <> x.row").where(_possible("head", "x", percent))
     first = checkpointed(_verified(starred.select(*_pairs(F.col("head.row"), F.col("x.row"))).distinct(), sets, percent))
 
-    tested, before = first, None
+    tested, before, still = first, None, posted
     for turn in count(1):
-        member, total, work = _open(posted, components(tested.where("linked").select("a", "b")))
+        member, total, work = _open(still, components(tested.where("linked").select("a", "b")))
         if work <= CROWDED * total or before is not None and work > before * WORTH_WHILE:
             break
-        before = work
+        before, still = work, member.select("gram", "x.*")  # a list that is closed stays closed
         ahead = F.min_by(F.struct("x", "group"), F.xxhash64("gram", "x.row", F.lit(turn))).alias("head")
         round_heads = member.groupBy("gram").agg(ahead).select("gram", F.col("head.x").alias("y"), F.col("head.group").alias("other"))
         met = member.join(round_heads, "gram").where("group <> other").where(_possible("x", "y", percent))

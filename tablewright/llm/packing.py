@@ -27,6 +27,9 @@ REMEMBERED = 100_000
 #: Characters of text that are split before their new words are looked up together.
 TOGETHER = 1 << 21
 
+#: Runs that are sent to the library at a time; what it returns for each token takes far more than the ids.
+SENT = 4096
+
 #: Characters up to this one are split here; texts with others go to the library whole.
 _LAST = 0x24F
 
@@ -110,16 +113,16 @@ class WordTokenizer:
 
     def _learn(self, runs: set[str]) -> None:
         new = self.runs.missing(runs)
-        if not new:
-            return
-        counts = [1 if x.isalpha() else len((_SPLIT_ASCII if x.isascii() else _SPLIT).findall(x)) for x in new]
-        ids = np.asarray(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(counts)
-        if len(ends) == last[-1]:
-            raw, cuts = ids.tobytes(), (4 * ends[last - 1]).tolist()
-            self.runs.update(zip(new, [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
-        else:  # the words of some run are others beside a neighbour
-            self.runs.update(zip(new, self._whole(new), strict=True))
+        for start in range(0, len(new), SENT):
+            part = new[start : start + SENT]
+            counts = [1 if x.isalpha() else len((_SPLIT_ASCII if x.isascii() else _SPLIT).findall(x)) for x in part]
+            ids = np.asarray(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(counts)
+            if len(ends) == last[-1]:
+                raw, cuts = ids.tobytes(), (4 * ends[last - 1]).tolist()
+                self.runs.update(zip(part, [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+            else:  # the words of some run are others beside a neighbour
+                self.runs.update(zip(part, self._whole(part), strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; texts are taken together until they come to ``TOGETHER`` characters."""
