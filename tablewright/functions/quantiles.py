@@ -54,7 +54,7 @@ def quantile_table(
     events = []
     for i, a in enumerate(asked):
         x = F.col(f"_v{i}")
-        low, high = _passed(F.col(f"_l{i}"), len(a), lambda p, x=x: p <= x), _passed(F.col(f"_h{i}"), len(a), lambda p, x=x: p < x)
+        low, high = _passed("l", i, len(a), lambda p, x=x: p <= x), _passed("h", i, len(a), lambda p, x=x: p < x)
         events.append(F.struct(F.lit(i).alias("c"), F.when(low == high, low).alias("gap"), F.when(low > high, x).alias("own"), x.alias("x")))
     cells = met.select(*group, F.explode(F.array(*events)).alias("e")).select(*group, "e.*").groupBy(*group, "c", "gap", "own")
     cells = cells.agg(F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
@@ -64,8 +64,9 @@ def quantile_table(
     upto = column.orderBy("least").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(column))
     listed = F.from_json(F.lit(json.dumps([{"c": i, "j": j, "p": p} for i, a in enumerate(asked) for p, j in a])), "array<struct<c:int,j:int,p:double>>")
-    ranks = F.transform(F.filter(listed, lambda a: a.c == F.col("c")), _rank)
-    start = F.col("upto") - F.col("n")
+    start, target = F.col("upto") - F.col("n"), F.col("total") - 1
+    near = F.filter(listed, lambda a: (a.c == F.col("c")) & (a.p * target > start - 1) & (a.p * target < F.col("upto")))
+    ranks = F.transform(near, _rank)
     here = F.filter(ranks, lambda r: ((r.first >= start) & (r.first < F.col("upto"))) | ((r.last >= start) & (r.last < F.col("upto"))))
     cells = cells.withColumn("here", here).where("total = 0 or size(here) > 0").withColumn("start", start)
     placed = cells.select("*", F.explode_outer("here").alias("r"))
@@ -89,20 +90,27 @@ def _shares(asked: list[tuple[float, int]]) -> list[float]:
 
 
 def _pivots(i: int, asked: list[float]) -> list[Column]:
-    """The lower and the upper pivots of a column as arrays; a rank next to an end has that end as pivot."""
-    p, m = F.col(f"_p{i}"), len(asked)
-    low = [F.lit(float("-inf")) if share <= _MARGIN else p[k] for k, share in enumerate(asked)]
-    high = [F.lit(float("inf")) if share >= 1 - _MARGIN else p[m + k] for k, share in enumerate(asked)]
-    return [F.array(*low).alias(f"_l{i}"), F.array(*high).alias(f"_h{i}")]
+    """The lower and the upper pivots of a column as arrays, and of each every so many; a rank next to an end has that as pivot."""
+    p, m, step = F.col(f"_p{i}"), len(asked), _step(len(asked))
+    first, last = sum(x <= _MARGIN for x in asked), sum(x >= 1 - _MARGIN for x in asked)
+    ends = {"l": [F.array_repeat(F.lit(float("-inf")), first), F.slice(p, first + 1, m - first)], "h": [F.slice(p, m + 1, m - last), F.array_repeat(F.lit(float("inf")), last)]}
+    out = []
+    for side, parts in ends.items():
+        whole = F.concat(*parts)
+        out += [whole.alias(f"_{side}{i}"), F.filter(whole, lambda _, at: at % step == step - 1).alias(f"_{side}{side}{i}")]
+    return out
 
 
-def _passed(pivots: Column, m: int, below: Callable[[Column], Column]) -> Column:
+def _step(m: int) -> int:
+    return int(m**0.5) + 1
+
+
+def _passed(name: str, i: int, m: int, below: Callable[[Column], Column]) -> Column:
     """How many of ``m`` ascending pivots a value has passed; many are looked through in two steps."""
+    pivots, step = F.col(f"_{name}{i}"), _step(m)
     if m <= _FEW:
         return reduce(lambda a, b: a + b, [F.when(below(pivots[k]), 1).otherwise(0) for k in range(m)])
-    step = int(m**0.5) + 1
-    coarse = F.array(*[pivots[k] for k in range(step - 1, m, step)])
-    block = F.size(F.filter(coarse, below)) * step
+    block = F.size(F.filter(f"_{name}{name}{i}", below)) * step
     return block + F.size(F.filter(F.slice(pivots, block + 1, F.lit(step)), below))
 
 
