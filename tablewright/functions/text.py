@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations, product
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -28,27 +31,78 @@ def deletion_variants(df: DataFrame, col: str, max_dist: int, name: str = "_vari
     return df.withColumn(name, F.explode(found))
 
 
+def _places(size: Column, part: int, parts: int) -> Column:
+    """Where part ``part`` of a string of that length begins, counted from 0, when it is cut into even parts."""
+    return F.floor(size * part / parts).cast("int")
+
+
+def _shifts(max_dist: int, parts: int, matched: int) -> list[tuple[int, ...]]:
+    """What ``matched`` untouched parts allow: the difference of the lengths, the parts, and how far each has moved.
+
+    Moving by n places takes n edits, so all moves from one untouched part to the next fit into ``max_dist``.
+    """
+    span = range(-max_dist, max_dist + 1)
+    return [
+        (delta, *chosen, *moved)
+        for delta in span
+        for chosen in combinations(range(parts), matched)
+        for moved in product(span, repeat=matched)
+        if sum(abs(b - a) for a, b in zip((0, *moved), (*moved, delta))) <= max_dist
+    ]
+
+
+def part_keys(df: DataFrame, col: str, max_dist: int, matched: int, probe: bool, name: str = "_key") -> DataFrame:
+    """One row per key under which a string is kept, or with ``probe`` looked for.
+
+    A string cut into ``max_dist + matched`` parts keeps at least ``matched`` of them whole after that many edits.
+    A key is the length, the numbers and the texts of as many parts. Strings too short to be cut have none.
+    """
+    parts = max_dist + matched
+    specs = _shifts(max_dist, parts, matched) if probe else [(0, *c, *[0] * matched) for c in combinations(range(parts), matched)]
+    table = F.array(*[F.array(*[F.lit(v) for v in spec]) for spec in specs])
+
+    def key(spec: Column) -> Column:
+        size = F.length(q(col)) - spec[0]
+        found, inside = [size], size >= parts
+        for k in range(matched):
+            part, moved = spec[1 + k], spec[1 + matched + k]
+            begin, end = _places(size, part, parts), _places(size, part + 1, parts)
+            inside = inside & (begin + moved >= 0) & (end + moved <= F.length(q(col)))
+            found += [part, F.substring(q(col), begin + moved + 1, end - begin)]
+        return F.when(inside, F.xxhash64(*found))
+
+    return df.withColumn(name, F.explode(F.array_distinct(F.array_compact(F.transform(table, key)))))
+
+
 def close_pairs(
     left: DataFrame, left_col: str, right: DataFrame, right_col: str, max_dist: int,
-    on: list[str] | None = None, ordered: bool = False,
+    on: list[str] | None = None, ordered: bool = False, crowd: int = 64,
 ) -> DataFrame:
     """Pairs of distinct values within ``max_dist`` edits, with their ``distance``. Exact.
 
-    Two strings within d edits always share a string that each becomes by at most d
-    deletions, so an equi-join on these variants finds every pair. A variant is shared by
-    near-equal strings only, never by all strings with, say, a common prefix. ``on``
-    names block columns both sides carry; inputs must be distinct. ``ordered`` keeps only
-    pairs whose left value is the smaller one.
+    Cut into d + 1 parts, a string keeps one of them whole after d edits, at most d places away: an equi-join on
+    (length, number, text of the part) finds every pair, with rows that depend on d and not on the length. Values of
+    the right side that share a part with more than ``crowd`` others, such as a common word, and the left values that
+    meet them, are cut into d + 2 parts instead, of which two stay whole, and meet by both. Values of at most d + 1
+    letters meet by what up to d deletions make of them. ``on`` names block columns both sides carry; inputs must
+    be distinct. ``ordered`` keeps only pairs whose left value is the smaller one.
     """
     on = on or []
-    a = deletion_variants(left.select(*on, left_col), left_col, max_dist)
-    b = deletion_variants(right.select(*on, right_col), right_col, max_dist)
-    met = join_on(a, b, [*on, "_variant"], "inner")
+    a, b = left.select(*on, left_col), right.select(*on, right_col)
+    short = F.length(q(right_col)) <= max_dist + 1
+    few = F.length(q(left_col)) <= 2 * max_dist + 1
+    met = [join_on(deletion_variants(a.where(few), left_col, max_dist), deletion_variants(b.where(short), right_col, max_dist), [*on, "_variant"], "inner")]
+    long = b.where(~short)
+    asked, kept = part_keys(a, left_col, max_dist, 1, True), part_keys(long, right_col, max_dist, 1, False)
+    heavy = kept.groupBy(*on, "_key").agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).drop("_n")
+    met.append(join_on(asked, join_on(kept, heavy, [*on, "_key"], "left_anti"), [*on, "_key"], "inner"))
+    again = [join_on(side, heavy, [*on, "_key"], "left_semi").drop("_key").distinct() for side in (asked, kept)]
+    met.append(join_on(part_keys(again[0], left_col, max_dist, 2, True), part_keys(again[1], right_col, max_dist, 2, False), [*on, "_key"], "inner"))
+    candidates = reduce(DataFrame.union, [m.select(*on, left_col, right_col) for m in met])
     if ordered:
-        met = met.where(q(left_col) < q(right_col))
-    candidates = met.select(*on, left_col, right_col).distinct()
+        candidates = candidates.where(q(left_col) < q(right_col))
     distance = F.levenshtein(q(left_col), q(right_col), max_dist)
-    return candidates.withColumn("distance", distance).where(F.col("distance") >= 0)
+    return candidates.distinct().withColumn("distance", distance).where(F.col("distance") >= 0)
 
 
 def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -58,38 +112,70 @@ def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(r) for r in runs), np.uint64, len(runs)))
 
 
-def shingle_sets(words: int):
-    """A column function: the distinct word runs of a text, hashed, as an array of long."""
+def _minima(own: np.ndarray, odd: np.ndarray, plus: np.ndarray) -> np.ndarray:
+    """For each pair of factors the smallest mixed hash over a set."""
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, 400_000 // len(odd))
+    for start in range(0, len(own), step):
+        mixed = own[start : start + step, None] * odd + plus
+        mixed ^= mixed >> np.uint64(31)
+        least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+    return least
 
-    @F.pandas_udf("array<long>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _shingle_hashes(t, words).view(np.int64), na_action=None)
 
-    return run
+def _factors(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    odd = rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd, rng.integers(0, 1 << 63, count, dtype=np.uint64)
+
+
+def _band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(b.tobytes()) for b in least.reshape(bands, -1)], np.uint64).view(np.int64)
 
 
-def minhash_bands(words: int, bands: int, rows: int, seed: int = 42):
-    """A column function: one key for each band of ``rows`` minima over the word runs of a text; none without words.
+def _sketch(least: np.ndarray) -> np.ndarray:
+    """Two bits of each minimum, 32 minima to a long."""
+    two = np.zeros(-(-len(least) // 32) * 32, np.uint64)
+    two[: len(least)] = (least >> np.uint64(40)) & np.uint64(3)
+    places = np.arange(32, dtype=np.uint64) * np.uint64(2)
+    return np.bitwise_or.reduce(two.reshape(-1, 32) << places, axis=1).view(np.int64)
+
+
+def word_sets(words: int, bands: int, rows: int, seed: int = 42):
+    """A column function from a text to a struct: its distinct word runs, hashed (``runs``), one MinHash key for each
+    band of ``rows`` minima over them (``bands``; none without words), and two bits of each minimum (``sketch``).
 
     Two texts agree in a band with probability similarity ** rows.
     """
-    rng = np.random.default_rng(seed)
-    odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    odd, plus = _factors(bands * rows, seed)
 
-    def keys(text: str | None) -> np.ndarray:
+    def of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = _shingle_hashes(text, words)
         if not len(own):
-            return np.empty(0, np.int64)
-        least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-        for start in range(0, len(own), 4096):
-            mixed = own[start : start + 4096, None] * odd + plus
-            mixed ^= mixed >> np.uint64(31)
-            least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
-        return np.array([xxhash.xxh3_64_intdigest(b.tobytes()) for b in least.reshape(bands, rows)], np.uint64).view(np.int64)
+            return own.view(np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        least = _minima(own, odd, plus)
+        return own.view(np.int64), _band_keys(least, bands), _sketch(least)
+
+    @F.pandas_udf("runs array<long>, bands array<long>, sketch array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of(t) for t in texts], columns=["runs", "bands", "sketch"])
+
+    return run
+
+
+def set_bands(bands: int, rows: int, seed: int = 42):
+    """A column function: the MinHash keys of a set of hashed word runs, as in ``word_sets``."""
+    odd, plus = _factors(bands * rows, seed)
 
     @F.pandas_udf("array<long>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(keys, na_action=None)
+    def run(sets: pd.Series) -> pd.Series:
+        return sets.map(lambda own: _band_keys(_minima(np.asarray(own, np.int64).view(np.uint64), odd, plus), bands))
 
     return run
+
+
+def sketches_differ(x: str, y: str) -> Column:
+    """In how many minima two sketches differ."""
+    pairs = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
+    folded = F.transform(pairs, lambda z: F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    return F.aggregate(folded, F.lit(0), lambda total, n: total + n)

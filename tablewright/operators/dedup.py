@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.common import as_list, is_missing, join_on, q
 from ..functions.ordered import row_frame, sort_columns
 from ..functions.scale import checkpointed
-from ..functions.text import close_pairs, minhash_bands, shingle_sets
+from ..functions.text import close_pairs, set_bands, sketches_differ, word_sets
 from .graph import connected_components
 
 
@@ -137,48 +137,67 @@ def duplicate_clusters(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> Da
     )
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose whole sets are as similar as that."""
+    left, right = (sets.select(F.col("id").alias(i), F.col("runs").alias(x)) for i, x in (("a", "x"), ("b", "y")))
+    shared = F.size(F.array_intersect("x", "y"))
+    both = pairs.distinct().join(left, "a").join(right, "b")
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, similarity: float = 0.75, words: int = 5, bands: int = 32, rows: int = 3
+    df: DataFrame, id_col: str, text_col: str, similarity: float = 0.75, words: int = 5, bands: int = 32, rows: int = 3,
+    crowd: int = 64, finer: Sequence[tuple[int, int]] = ((64, 6), (160, 9)),
 ) -> DataFrame:
     """``(id, cluster)``: every text with a near copy, and the smallest id of its cluster.
 
-    Near copies have word runs with a Jaccard ``similarity`` of at least that. Whole texts make MinHash
-    bands; with 32 bands of 3 rows a pair at 0.75 shares no band once in 10 million. Texts of a band are
-    compared, over all their runs, with the band's smallest id; those that this leaves in different clusters
-    are then compared with each other, so no pair that shares a band is missed. Texts with equal runs
-    count as one beforehand. Texts without words, and rows without an id, are near nothing.
+    Near copies have word runs with a Jaccard ``similarity`` of at least that. Whole texts make MinHash bands; with 32
+    bands of 3 rows a pair at 0.75 shares no band once in 40 million. Texts that share a band first meet its smallest
+    id. Where that leaves different clusters in a band of at most ``crowd`` texts, these meet each other. The texts of
+    larger bands are signed again, with the bands and rows that ``finer`` lists, and meet there in the same way: texts
+    that only share a passage part, while a pair at 0.75 stays together but once in 200,000. After the last signing
+    the texts that are still together meet each other, however many. Pairs whose sketches (two bits of each minimum
+    of the first signing) are five deviations from what the similarity gives are not looked at; of all others the whole
+    sets decide. Texts with equal runs count as one beforehand. Texts without words, and rows without an id, are near nothing.
     """
-    docs = df.select(q(id_col).alias("id"), q(text_col).alias("text")).where("id is not null")
-    signed = docs.select("id", minhash_bands(words, bands, rows)("text").alias("bands"), shingle_sets(words)("text").alias("runs"))
-    sets = checkpointed(signed.where(F.size("bands") > 0).select("id", "bands", "runs", F.sha2(F.array_join(F.col("runs").cast("array<string>"), " "), 256).alias("same")))
+    docs = df.select(q(id_col).alias("id"), word_sets(words, bands, rows)(q(text_col).cast("string")).alias("s")).where("id is not null")
+    same = F.sha2(F.array_join(F.col("runs").cast("array<string>"), " "), 256).alias("same")
+    sets = checkpointed(docs.select("id", "s.*").where(F.size("bands") > 0).select("id", "runs", "bands", "sketch", same))
     alike = sets.groupBy("same").agg(F.min("id").alias("first"))
     copies = sets.select("id", "same").join(alike, "same").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     single = sets.join(alike.select(F.col("first").alias("id")), "id", "left_semi")
-    posted = single.select("id", F.size("runs").alias("n"), F.posexplode("bands").alias("band", "key"))
-    heads = posted.groupBy("band", "key").agg(F.min_by(F.struct("id", "n"), "id").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
-    posted = checkpointed(posted.join(heads, ["band", "key"]))
-
-    def possible(x, y):
-        return F.least(x, y) >= similarity * F.greatest(x, y)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        left, right = (single.select(F.col("id").alias(i), F.col("runs").alias(x)) for i, x in (("a", "x"), ("b", "y")))
-        shared = F.size(F.array_intersect("x", "y"))
-        both = pairs.join(left, "a").join(right, "b")
-        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-    met = posted.where((F.col("id") != F.col("head.id")) & possible(F.col("n"), F.col("head.n"))).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
-    first = checkpointed(near(met))
-
-    found = duplicate_clusters(first, "a", "b")
-    member = posted.select("band", "key", "id", "n", F.col("head.id").alias("head")).join(found, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-    groups = member.groupBy("band", "key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("band", "key")
-    # the head has met all members of its buckets
-    member = checkpointed(member.join(groups, ["band", "key"], "left_semi").where("id <> head").drop("head"))
-    other = member.select("band", "key", F.col("id").alias("other"), F.col("n").alias("n_other"), F.col("cluster").alias("of"))
-    across = member.join(other, ["band", "key"]).where((F.col("id") < F.col("other")) & (F.col("cluster") != F.col("of")) & possible(F.col("n"), F.col("n_other")))
-    second = near(across.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
-    return duplicate_clusters(first.union(second).union(copies), "a", "b")
+    facts = F.struct("id", F.size("runs").alias("n"), "sketch")
+    agree = similarity + (1 - similarity) / 4
+    most = bands * rows * (1 - agree) + 5 * (bands * rows * agree * (1 - agree)) ** 0.5
+
+    def possible(x: str, y: str):
+        low, high = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
+        return (low >= similarity * high) & (sketches_differ(f"{x}.sketch", f"{y}.sketch") <= most)
+
+    def ids(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    links, asked = [], single.select(facts.alias("y"), F.posexplode("bands").alias("band", "key"))
+    for step in range(len(finer) + 1):
+        heads = asked.groupBy("band", "key").agg(F.min_by("y", "y.id").alias("x"), F.count("*").alias("members")).where("members > 1")
+        posted = checkpointed(asked.join(heads, ["band", "key"]).where("x.id <> y.id"))
+        links.append(checkpointed(_verified(ids(posted.where(possible("x", "y"))), single, similarity)))
+        found = duplicate_clusters(reduce(DataFrame.union, links), "a", "b")
+        member = posted.select("band", "key", "members", "y", F.col("y.id").alias("id")).join(found, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+        apart = member.groupBy("band", "key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
+        # the head has met all members of its band
+        member = checkpointed(member.drop("id").join(apart.select("band", "key"), ["band", "key"], "left_semi"))
+        last = step == len(finer)
+        few = member if last else member.where(F.col("members") <= crowd)
+        other = few.select("band", "key", F.col("y").alias("x"), F.col("cluster").alias("of"))
+        across = few.join(other, ["band", "key"]).where((F.col("x.id") < F.col("y.id")) & (F.col("cluster") != F.col("of")) & possible("x", "y"))
+        links.append(checkpointed(_verified(ids(across), single, similarity)))
+        many = member.where(F.col("members") > crowd).select(F.col("y.id").alias("id")).distinct()
+        if last or many.isEmpty():
+            break
+        keys = set_bands(*finer[step], seed=43 + step)("runs")
+        asked = single.join(many, "id", "left_semi").select(facts.alias("y"), F.posexplode(keys).alias("band", "key"))
+    return duplicate_clusters(reduce(DataFrame.union, [*links, copies]), "a", "b")
 
 
 def dedup_audit(df: DataFrame, keys: Sequence[str], id_col: str, ts: str) -> DataFrame:

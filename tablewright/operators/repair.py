@@ -122,7 +122,7 @@ def repair_categories(
     The vocabulary is given (its words need not occur), or is the values with at least ``min_share`` of the rows. Ties
     go to the more frequent value, then to the alphabetically first. A value that only
     differs by look-alike characters counts as distance 0. The work is done on distinct
-    values, and candidates come from an equi-join on deletion variants.
+    values, and candidates come from an equi-join on whole parts of the values.
     """
     counts = df.where(q(col).isNotNull()).groupBy(q(col).alias("value")).agg(F.count("*").alias("n"))
     if vocab is not None:
