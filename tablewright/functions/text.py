@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import combinations, product
 
@@ -31,11 +32,6 @@ def deletion_variants(df: DataFrame, col: str, max_dist: int, name: str = "_vari
     return df.withColumn(name, F.explode(found))
 
 
-def _places(size: Column, part: int, parts: int) -> Column:
-    """Where part ``part`` of a string of that length begins, counted from 0, when it is cut into even parts."""
-    return F.floor(size * part / parts).cast("int")
-
-
 def _shifts(max_dist: int, parts: int, matched: int) -> list[tuple[int, ...]]:
     """What ``matched`` untouched parts allow: the difference of the lengths, the parts, and how far each has moved.
 
@@ -59,19 +55,18 @@ def part_keys(df: DataFrame, col: str, max_dist: int, matched: int, probe: bool,
     """
     parts = max_dist + matched
     specs = _shifts(max_dist, parts, matched) if probe else [(0, *c, *[0] * matched) for c in combinations(range(parts), matched)]
-    table = F.array(*[F.array(*[F.lit(v) for v in spec]) for spec in specs])
-
-    def key(spec: Column) -> Column:
-        size = F.length(q(col)) - spec[0]
-        found, inside = [size], size >= parts
-        for k in range(matched):
-            part, moved = spec[1 + k], spec[1 + matched + k]
-            begin, end = _places(size, part, parts), _places(size, part + 1, parts)
-            inside = inside & (begin + moved >= 0) & (end + moved <= F.length(q(col)))
-            found += [part, F.substring(q(col), begin + moved + 1, end - begin)]
-        return F.when(inside, F.xxhash64(*found))
-
-    return df.withColumn(name, F.explode(F.array_distinct(F.array_compact(F.transform(table, key)))))
+    value = "`" + col.replace("`", "``") + "`"
+    size = f"(length({value}) - z[0])"
+    inside, found = [f"{size} >= {parts}"], [size]
+    for k in range(1, matched + 1):
+        # parts are even: part i of n begins at floor(i * size / n)
+        begin, end = f"({size} * z[{k}] div {parts})", f"({size} * (z[{k}] + 1) div {parts})"
+        moved = f"z[{k + matched}]"
+        inside += [f"{begin} + {moved} >= 0", f"{end} + {moved} <= length({value})"]
+        found += [f"z[{k}]", f"substring({value}, int({begin} + {moved} + 1), int({end} - {begin}))"]
+    key = f"case when {' and '.join(inside)} then xxhash64({', '.join(found)}) end"
+    table = f"from_json('{json.dumps(specs)}', 'array<array<int>>')"
+    return df.withColumn(name, F.explode(F.expr(f"array_distinct(array_compact(transform({table}, z -> {key})))")))
 
 
 def close_pairs(

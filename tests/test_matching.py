@@ -44,15 +44,11 @@ def test_keys_do_not_grow_with_the_length(spark):
 
 def test_a_common_word_is_refined(spark):
     rng = random.Random(5)
-    words = sorted({"".join(rng.choice("abcdefghij") for _ in range(10)) + " the common ending" for _ in range(300)})
+    words = sorted({"".join(rng.choice("abcdefghij") for _ in range(10)) + " the common ending" for _ in range(150)})
     words += [changed(rng, w, 1) for w in words[:20]]
     df = spark.createDataFrame([(w,) for w in words], "w string").distinct()
     keep = X.part_keys(df, "w", 2, 1, False)
-    heavy = keep.groupBy("_key").count().where("count > 64").count()
-    assert heavy  # one part of these words is the same in most
-    refined = X.part_keys(df, "w", 2, 2, True).join(X.part_keys(df.withColumnRenamed("w", "v"), "v", 2, 2, False), "_key")
-    # parts beyond the first tell nothing, so pairs that hold two of them still meet
-    assert refined.select("w", "v").distinct().count() <= len(words) ** 2
+    assert not keep.groupBy("_key").count().where("count > 64").isEmpty()  # one part is the same in most
     got = E.fuzzy_matches(df.withColumn("id", F.monotonically_increasing_id()), "id", "w", None, 2).collect()
     want = {(a, b) for a in words for b in words if a < b and edits(a, b) <= 2}
     assert {(r.value_a, r.value_b) for r in got} == want
@@ -82,14 +78,14 @@ def test_texts_that_share_a_passage(spark, monkeypatch):
 
     monkeypatch.setattr(E, "_verified", counted)
     totals = []
-    for count in (300, 600):
+    for count in (150, 300):
         rows, want = passages(count, count)
         looked_at.clear()
         got = E.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", crowd=16)
         assert {tuple(r) for r in got.collect()} == want
         assert len(looked_at) > 2  # bands were signed again
         totals.append(sum(looked_at))
-    assert totals[1] <= 2.5 * totals[0] + 100 and totals[1] < 600 * 10
+    assert totals[1] <= 2.5 * totals[0] + 100 and totals[1] < 300 * 10
 
 
 def test_bands_signed_again_keep_what_belongs_together(spark):
