@@ -158,6 +158,13 @@ def _(spark, sf):
     return C.parse_delimited(line, "line", "|", ["a", "b", "c"]).select("event_id", "a", "b", "c")
 
 
+@check("parse_delimited_quoted", """select o_orderkey, o_orderpriority || ',' || o_orderstatus as a, 'say "' || o_orderstatus || '"' as b, '' as c, o_orderstatus as d from orders""")
+def _(spark, sf):
+    line = F.concat(F.lit('"'), "o_orderpriority", F.lit(","), "o_orderstatus", F.lit('","say ""'), "o_orderstatus", F.lit('""",,'), "o_orderstatus")
+    out = C.parse_delimited(read(spark, sf, "orders").withColumn("line", line), "line", ",", ["a", "b", "c", "d"])
+    return out.select("o_orderkey", "a", "b", "c", "d")
+
+
 @check("flatten", "select event_id, event_type as e_kind, user_id as e_who_id, value as e_who_value from events")
 def _(spark, sf):
     nested = read(spark, sf, "events").selectExpr(

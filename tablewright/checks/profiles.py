@@ -320,3 +320,18 @@ def _(spark, sf):
 @check("quarantine_passed", "select o_orderkey, o_totalprice from orders where not (o_totalprice < 50000 or o_orderstatus not in ('F', 'O'))")
 def _(spark, sf):
     return quarantine(read(spark, sf, "orders"), _Q)[0].select("o_orderkey", "o_totalprice")
+
+
+@check("quarantine_keys", """select l_orderkey, l_linenumber, concat_ws(',', case when l_quantity < 3 then 'few' end,
+ case when count(*) over (partition by l_suppkey, l_shipdate, l_returnflag) > 1 then 'twice' end,
+ case when l_partkey not in (select p_partkey from part where p_size <= 40) then 'orphan' end) as failed_rules from lineitem
+ qualify failed_rules <> ''""")
+def _(spark, sf):
+    small = read(spark, sf, "part").where("p_size <= 40")
+    rules = [
+        Rule("few", "range", "l_quantity", low=3.0),
+        Rule("twice", "unique", ["l_suppkey", "l_shipdate", "l_returnflag"]),
+        Rule("orphan", "foreign_key", "l_partkey", parent=small, parent_column="p_partkey"),
+    ]
+    bad = quarantine(read(spark, sf, "lineitem"), rules)[1]
+    return bad.select("l_orderkey", "l_linenumber", F.concat_ws(",", "failed_rules").alias("failed_rules"))

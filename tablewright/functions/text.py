@@ -108,13 +108,13 @@ def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 
 def _minima(own: np.ndarray, odd: np.ndarray, plus: np.ndarray) -> np.ndarray:
-    """For each pair of factors the smallest mixed hash over a set."""
+    """For each pair of factors the smallest mixed hash over a set of hashes."""
     least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
     step = max(1, 400_000 // len(odd))
     for start in range(0, len(own), step):
-        mixed = own[start : start + step, None] * odd + plus
-        mixed ^= mixed >> np.uint64(31)
-        least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+        mixed = np.multiply.outer(odd, own[start : start + step])
+        mixed += plus[:, None]
+        least = np.minimum(least, mixed.min(axis=1))
     return least
 
 
@@ -131,7 +131,7 @@ def _band_keys(least: np.ndarray, bands: int) -> np.ndarray:
 def _sketch(least: np.ndarray) -> np.ndarray:
     """Two bits of each minimum, 32 minima to a long."""
     two = np.zeros(-(-len(least) // 32) * 32, np.uint64)
-    two[: len(least)] = (least >> np.uint64(40)) & np.uint64(3)
+    two[: len(least)] = (least >> np.uint64(30)) & np.uint64(3)
     places = np.arange(32, dtype=np.uint64) * np.uint64(2)
     return np.bitwise_or.reduce(two.reshape(-1, 32) << places, axis=1).view(np.int64)
 

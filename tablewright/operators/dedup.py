@@ -162,11 +162,12 @@ def near_duplicates(
     """
     docs = df.select(q(id_col).alias("id"), word_sets(words, bands, rows)(q(text_col).cast("string")).alias("s")).where("id is not null")
     same = F.sha2(F.array_join(F.col("runs").cast("array<string>"), " "), 256).alias("same")
-    sets = checkpointed(docs.select("id", "s.*").where(F.size("bands") > 0).select("id", "runs", "bands", "sketch", same))
+    known = docs.select("id", "s.*").where(F.size("bands") > 0).select("id", "runs", "bands", "sketch", same)
+    sets = checkpointed(known)
     alike = sets.groupBy("same").agg(F.min("id").alias("first"))
     copies = sets.select("id", "same").join(alike, "same").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    single = sets.join(alike.select(F.col("first").alias("id")), "id", "left_semi")
-    facts = F.struct("id", F.size("runs").alias("n"), "sketch")
+    single = sets.select("id", F.size("runs").alias("n"), "sketch", "bands").join(alike.select(F.col("first").alias("id")), "id", "left_semi")
+    facts = F.struct("id", "n", "sketch")
     agree = similarity + (1 - similarity) / 4
     most = bands * rows * (1 - agree) + 5 * (bands * rows * agree * (1 - agree)) ** 0.5
 
@@ -181,7 +182,7 @@ def near_duplicates(
     for step in range(len(finer) + 1):
         heads = asked.groupBy("band", "key").agg(F.min_by("y", "y.id").alias("x"), F.count("*").alias("members")).where("members > 1")
         posted = checkpointed(asked.join(heads, ["band", "key"]).where("x.id <> y.id"))
-        links.append(checkpointed(_verified(ids(posted.where(possible("x", "y"))), single, similarity)))
+        links.append(checkpointed(_verified(ids(posted.where(possible("x", "y"))), sets, similarity)))
         found = duplicate_clusters(reduce(DataFrame.union, links), "a", "b")
         member = posted.select("band", "key", "members", "y", F.col("y.id").alias("id")).join(found, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
         apart = member.groupBy("band", "key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
@@ -191,12 +192,13 @@ def near_duplicates(
         few = member if last else member.where(F.col("members") <= crowd)
         other = few.select("band", "key", F.col("y").alias("x"), F.col("cluster").alias("of"))
         across = few.join(other, ["band", "key"]).where((F.col("x.id") < F.col("y.id")) & (F.col("cluster") != F.col("of")) & possible("x", "y"))
-        links.append(checkpointed(_verified(ids(across), single, similarity)))
+        links.append(checkpointed(_verified(ids(across), sets, similarity)))
         many = member.where(F.col("members") > crowd).select(F.col("y.id").alias("id")).distinct()
         if last or many.isEmpty():
             break
         keys = set_bands(*finer[step], seed=43 + step)("runs")
-        asked = single.join(many, "id", "left_semi").select(facts.alias("y"), F.posexplode(keys).alias("band", "key"))
+        again = sets.join(many, "id", "left_semi").select("id", F.size("runs").alias("n"), "sketch", keys.alias("bands"))
+        asked = again.select(facts.alias("y"), F.posexplode("bands").alias("band", "key"))
     return duplicate_clusters(reduce(DataFrame.union, [*links, copies]), "a", "b")
 
 

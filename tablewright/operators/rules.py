@@ -93,10 +93,58 @@ def check_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return out.withColumn("pass_rate", 1 - F.try_divide(F.col("violations"), F.col("rows")))
 
 
+#: A value is hot if it holds more than one in so many rows; fewer values than this can be.
+_HOT = 1000
+
+
+def _marked(df: DataFrame, keys: Sequence[str], verdicts: DataFrame, name: str) -> DataFrame:
+    """Add the verdict (``_bad``) on the row's key; false for keys with a null part.
+
+    ``verdicts`` has one row per key, with the count of its rows (``_n``). The fewer than ``_HOT`` hot keys are sent to
+    all tasks. Of the others only the bad ones are joined; rows that this join can't mark, those with a hot key or a
+    null, get a salt that spreads them over its tasks.
+    """
+    hot = F.col("_n") * _HOT > verdicts.agg(F.sum("_n")).scalar()
+    often = verdicts.where(hot).select(*[q(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("_bad").alias("_often"))
+    rare = verdicts.where(~hot & F.col("_bad")).select(
+        *[q(k).alias(f"_r{i}") for i, k in enumerate(keys)], F.lit(0).alias("_rsalt"), F.lit(True).alias("_rare")
+    )
+    hashed = [q(f.name) for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    spread = 1 + F.pmod(F.xxhash64(*hashed), F.lit(_HOT)).cast("int")
+    hollow = reduce(lambda a, b: a | b, [q(k).isNull() for k in keys])
+    out = df.join(F.broadcast(often), reduce(lambda a, b: a & b, [q(k) == F.col(f"_h{i}") for i, k in enumerate(keys)]), "left")
+    out = out.withColumn("_salt", F.when(hollow | F.col("_often").isNotNull(), spread).otherwise(0))
+    same = reduce(lambda a, b: a & b, [q(k) == F.col(f"_r{i}") for i, k in enumerate(keys)])
+    out = out.join(rare, same & (F.col("_salt") == F.col("_rsalt")), "left")
+    return out.select(*[q(c) for c in df.columns], F.coalesce("_often", "_rare", F.lit(False)).alias(name))
+
+
+def _verdicts(df: DataFrame, rule: Rule) -> DataFrame:
+    """Every key without a null part, the count of its rows and whether they break the rule."""
+    keys = as_list(rule.columns)
+    known = reduce(lambda a, b: a & b, [q(k).isNotNull() for k in keys])
+    sizes = df.where(known).groupBy(*[q(k) for k in keys]).agg(F.count("*").alias("_n"))
+    if rule.kind == "unique":
+        return sizes.withColumn("_bad", F.col("_n") > 1)
+    (child,) = keys
+    parents = rule.parent.select(q(rule.parent_column or child).alias("_p")).distinct()
+    return sizes.join(parents, q(child) == F.col("_p"), "left").withColumn("_bad", F.col("_p").isNull()).drop("_p")
+
+
 def tag_failures(df: DataFrame, rules: Sequence[Rule], name: str = "failed_rules") -> DataFrame:
-    """Add the names of the single-row rules each row breaks, in rule order."""
-    names = [F.when(failed(df, r), F.lit(r.name)) for r in rules]
-    return df.withColumn(name, F.array_compact(F.array(*names)))
+    """Add the names of the rules each row breaks, in rule order.
+
+    ``unique`` is broken by every row of a repeated key, ``foreign_key`` by rows whose value the parent lacks; neither
+    by rows with a null in the columns.
+    """
+    out, names = df, []
+    for i, r in enumerate(rules):
+        if r.kind in ("unique", "foreign_key"):
+            out = _marked(out, as_list(r.columns), _verdicts(df, r), f"_broken{i}")
+            names.append(F.when(F.col(f"_broken{i}"), F.lit(r.name)))
+        else:
+            names.append(F.when(failed(df, r), F.lit(r.name)))
+    return out.withColumn(name, F.array_compact(F.array(*names))).drop(*[f"_broken{i}" for i in range(len(rules))])
 
 
 def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:

@@ -54,9 +54,21 @@ def parse_xml(df: DataFrame, col: str, schema: T.StructType | str) -> DataFrame:
 
 
 def parse_delimited(df: DataFrame, col: str, sep: str, names: Sequence[str]) -> DataFrame:
-    """Delimited text to columns; missing trailing parts are null."""
-    parts = F.split(q(col), "\\Q" + sep + "\\E")
-    return df.withColumns({n: F.get(parts, i) for i, n in enumerate(names)})
+    """Delimited text to columns; missing trailing parts are null.
+
+    A part between double quotes may hold the separator, and a quote written twice; it loses its quotes. A quote that
+    is not closed before a separator or the end is a character like others.
+    """
+    mark = "\\Q" + sep + "\\E"
+    quoted = f'"[^"]*+(?:""[^"]*+)*+"(?={mark}|\\z)'
+    # every part is read with the separator before it, so that none is empty to the matcher
+    parts = F.regexp_extract_all(F.concat(F.lit(sep), q(col)), F.lit(f"(?s){mark}({quoted}|.*?(?={mark}|\\z))"), F.lit(1))
+
+    def bare(part: Column) -> Column:
+        inside = F.replace(F.substring(part, F.lit(2), F.length(part) - 2), F.lit('""'), F.lit('"'))
+        return F.when(F.regexp_like(part, F.lit('(?s)^"[^"]*+(?:""[^"]*+)*+"$')), inside).otherwise(part)
+
+    return df.withColumns({n: bare(F.get(parts, i)) for i, n in enumerate(names)})
 
 
 def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
