@@ -160,6 +160,15 @@ def _(spark, sf):
     return B.decision_tree_binning(events, "value", "bad", 2).select("event_id", "value_bin")
 
 
+@check("decision_tree_binning_exact", """with v as (select value::double as x, count(*)::double as n, sum(case when event_type = 'error' then 1.0::double else 0.0::double end) as s from events where value is not null group by 1),
+ r as (select x, sum(n) over w as nl, sum(s) over w as sl, sum(n) over () as nt, sum(s) over () as st, lead(x) over (order by x) as nx from v window w as (order by x)),
+ b as (select x + (nx - x) / 2 as cut from r where nt > nl order by sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt desc, x limit 1)
+select event_id, case when value is not null then (value > cut)::int end as value_bin from events, b""")
+def _(spark, sf):
+    events = read(spark, sf, "events").withColumn("bad", (F.col("event_type") == "error").cast("double"))
+    return B.decision_tree_binning(events, "value", "bad", 1, max_bins=None).select("event_id", "value_bin")
+
+
 @check("custom_threshold_binning", """select event_id, case when value >= 0 and value < 5 then 'low' when value >= 5 and value < 20 then 'mid' when value >= 20 and value <= 100 then 'high' end as value_bin from events""")
 def _(spark, sf):
     return B.custom_threshold_binning(read(spark, sf, "events"), "value", [0, 5, 20, 100], ["low", "mid", "high"]).select("event_id", "value_bin")

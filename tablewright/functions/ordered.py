@@ -95,6 +95,18 @@ def ordered_scan(
     return walk.drop("_seg", "_tie")
 
 
+def running_totals(df: DataFrame, keys: Sequence[str] | str | None, order: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+    """Per output name, the sum of an expression over the rows of the key up to this one."""
+    keys = as_list(keys)
+    walk = _segmented(df, order)
+    upto = _window(keys, [*order, "_tie"], "_seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = walk.groupBy(*keys, "_seg").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in totals.items()])
+    before = sums.select(*keys, "_seg", *[F.coalesce(F.sum(f"_s_{n}").over(_earlier(keys)), F.lit(0)).alias(f"_in_{n}") for n in totals])
+    local = walk.withColumns({n: F.sum(v).over(upto) for n, v in totals.items()})
+    joined = join_on(local, before, [*keys, "_seg"])
+    return joined.withColumns({n: q(n) + F.col(f"_in_{n}") for n in totals}).drop("_seg", "_tie", *[f"_in_{n}" for n in totals])
+
+
 def _earlier(keys: Sequence[str]) -> WindowSpec:
     # Over one row per (key, segment), so never more rows per key than there are segments.
     return Window.partitionBy(*[q(k) for k in keys]).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
