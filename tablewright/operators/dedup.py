@@ -141,7 +141,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """Those of the pairs ``a``, ``b`` whose whole sets are as similar as that."""
     left, right = (sets.select(F.col("id").alias(i), F.col("runs").alias(x)) for i, x in (("a", "x"), ("b", "y")))
     shared = F.size(F.array_intersect("x", "y"))
-    both = pairs.distinct().join(left, "a").join(right, "b")
+    both = pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
@@ -159,14 +159,17 @@ def near_duplicates(
     the texts that are still together meet each other, however many. Pairs whose sketches (two bits of each minimum
     of the first signing) are five deviations from what the similarity gives are not looked at; of all others the whole
     sets decide. Texts with equal runs count as one beforehand. Texts without words, and rows without an id, are near nothing.
+
+    Spark takes an array for one element when it guesses a size, and a row that is exploded for one row: by that guess
+    it would send whole sets and bands through the driver. So joins of what grows with the table ask for a merge.
     """
     docs = df.select(q(id_col).alias("id"), word_sets(words, bands, rows)(q(text_col).cast("string")).alias("s")).where("id is not null")
     same = F.sha2(F.array_join(F.col("runs").cast("array<string>"), " "), 256).alias("same")
     known = docs.select("id", "s.*").where(F.size("bands") > 0).select("id", "runs", "bands", "sketch", same)
     sets = checkpointed(known)
     alike = sets.groupBy("same").agg(F.min("id").alias("first"))
-    copies = sets.select("id", "same").join(alike, "same").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    single = sets.select("id", F.size("runs").alias("n"), "sketch", "bands").join(alike.select(F.col("first").alias("id")), "id", "left_semi")
+    copies = sets.select("id", "same").join(alike.hint("merge"), "same").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    single = sets.select("id", F.size("runs").alias("n"), "sketch", "bands").join(alike.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi")
     facts = F.struct("id", "n", "sketch")
     agree = similarity + (1 - similarity) / 4
     most = bands * rows * (1 - agree) + 5 * (bands * rows * agree * (1 - agree)) ** 0.5
@@ -181,23 +184,23 @@ def near_duplicates(
     links, asked = [], single.select(facts.alias("y"), F.posexplode("bands").alias("band", "key"))
     for step in range(len(finer) + 1):
         heads = asked.groupBy("band", "key").agg(F.min_by("y", "y.id").alias("x"), F.count("*").alias("members")).where("members > 1")
-        posted = checkpointed(asked.join(heads, ["band", "key"]).where("x.id <> y.id"))
+        posted = checkpointed(asked.join(heads.hint("merge"), ["band", "key"]).where("x.id <> y.id"))
         links.append(checkpointed(_verified(ids(posted.where(possible("x", "y"))), sets, similarity)))
         found = duplicate_clusters(reduce(DataFrame.union, links), "a", "b")
-        member = posted.select("band", "key", "members", "y", F.col("y.id").alias("id")).join(found, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+        member = posted.select("band", "key", "members", "y", F.col("y.id").alias("id")).join(found.hint("merge"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
         apart = member.groupBy("band", "key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
         # the head has met all members of its band
-        member = checkpointed(member.drop("id").join(apart.select("band", "key"), ["band", "key"], "left_semi"))
+        member = checkpointed(member.drop("id").join(apart.select("band", "key").hint("merge"), ["band", "key"], "left_semi"))
         last = step == len(finer)
         few = member if last else member.where(F.col("members") <= crowd)
         other = few.select("band", "key", F.col("y").alias("x"), F.col("cluster").alias("of"))
-        across = few.join(other, ["band", "key"]).where((F.col("x.id") < F.col("y.id")) & (F.col("cluster") != F.col("of")) & possible("x", "y"))
+        across = few.join(other.hint("merge"), ["band", "key"]).where((F.col("x.id") < F.col("y.id")) & (F.col("cluster") != F.col("of")) & possible("x", "y"))
         links.append(checkpointed(_verified(ids(across), sets, similarity)))
         many = member.where(F.col("members") > crowd).select(F.col("y.id").alias("id")).distinct()
         if last or many.isEmpty():
             break
         keys = set_bands(*finer[step], seed=43 + step)("runs")
-        again = sets.join(many, "id", "left_semi").select("id", F.size("runs").alias("n"), "sketch", keys.alias("bands"))
+        again = sets.join(many.hint("merge"), "id", "left_semi").select("id", F.size("runs").alias("n"), "sketch", keys.alias("bands"))
         asked = again.select(facts.alias("y"), F.posexplode("bands").alias("band", "key"))
     return duplicate_clusters(reduce(DataFrame.union, [*links, copies]), "a", "b")
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as X
+from tablewright.functions.scale import checkpointed
 from tablewright.operators import dedup as E
 
 
@@ -108,3 +109,20 @@ def test_sketches_differ_in_few_minima(spark):
     a, b = df.select("id", F.col("s.sketch").alias("x")), df.select(F.col("id").alias("other"), F.col("s.sketch").alias("y"))
     far = {(r.id, r.other): r.n for r in a.join(b, F.lit(True)).select("id", "other", X.sketches_differ("x", "y").alias("n")).collect()}
     assert far[1, 1] == 0 and far[1, 2] < 20 and 50 < far[1, 3] < 90
+
+
+def test_near_duplicates_send_no_sets_through_the_driver(spark, tmp_path, monkeypatch):
+    """Sizes guessed from arrays of one element made Spark broadcast whole sets and bands."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=60)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate([*texts, *(t + " z" for t in texts[:20])])]
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(E, "checkpointed", seen)
+    got = E.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    assert {(r["id"], r["cluster"]) for r in got.collect()} == {(x, i) for i in range(20) for x in (i, i + 40)}
+    assert len(plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)
