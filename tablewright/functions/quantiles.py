@@ -53,22 +53,25 @@ def quantile_table(
     # Pass 2: a value between two pivots counts for itself, any other for the gap that it lies in.
     events = []
     for i, a in enumerate(asked):
-        x = F.col(f"_v{i}")
-        low, high = _passed("l", i, len(a), lambda p, x=x: p <= x), _passed("h", i, len(a), lambda p, x=x: p < x)
-        events.append(F.struct(F.lit(i).alias("c"), F.when(low == high, low).alias("gap"), F.when(low > high, x).alias("own"), x.alias("x")))
-    cells = met.select(*group, F.explode(F.array(*events)).alias("e")).select(*group, "e.*").groupBy(*group, "c", "gap", "own")
+        x, low, high = F.col(f"_v{i}"), F.col(f"_lp{i}"), F.col(f"_hp{i}")
+        met = _passed(_passed(met, "l", i, len(a), lambda p, x=x: p <= x), "h", i, len(a), lambda p, x=x: p < x)
+        events.append(F.struct(F.lit(i).alias("c"), F.when(low == high, low).alias("gap"), F.when(low > high, x).alias("own"), (low + high).alias("block"), x.alias("x")))
+    cells = met.select(*group, F.explode(F.array(*events)).alias("e")).select(*group, "e.*").groupBy(*group, "c", "block", "gap", "own")
     cells = cells.agg(F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
 
-    # Running counts place the ranks: on a value, or on the first or last one of a gap.
-    column = Window.partitionBy(*group, "c")
-    upto = column.orderBy("least").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(column))
+    # Running counts place the ranks: on a value, or on the first or last one of a gap. Blocks, which are the gaps and
+    # what lies between two gaps, ascend with their values. With many ranks only the blocks, a few for each rank, are
+    # counted up and compared with all ranks; the cells of a block then meet its own ranks, each block on its own.
     listed = F.from_json(F.lit(json.dumps([{"c": i, "j": j, "p": p} for i, a in enumerate(asked) for p, j in a])), "array<struct<c:int,j:int,p:double>>")
-    start, target = F.col("upto") - F.col("n"), F.col("total") - 1
-    near = F.filter(listed, lambda a: (a.c == F.col("c")) & (a.p * target > start - 1) & (a.p * target < F.col("upto")))
-    ranks = F.transform(near, _rank)
-    here = F.filter(ranks, lambda r: ((r.first >= start) & (r.first < F.col("upto"))) | ((r.last >= start) & (r.last < F.col("upto"))))
-    cells = cells.withColumn("here", here).where("total = 0 or size(here) > 0").withColumn("start", start)
+    if max(map(len, asked)) <= _FEW:
+        cells = _ranks_here(_counted(cells, [*group, "c"], "least"), listed)
+    else:
+        block = [*group, "c", "block"]
+        blocks = _ranks_here(_counted(cells.groupBy(*block).agg(F.sum("n").alias("n")), [*group, "c"], "block"), listed)
+        cells = join_on(cells, blocks.select(*block, "total", "here", F.col("start").alias("before")), block, "inner")
+        upto = F.sum("n").over(Window.partitionBy(*block).orderBy("least").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        cells = cells.withColumn("upto", F.col("before") + upto).withColumn("start", F.col("upto") - F.col("n"))
+        cells = cells.withColumn("here", F.filter("here", _inside)).where("total = 0 or size(here) > 0")
     placed = cells.select("*", F.explode_outer("here").alias("r"))
 
     def at(rank: Column) -> Column:
@@ -90,28 +93,41 @@ def _shares(asked: list[tuple[float, int]]) -> list[float]:
 
 
 def _pivots(i: int, asked: list[float]) -> list[Column]:
-    """The lower and the upper pivots of a column as arrays, and of each every so many; a rank next to an end has that as pivot."""
-    p, m, step = F.col(f"_p{i}"), len(asked), _step(len(asked))
+    """The lower and the upper pivots of a column as arrays; a rank next to an end has that as pivot."""
+    p, m = F.col(f"_p{i}"), len(asked)
     first, last = sum(x <= _MARGIN for x in asked), sum(x >= 1 - _MARGIN for x in asked)
     ends = {"l": [F.array_repeat(F.lit(float("-inf")), first), F.slice(p, first + 1, m - first)], "h": [F.slice(p, m + 1, m - last), F.array_repeat(F.lit(float("inf")), last)]}
-    out = []
-    for side, parts in ends.items():
-        whole = F.concat(*parts)
-        out += [whole.alias(f"_{side}{i}"), F.filter(whole, lambda _, at: at % step == step - 1).alias(f"_{side}{side}{i}")]
-    return out
+    return [F.concat(*parts).alias(f"_{side}{i}") for side, parts in ends.items()]
+
 
+def _passed(met: DataFrame, side: str, i: int, m: int, below: Callable[[Column], Column]) -> DataFrame:
+    """With the number of ``m`` ascending pivots that a value has passed; many are halved, a projection for each half."""
+    pivots, out = F.col(f"_{side}{i}"), f"_{side}p{i}"
+    if m <= _FEW:
+        return met.withColumn(out, reduce(lambda a, b: a + b, [F.when(below(pivots[k]), 1).otherwise(0) for k in range(m)]))
+    met, step = met.withColumn(out, F.lit(0)), 1 << (m.bit_length() - 1)
+    while step:
+        found = below(F.get(pivots, F.col(out) + F.lit(step - 1)))
+        met, step = met.withColumn(out, F.col(out) + F.when(found, F.lit(step)).otherwise(F.lit(0))), step >> 1
+    return met
 
-def _step(m: int) -> int:
-    return int(m**0.5) + 1
 
+def _counted(cells: DataFrame, by: list[str], order: str) -> DataFrame:
+    """With the counts before a row and up to it, and of the whole column."""
+    column = Window.partitionBy(*by)
+    upto = F.sum("n").over(column.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return cells.withColumn("upto", upto).withColumn("total", F.sum("n").over(column)).withColumn("start", F.col("upto") - F.col("n"))
 
-def _passed(name: str, i: int, m: int, below: Callable[[Column], Column]) -> Column:
-    """How many of ``m`` ascending pivots a value has passed; many are looked through in two steps."""
-    pivots, step = F.col(f"_{name}{i}"), _step(m)
-    if m <= _FEW:
-        return reduce(lambda a, b: a + b, [F.when(below(pivots[k]), 1).otherwise(0) for k in range(m)])
-    block = F.size(F.filter(f"_{name}{name}{i}", below)) * step
-    return block + F.size(F.filter(F.slice(pivots, block + 1, F.lit(step)), below))
+
+def _inside(r: Column) -> Column:
+    return ((r.first >= F.col("start")) & (r.first < F.col("upto"))) | ((r.last >= F.col("start")) & (r.last < F.col("upto")))
+
+
+def _ranks_here(counted: DataFrame, listed: Column) -> DataFrame:
+    """The rows that a rank lies in, with those ranks; a column without values keeps its row."""
+    target = F.col("total") - 1
+    near = F.filter(listed, lambda a: (a.c == F.col("c")) & (a.p * target > F.col("start") - 1) & (a.p * target < F.col("upto")))
+    return counted.withColumn("here", F.filter(F.transform(near, _rank), _inside)).where("total = 0 or size(here) > 0")
 
 
 def _rank(asked: Column) -> Column:

@@ -71,3 +71,18 @@ def test_no_job_runs_while_the_plan_is_built(spark):
     before = store.jobsList(None).size()
     quantile_table(df, {"x": PROBS, "y": [0.5]}, "g")
     assert store.jobsList(None).size() == before
+
+
+def test_many_ranks_are_placed_block_by_block(spark):
+    """No window orders all cells of a column in one task, and the cells are not compared with all ranks."""
+    rng = random.Random(4)
+    values = [rng.choice([rng.gauss(0, 1), float(rng.randint(0, 9)), None]) for _ in range(4000)]
+    probs = [i / 300 for i in range(301)]
+    df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "x double, g int")
+    found = quantile_table(df, {"x": probs}, "g")
+    pdf = pd.DataFrame({"x": values, "g": [i % 2 for i in range(len(values))]})
+    for r in found.collect():
+        assert r["x"] == pytest.approx(pdf["x"][pdf["g"] == r["g"]].quantile(probs).tolist(), rel=1e-12)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x and "least" in x]
+    assert windows and all("block" in x for x in windows)
