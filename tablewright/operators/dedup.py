@@ -6,12 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import as_list, is_missing, join_on, q
 from ..functions.ordered import row_frame, sort_columns
-from ..functions.scale import checkpointed
+from ..functions.scale import checkpointed, stored
 from ..functions.text import close_pairs, set_bands, sketches_differ, word_sets
 from .graph import connected_components
 
@@ -87,18 +87,38 @@ def fuzzy_matches(
     return pairs.select(*blocks, "id_a", "id_b", "value_a", "value_b", "n_a", "n_b", "distance")
 
 
-def partial_duplicates(df: DataFrame, keys: Sequence[str], tolerance: Mapping[str, float]) -> DataFrame:
+def partial_duplicates(df: DataFrame, keys: Sequence[str], tolerance: Mapping[str, float], crowd: int = 32) -> DataFrame:
     """Rows with a partner that has equal keys and whose numbers all lie within the tolerances.
 
-    Numbers are laid on a grid with cells as wide as the tolerance. Rows that share a cell
-    are partners at once. Only rows alone in their cell are compared, with the cells next
-    to theirs, so a crowded cell is met by a bounded number of single rows.
+    Numbers are laid on a grid with cells as wide as the tolerance. Rows that share a cell are partners at once. Rows
+    of keys with at most ``crowd`` rows meet each other after one shuffle. Keys with more rows are written to the shared
+    folder first, so that Spark knows how few they are; there only rows alone in their cell are compared, with the
+    cells next to theirs, so a crowded cell is met by a bounded number of single rows.
     """
     keys, nums = as_list(keys), list(tolerance)
     cell = F.array(*[F.floor(q(c).cast("double") / F.lit(float(t))).cast("bigint") for c, t in tolerance.items()])
     placed = df.withColumn("_cell", cell)
     complete = reduce(lambda a, b: a & b, [q(c).isNotNull() for c in nums])
     known = placed.where(complete)
+    if not keys:
+        return _partners_by_cells(known, keys, tolerance)
+    heavy = stored(known.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select(*keys))
+    crowded = not heavy.isEmpty()
+    thin = join_on(known, heavy, keys, "left_anti") if crowded else known
+
+    def partner(x: Column) -> Column:
+        close = [F.abs(q(c) - x[f"v{i}"]) <= F.lit(float(t)) for i, (c, t) in enumerate(tolerance.items())]
+        return (x["cell"] == F.col("_cell")) | reduce(lambda a, b: a & b, close)
+
+    own = F.struct(F.col("_cell").alias("cell"), *[q(c).alias(f"v{i}") for i, c in enumerate(nums)])
+    met = thin.withColumn("_near", F.collect_list(own).over(Window.partitionBy(*[q(k) for k in keys])))
+    # each row meets itself
+    found = met.where(F.size(F.filter("_near", partner)) > 1).drop("_cell", "_near")
+    return found.union(_partners_by_cells(join_on(known, heavy, keys, "left_semi"), keys, tolerance)) if crowded else found
+
+
+def _partners_by_cells(known: DataFrame, keys: Sequence[str], tolerance: Mapping[str, float]) -> DataFrame:
+    nums = list(tolerance)
     sizes = known.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"), *[F.first(q(c)).alias(c) for c in nums])
     crowded = sizes.where(F.col("_n") > 1).select(*keys, "_cell")
     single = sizes.where(F.col("_n") == 1)

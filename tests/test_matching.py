@@ -126,3 +126,21 @@ def test_near_duplicates_send_no_sets_through_the_driver(spark, tmp_path, monkey
     got = E.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t")
     assert {(r["id"], r["cluster"]) for r in got.collect()} == {(x, i) for i in range(20) for x in (i, i + 40)}
     assert len(plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_partial_duplicates_of_few_and_many_rows_to_a_key(spark):
+    """Keys of few rows need one shuffle and no copies of rows for neighbouring cells; crowded keys go by cells."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, rng.uniform(0, 90)]), rng.randint(0, 40)) for _ in range(60)]
+    rows += [(99, rng.uniform(0, 900), rng.randint(0, 900)) for _ in range(80)] + rows[:5]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, k int, x double, y int")
+
+    def near(a, b):
+        return a[0] == b[0] and None not in (a[1], b[1]) and abs(a[1] - b[1]) <= 6 and abs(a[2] - b[2]) <= 4
+
+    want = {i for i, a in enumerate(rows) if any(near(a, b) for j, b in enumerate(rows) if i != j)}
+    got = E.partial_duplicates(df, ["k"], {"x": 6.0, "y": 4.0})
+    assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == sorted(want)
+    thin = E.partial_duplicates(df.where("k < 99"), ["k"], {"x": 6.0, "y": 4.0})
+    plan = thin._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
