@@ -147,7 +147,8 @@ def foreign_keys(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence
             )
         )
     flags = [f"{kind}{w}" for kind in ("in", "rep") for w in words]
-    per_value = reduce(DataFrame.unionByName, parts).groupBy("value").agg(*[F.bit_or(f).alias(f) for f in flags])
+    # A value comes once from each column: dealt out as it is, it takes no second table of all values in the task that counts them.
+    per_value = reduce(DataFrame.unionByName, parts).repartition("value").groupBy("value").agg(*[F.bit_or(f).alias(f) for f in flags])
     # From here on the rows are bit patterns, few whatever the data. They are kept, as they are read thrice.
     set_bits = lambda kind: F.expr(
         "concat(" + ", ".join(

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from tablewright.functions.scale import checkpointed
+from tablewright.operators import features
 from tablewright.operators.rules import Rule, check_rules, quarantine, tag_failures
 from tablewright.operators.structure import parse_delimited
 
@@ -49,3 +51,23 @@ def test_quoted_fields(spark):
     assert got == lines | {None: [None] * 3}
     pipes = spark.createDataFrame([('"a||b"||.*',)], "t string")
     assert parse_delimited(pipes, "t", "||", ["p", "q"]).first()[1:] == ("a||b", ".*")
+
+
+def test_foreign_keys_count_and_merge_values_in_different_tasks(spark, monkeypatch):
+    """The task that counts the values of a column held a second table of them, as text, that merged nothing."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(features, "checkpointed", seen)
+    tables = {"a": spark.createDataFrame([(1,), (2,), (2,), (None,)], "x int"), "b": spark.createDataFrame([(1,), (2,), (3,)], "y long")}
+    got = features.foreign_keys(tables, {"a": ["x"], "b": ["y"]}).collect()
+    assert {(r["child"], r["parent"], r["child_values"], r["found"], r["parent_unique"], r["is_foreign_key"]) for r in got} == {
+        ("a.x", "b.y", 2, 2, True, True), ("b.y", "a.x", 3, 2, False, False)
+    }
+    lines = plans[0].split("\n")
+    above = lines[: next(i for i, x in enumerate(lines) if "Union" in x)]
+    dealt = next(i for i, x in enumerate(above) if "Exchange hashpartitioning(value" in x)
+    assert not any("Aggregate" in x for x in above[dealt:])
