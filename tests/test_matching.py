@@ -123,7 +123,8 @@ def test_near_duplicates_send_no_sets_through_the_driver(spark, tmp_path, monkey
         return checkpointed(df)
 
     monkeypatch.setattr(E, "checkpointed", seen)
-    got = E.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    spark.createDataFrame(rows, "id long, t string").write.parquet(f"{tmp_path}/texts")  # a file has a size to guess from
+    got = E.near_duplicates(spark.read.parquet(f"{tmp_path}/texts"), "id", "t")
     assert {(r["id"], r["cluster"]) for r in got.collect()} == {(x, i) for i in range(20) for x in (i, i + 40)}
     assert len(plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)
 
