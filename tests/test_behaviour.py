@@ -19,6 +19,7 @@ from tablewright.operators import reduce as K
 from tablewright.operators import repair as R
 from tablewright.operators import scaling as H
 from tablewright.operators import structure as C
+from tablewright.operators import neighbours
 from tablewright.operators.neighbours import nearest
 from tablewright.operators.profile import degradation_report, duplicate_count
 from tablewright.operators.rules import Rule, check_rules, quarantine
@@ -63,6 +64,22 @@ def test_nearest_in_small_blocks(spark):
     assert {(r["id"], r["neighbour"]) for r in got} == {(1, 2), (2, 1)}
 
 
+def test_nearest_lays_no_row_on_several_cells(points):
+    _, df = points
+    plan = nearest(df, df, ["x", "y"], 4, "id", exclude_self=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "FlatMapCoGroups" in plan
+
+
+def test_nearest_over_many_tiles_is_exact(spark, points, monkeypatch):
+    rows, df = points
+    monkeypatch.setattr(neighbours, "TILE", 32)
+    monkeypatch.setattr(neighbours, "SAMPLED", 32)
+    got = {}
+    for r in nearest(df, df, ["x", "y"], 4, "id", exclude_self=True).collect():
+        got.setdefault(r["id"], []).append((r["distance"], r["neighbour"]))
+    assert {i: [n for _, n in sorted(near)] for i, near in got.items()} == {i: [n for _, n in near] for i, near in _brute(rows, 4).items()}
+
+
 def test_dbscan_noise_is_exact(points):
     rows, df = points
     eps, need = 0.6, 4
