@@ -37,6 +37,9 @@ WORTH_WHILE = 0.7
 #: Classes by which the suffix filter compares two sets.
 CLASSES = 16
 
+#: Numbers of 64 bits in which the same filter compares which of many finer classes hold an odd number of shingles.
+MARKS = 8
+
 _DOC = [("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("rep", pa.int64()), ("text_sha256", pa.binary())]
 _BLOCK = pa.schema([("bucket", pa.int32()), ("base", pa.int64()), ("refs", pa.binary()), ("hashes", pa.binary()), ("others", pa.binary()), *_DOC, ("shared", pa.list_(pa.int64()))])
 _BLOCK_DDL = "bucket int, base long, refs binary, hashes binary, others binary, doc_id long, n long, same binary, rep long, text_sha256 binary, shared array<long>"
@@ -210,7 +213,8 @@ def _possible(a: str, b: str, percent: int) -> Column:
     after = F.least(n_a - F.col(f"{a}.position"), n_b - F.col(f"{b}.position"))
     positional = _enough(after, n_a, n_b, percent)
     apart = F.aggregate(F.zip_with(f"{a}.sizes", f"{b}.sizes", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    both = n_a + n_b
+    odd = F.aggregate(F.zip_with(f"{a}.marks", f"{b}.marks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart, both = F.greatest(apart, odd), n_a + n_b
     return length & positional & _enough((both - apart - F.col(f"{a}.alone") - F.col(f"{b}.alone")) / 2, n_a, n_b, percent)
 
 
@@ -226,6 +230,12 @@ def _class_size(number: int) -> Column:
     return F.size(F.filter("ranked", lambda x: F.pmod(x.gram, F.lit(CLASSES)) == number))
 
 
+def _mark(number: int) -> Column:
+    """Of 64 classes of shingles, a bit for each that is set if the class holds an odd number."""
+    own = F.pmod(F.shiftright("gram", 6), F.lit(MARKS)) == number
+    return F.bit_xor(F.when(own, F.expr("shiftleft(1L, cast(gram & 63 as int))")).otherwise(F.lit(0).cast("long")))
+
+
 def _pairs(left: Column, right: Column) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
@@ -235,7 +245,7 @@ def _open(posted: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
 
     Also their number, and the number of pairs of a member outside the main group with any other.
     """
-    x = F.struct("row", "n", "alone", "sizes", "position").alias("x")
+    x = F.struct("row", "n", "alone", "sizes", "marks", "position").alias("x")
     member = checkpointed(posted.join(found, F.col("row") == F.col("node"), "left").select("gram", x, F.coalesce("component", "row").alias("group")))
     groups = member.groupBy("gram", "group").agg(F.count("*").alias("members"))
     lists = groups.groupBy("gram").agg(
@@ -302,7 +312,7 @@ def jaccard_components(
 
     grams = sets.select("row", F.explode("shared").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = grams.join(counts, "gram").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
+    ranked = grams.join(counts, "gram").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"), F.array(*map(_mark, range(MARKS))).alias("marks"))
     sets = checkpointed(
         ranked.join(sets.select("row", "n"), "row").select(
             "row",
@@ -310,16 +320,17 @@ def jaccard_components(
             F.transform("ranked", lambda x: x.gram).alias("grams"),
             (F.col("n") - F.size("ranked")).alias("alone"),
             F.array(*map(_class_size, range(CLASSES))).alias("sizes"),
+            "marks",
             (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int").alias("prefix"),
         )
     )
     release(df.sparkSession)
     within = F.greatest(F.lit(0), F.col("prefix") - F.col("alone")).cast("int")
-    posted = sets.select("row", "n", "alone", "sizes", F.posexplode(F.slice("grams", F.lit(1), within)).alias("i", "gram"))
+    posted = sets.select("row", "n", "alone", "sizes", "marks", F.posexplode(F.slice("grams", F.lit(1), within)).alias("i", "gram"))
     posted = posted.withColumn("position", F.col("alone") + F.col("i")).drop("i")
 
-    heads = posted.groupBy("gram").agg(F.min_by(F.struct("row", "n", "alone", "sizes", "position"), "row").alias("head"), F.count("*").alias("members")).where("members > 1")
-    starred = posted.select("gram", F.struct("row", "n", "alone", "sizes", "position").alias("x")).join(heads, "gram").where("head.row <> x.row").where(_possible("head", "x", percent))
+    heads = posted.groupBy("gram").agg(F.min_by(F.struct("row", "n", "alone", "sizes", "marks", "position"), "row").alias("head"), F.count("*").alias("members")).where("members > 1")
+    starred = posted.select("gram", F.struct("row", "n", "alone", "sizes", "marks", "position").alias("x")).join(heads, "gram").where("head.row <> x.row").where(_possible("head", "x", percent))
     first = checkpointed(_verified(starred.select(*_pairs(F.col("head.row"), F.col("x.row"))).distinct(), sets, percent))
 
     tested, before, still = first, None, posted

@@ -2,8 +2,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.functions.components import components
+from tablewright.llm import jaccard
 from tablewright.llm.jaccard import jaccard_components
 
 from .conftest import pairs
@@ -103,3 +105,12 @@ def test_rounds_of_heads_join_a_group_whose_first_member_is_apart(spark):
     rows += [(1000 + i, " ".join([*other, *(f"y{i}-{j}" for j in range(14))])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert found(df) == brute(rows)
+
+
+def test_sets_with_equal_class_sizes_are_told_apart_before_they_are_verified(spark):
+    grams = spark.range(200).selectExpr("id div 100 as row", "id % 100 + 256 * (id div 100) as gram")
+    parts = [F.count("*").alias("n"), F.collect_list(F.struct("gram")).alias("ranked"), F.array(*map(jaccard._mark, range(jaccard.MARKS))).alias("marks")]
+    sizes = F.array(*map(jaccard._class_size, range(jaccard.CLASSES))).alias("sizes")
+    sets = grams.groupBy("row").agg(*parts).select(F.struct("row", "n", F.lit(0).alias("alone"), sizes, "marks", F.lit(0).alias("position")).alias("a"))
+    pairs = sets.crossJoin(sets.withColumnRenamed("a", "b")).where(jaccard._possible("a", "b", 75))
+    assert sorted((r.a.row, r.b.row) for r in pairs.collect()) == [(0, 0), (1, 1)]
