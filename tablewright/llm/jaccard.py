@@ -332,10 +332,15 @@ def jaccard_components(
     heads = posted.groupBy("gram").agg(F.min_by(F.struct("row", "n", "alone", "sizes", "marks", "position"), "row").alias("head"), F.count("*").alias("members")).where("members > 1")
     starred = posted.select("gram", F.struct("row", "n", "alone", "sizes", "marks", "position").alias("x")).join(heads, "gram").where("head.row <> x.row").where(_possible("head", "x", percent))
     first = checkpointed(_verified(starred.select(*_pairs(F.col("head.row"), F.col("x.row"))).distinct(), sets, percent))
+    release(df.sparkSession)
 
+    # each turn makes some dozens of shuffles; what they leave takes disk, however small they are
     tested, before, still = first, None, posted
     for turn in count(1):
-        member, total, work = _open(still, components(tested.where("linked").select("a", "b")))
+        found = components(tested.where("linked").select("a", "b"))
+        release(df.sparkSession)
+        member, total, work = _open(still, found)
+        release(df.sparkSession)
         if work <= CROWDED * total or before is not None and work > before * WORTH_WHILE:
             break
         before, still = work, member.select("gram", "x.*")  # a list that is closed stays closed
@@ -349,7 +354,10 @@ def jaccard_components(
     pairs = across.select(*_pairs(F.col("y.row"), F.col("x.row"))).distinct().join(tested, ["a", "b"], "left_anti")
     tested = tested.union(_verified(pairs, sets, percent))
 
-    found = components(tested.where("linked").select("a", "b").union(copies))
+    tested = checkpointed(tested.where("linked"))
+    release(df.sparkSession)
+    found = components(tested.select("a", "b").union(copies))
+    release(df.sparkSession)
     grouped = rows.join(found, F.col("row") == F.col("node"), "left")
     grouped = grouped.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("group"), F.col("component").isNotNull().alias("linked"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
     # the owners are written first, so that the join with them can split a group of very many rows
