@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,22 +55,21 @@ def token_key(token: bytes) -> int:
 
 
 def _windows(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array, each behind ``depth`` pads, and the places of their own bytes."""
+    """All texts in one array, each behind ``depth`` pads, and which bytes are their own."""
     joined = np.frombuffer(b"".join(END * depth + t for t in texts), np.uint8)
     own = np.ones(len(joined), bool)
     starts = np.cumsum([0, *(len(t) + depth for t in texts[:-1])])
     for i in range(depth):
         own[starts + i] = False
-    return joined, np.flatnonzero(own)
+    return joined, own
 
 
 def _keys(texts: list[bytes], depth: int) -> np.ndarray:
     """Each byte below the ``depth`` bytes before it, the nearest lowest, as one number."""
-    joined, places = _windows(texts, depth)
-    keys = np.zeros(len(places), np.uint64)
-    for i in range(depth, -1, -1):
-        keys = (keys << np.uint64(8)) | joined[places - i]
-    return keys
+    joined, own = _windows(texts, depth)
+    # the eight bytes up to each place, read as one number
+    whole = np.ndarray(len(joined), ">u8", np.r_[np.zeros(7, np.uint8), joined], strides=(1,))
+    return whole[own].astype(np.uint64) & np.uint64((1 << 8 * (depth + 1)) - 1)
 
 
 def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +83,10 @@ def _counted(depth: int):
 
         def merge() -> None:
             keys = np.concatenate([k for k, _ in grams])
-            keys, inverse = np.unique(keys, return_inverse=True)
-            grams[:] = [(keys, np.bincount(inverse, np.concatenate([n for _, n in grams]), len(keys)).astype(np.int64))]
+            order = np.argsort(keys, kind="stable")  # quick on parts that are sorted
+            keys = keys[order]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+            grams[:] = [(keys[starts], np.add.reduceat(np.concatenate([n for _, n in grams])[order], starts) if len(starts) else np.empty(0, np.int64))]
 
         def send(kind: int, keys, counts) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], schema=_COUNT)
@@ -159,7 +161,8 @@ class Tree:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 of each text's probability; the texts are not empty."""
-        joined, places = _windows(texts, self.depth)
+        joined, own = _windows(texts, self.depth)
+        places = np.flatnonzero(own)
         inner, step, logs = len(self.step), self.step.ravel(), self.logs.ravel()
         state = np.zeros(len(places), np.int32)
         for i in range(1, self.depth + 1):
@@ -412,6 +415,35 @@ def fit(
     )
 
 
+class Places:
+    """Finds numbers in an array of distinct ones: by a table of twice to four times their places, free ones empty."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.append(keys, 0)
+        self.n, self.bits = len(keys), max(1, (2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, self.n, np.int32)
+        left, at = np.arange(self.n, dtype=np.int32), self._first(keys)
+        while len(left):
+            free = self.slots[at] == self.n
+            self.slots[at[free]] = left[free]  # of several for one slot, one stays
+            moved = self.slots[at] != left
+            left, at = left[moved], at[moved] + 1 & (1 << self.bits) - 1
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each number, ``n`` if it has none."""
+        at = self._first(wanted)
+        found = self.slots[at]
+        left = np.flatnonzero((self.keys[found] != wanted) & (found < self.n))
+        while len(left):
+            at[left] = at[left] + 1 & (1 << self.bits) - 1
+            found[left] = now = self.slots[at[left]]
+            left = left[(self.keys[now] != wanted[left]) & (now < self.n)]
+        return found
+
+
 _SCORED_DDL = "row long, doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, grams array<long>"
 _SCORED = pa.schema([(n, {"long": pa.int64(), "double": pa.float64()}.get(t, pa.list_(pa.int64()))) for n, t in (x.split() for x in _SCORED_DDL.split(", "))])
 
@@ -434,47 +466,42 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_keys, gram_logs, keys, logs = shared.value
+        grams, gram_logs = Places(gram_keys), np.append(gram_logs, 0.0)
+        tokens, logs = Places(keys), np.append(logs, float("nan"))
         known: dict[bytes, float] = {}  # NaN: not in the broadcast
         row = task_id() << 40
-        nan = float("nan")
 
         def look(words: set[bytes]) -> None:
             if len(known) + len(words) > 300_000:
                 known.clear()
-            new = list(words)
+            new = list(words.difference(known))
             asked = np.fromiter(map(token_key, new), np.int64, len(new))
-            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1) if len(keys) else None
-            values = np.where(keys[at] == asked, logs[at], nan) if len(keys) else np.full(len(new), nan)
-            known.update(zip(new, values.tolist(), strict=True))
-
-        def weigh(texts: list[bytes]) -> tuple[list[float], list[np.ndarray]]:
-            """Of each text: the sum of the logs that are here, and the keys of the bytes that are not."""
-            asked = _keys(texts, depth).astype(np.int64)
-            once, back = np.unique(asked, return_inverse=True)
-            at = np.minimum(np.searchsorted(gram_keys, once), max(0, len(gram_keys) - 1))
-            hit = gram_keys[at] == once if len(gram_keys) else np.zeros(len(once), bool)
-            each = np.where(hit, gram_logs[at], 0.0)[back] if len(gram_keys) else np.zeros(len(asked))
-            ends = np.cumsum([0, *map(len, texts)])
-            missed = np.flatnonzero(~hit[back])
-            return np.add.reduceat(each, ends[:-1]).tolist(), np.split(asked[missed], np.searchsorted(missed, ends[1:-1]))
+            known.update(zip(new, logs[tokens.find(asked)].tolist(), strict=True))
 
         def told(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
             nonlocal row
-            rows = []
-            scores, grams = weigh([b" ".join(t[:-1]) + END for t in texts])
-            for doc_id, words, own, unseen in zip(ids, texts, scores, grams, strict=True):
-                found = list(map(known.get, words))
-                if None in found:
-                    look(set(words))
-                    found = list(map(known.__getitem__, words))
-                values = np.array(found)
-                rare = np.isnan(values)
-                n_rare = int(rare.sum())
-                names = [token_key(words[i]) for i in np.flatnonzero(rare)] if n_rare else []
-                n_bytes = sum(map(len, words[:-1])) + max(1, len(words) - 1)
-                rows.append((row, doc_id, len(words), len(words) - n_rare, float(values[~rare].sum()), own, n_bytes, names, unseen))
-                row += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCORED, strict=True)], schema=_SCORED)
+            look(set().union(*texts))
+            n_tokens = np.array([len(t) for t in texts])
+            values = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), float, n_tokens.sum())
+            starts = np.cumsum(n_tokens) - n_tokens
+            rare = np.isnan(values)
+            words = list(chain.from_iterable(texts))
+            names = np.fromiter((token_key(words[i]) for i in np.flatnonzero(rare)), np.int64, np.count_nonzero(rare))
+            n_rare = np.add.reduceat(rare, starts, dtype=np.int64)
+
+            joined = [b" ".join(t[:-1]) + END for t in texts]
+            sizes = np.array([len(t) for t in joined])
+            firsts = np.cumsum(sizes) - sizes
+            asked = _keys(joined, depth).astype(np.int64)
+            at = grams.find(asked)
+            missed = at == grams.n
+            n_missed = np.add.reduceat(missed, firsts, dtype=np.int64)
+            columns = [
+                np.arange(row, row + len(ids)), ids, n_tokens, n_tokens - n_rare, np.add.reduceat(np.where(rare, 0.0, values), starts), np.add.reduceat(gram_logs[at], firsts), sizes,
+                *(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(x)) for n, x in ((n_rare, names), (n_missed, asked[missed]))),
+            ]
+            row += len(ids)
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SCORED, strict=True)], schema=_SCORED)
 
         for batch in slices(batches):
             ids, texts, held = [], [], 0

@@ -157,3 +157,23 @@ def test_nothing_to_learn_from(empty, odd):
     assert len(got) == odd.count() and all(r.n_known == 0 and r.train_tokens == 0 for r in got)
     assert all(r.bits_per_byte == pytest.approx(8, rel=1e-4) for r in got)
     assert ctw.score(empty, model).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 70_000])
+def test_places_of_numbers(n):
+    """Every number has its place, others none; numbers that meet in a slot are told apart."""
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.r_[rng.integers(-(2**63), 2**63 - 1, n), np.arange(min(n, 3))])[:n].astype(np.int64)
+    rng.shuffle(keys)
+    places = ctw.Places(keys)
+    assert places.find(keys).tolist() == list(range(len(keys)))
+    other = np.setdiff1d(rng.integers(-(2**40), 2**40, 5000), keys)
+    assert (places.find(other) == len(keys)).all() and len(places.find(other[:0])) == 0
+
+
+def test_counting_takes_texts_in_any_order_of_parts(spark, monkeypatch):
+    """Keys are the byte and those before it, nearest lowest; counts of parts that are merged are exact."""
+    texts = [b"ab\0", b"\0", b"abab\0"]
+    keys = ctw._keys(texts, 2).tolist()
+    padded = [b"\0\0" + t for t in texts]
+    assert keys == [int.from_bytes(t[i - 2 : i + 1], "big") for t in padded for i in range(2, len(t))]
