@@ -7,11 +7,12 @@ import os
 import re
 import unicodedata
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .batches import id_and_text, slices, task_id, texts
@@ -21,13 +22,13 @@ WINDOW = 4096
 #: Partly filled windows that a task keeps open.
 OPEN_WINDOWS = 1024
 
-#: Runs of characters between white space whose ids a worker remembers, in each of two generations.
+#: Words, and runs of characters between white space, whose ids a worker remembers, in each of two generations.
 REMEMBERED = 100_000
 
 #: Characters of text that are split before their new words are looked up together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 22
 
-#: Runs that are sent to the library at a time; what it returns for each token takes far more than the ids.
+#: Words that are sent to the library at a time; what it returns for each token takes far more than the ids.
 SENT = 4096
 
 #: Characters up to this one are split here; texts with others go to the library whole.
@@ -57,7 +58,16 @@ _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]
 _OTHER = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
 #: White space to Python but not to the vocabulary.
 _NO_SPACE = re.compile(r"[\x1c-\x1f]")
-_RUN = re.compile(rf"[^{_S}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The vocabulary's letter for each byte; the space that parts words stays."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(0x100 + i) for i, b in enumerate(other) if b != 0x20}
+
+
+_LETTERS = _byte_letters()
 
 
 class Memory(dict):
@@ -66,9 +76,9 @@ class Memory(dict):
     def __init__(self) -> None:
         self.old: dict[str, bytes] = {}
 
-    def missing(self, wanted: set[str]) -> list[str]:
+    def missing(self, wanted: Iterable[str]) -> list[str]:
         """Those of ``wanted`` that are in neither generation; the others are in the newer one afterwards."""
-        new = wanted.difference(self)
+        new = set(wanted).difference(self)
         known = new.intersection(self.old)
         self.update(zip(known, map(self.old.__getitem__, known), strict=True))
         return list(new.difference(known))
@@ -83,14 +93,14 @@ class WordTokenizer:
     """Ids of a vocabulary that splits a lower-case text into words before its merges.
 
     No word reaches across white space, and its ids do not depend on its neighbours. So what stands between white space
-    is looked up once and remembered; what is new in many texts is sent to the library together, and told apart
-    by the ids that end a word.
+    is looked up once and remembered. What is new is split into words; those that are new in many texts are sent to the
+    library's merges together, and told apart by the ids that end a word.
     Ids come as bytes, four for each, little-endian.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
@@ -99,30 +109,45 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(1 + max(vocabulary.values()), bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith(_END)]] = True
+        # for words in lower case, as letters for their bytes: the merges alone
+        self.merges = Tokenizer.from_str(self.library.to_str())
+        self.merges.encode_special_tokens = True
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.runs = Memory()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _split(self, text: str) -> list[str] | None:
-        """What stands between white space in a text, None if only the library can tell its words."""
+    def _lower(self, text: str) -> str | None:
+        """The text in lower case, None if only the library can tell its words."""
         low = text.lower()
-        if not low.isascii() and (_OTHER.search(low) or _OTHER.search(text)):
+        if _NO_SPACE.search(low) or not low.isascii() and (_OTHER.search(low) or _OTHER.search(text)):
             return None
-        return _RUN.findall(low) if _NO_SPACE.search(low) else low.split()
-
-    def _learn(self, runs: set[str]) -> None:
+        return low
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        joined = " ".join(words)
+        if not joined.isascii() or not joined.isprintable():
+            joined = joined.encode().decode("latin-1").translate(_LETTERS)
+        ids = np.asarray(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):  # an end is missing in the vocabulary
+            return self._whole(words)
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _learn(self, runs: list[str]) -> None:
         new = self.runs.missing(runs)
-        for start in range(0, len(new), SENT):
-            part = new[start : start + SENT]
-            counts = [1 if x.isalpha() else len((_SPLIT_ASCII if x.isascii() else _SPLIT).findall(x)) for x in part]
-            ids = np.asarray(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(counts)
-            if len(ends) == last[-1]:
-                raw, cuts = ids.tobytes(), (4 * ends[last - 1]).tolist()
-                self.runs.update(zip(part, [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
-            else:  # the words of some run are others beside a neighbour
-                self.runs.update(zip(part, self._whole(part), strict=True))
+        mixed = {x: (_SPLIT_ASCII if x.isascii() else _SPLIT).findall(x) for x in new if not x.isalpha()}
+        words = {x for x in new if x not in mixed}
+        words.update(self.runs.missing(set().union(*mixed.values()) - words))
+        for own in ([x for x in words if x.isascii()], [x for x in words if not x.isascii()]):
+            for start in range(0, len(own), SENT):
+                part = own[start : start + SENT]
+                self.runs.update(zip(part, self._words(part), strict=True))
+        known = self.runs.__getitem__
+        self.runs.update((x, b"".join(map(known, parts))) for x, parts in mixed.items() if len(parts) != 1)
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; texts are taken together until they come to ``TOGETHER`` characters."""
@@ -135,10 +160,22 @@ class WordTokenizer:
             if not self.apart:
                 yield from self._whole(own)
             else:
-                split = [self._split(t) for t in own]
-                self._learn(set().union(*(x for x in split if x)))
-                for t, x in zip(own, split, strict=True):
-                    yield self._whole([t])[0] if x is None else b"".join(map(self.runs.__getitem__, x))
+                low = [self._lower(t) for t in own]
+                split = pc.utf8_split_whitespace(pa.array([x or "" for x in low], pa.large_string()))
+                coded = split.flatten().dictionary_encode()
+                runs, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                self._learn(runs)
+                found = list(map(self.runs.__getitem__, runs))
+                sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+                firsts, ids = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(found), "<u4")
+                counts = sizes[at]
+                before = np.cumsum(np.r_[0, counts], dtype=np.int64)
+                places = np.arange(before[-1], dtype=np.int32)
+                places += np.repeat(firsts[at] - before[:-1].astype(np.int32), counts)
+                raw = ids.take(places).tobytes()
+                cuts = (4 * before[split.offsets.to_numpy()]).tolist()
+                for t, x, a, b in zip(own, low, cuts[:-1], cuts[1:], strict=True):
+                    yield self._whole([t])[0] if x is None else raw[a:b]
                 self.runs.age()
             start, size = end, 0
 

@@ -4,7 +4,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tablewright.llm import bpe, wordpiece
+from tablewright.llm import bpe, packing, wordpiece
 from tablewright.llm.packing import SumOfSquares, packed
 from tablewright.llm.queries import BYTE_RANKS, PIECE_MODEL, WORD_VOCABULARY
 
@@ -119,3 +119,16 @@ def test_sum_of_squares_takes_the_best_level():
         assert (now**2).sum() == best
         assert bins.n_open == now.sum() and not now[0] and not now[size]
         assert bins.filled == np.flatnonzero(now).tolist()
+
+
+def test_words_are_learned_once(monkeypatch):
+    """Runs of known words and signs ask the library for nothing; what it is asked gives what it gives for whole texts."""
+    words = packing.WordTokenizer(WORD_VOCABULARY)
+    signs = "".join(chr(c) for c in range(1, 0x250) if not 0xD800 <= c < 0xE000)
+    odd = [" ".join(f"a{c}b {c}{c}s x{c}" for c in signs), "", " lead", "it's we'll 'tis ''s .'re", "naïve façade ǅ ß12½", "Ⱥx \x1cy", "日本 été"]
+    assert list(words.ids(odd)) == words._whole(odd)
+    list(words.ids(["alpha beta , ! ."]))
+    asked = []
+    monkeypatch.setattr(words, "_words", lambda part: asked.extend(part) or [b""] * len(part))
+    known = ["alpha, beta! alpha.beta"]
+    assert list(words.ids(known)) == words._whole(known) and not asked
