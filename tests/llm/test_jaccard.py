@@ -114,3 +114,20 @@ def test_sets_with_equal_class_sizes_are_told_apart_before_they_are_verified(spa
     sets = grams.groupBy("row").agg(*parts).select(F.struct("row", "n", F.lit(0).alias("alone"), sizes, "marks", F.lit(0).alias("position")).alias("a"))
     pairs = sets.crossJoin(sets.withColumnRenamed("a", "b")).where(jaccard._possible("a", "b", 75))
     assert sorted((r.a.row, r.b.row) for r in pairs.collect()) == [(0, 0), (1, 1)]
+
+
+def test_shuffles_of_earlier_rounds_are_let_go(spark, monkeypatch):
+    """No more than three tables are written before what made the ones before them is let go."""
+    rows = [(i, " ".join(f"w{w}-{i % 7 if w > 90 - i else 0}" for w in range(100))) for i in range(30)]
+    written, most = [0], [0]
+    write = jaccard.checkpointed
+
+    def counted(df):
+        written[0] += 1
+        most[0] = max(most[0], written[0])
+        return write(df)
+
+    monkeypatch.setattr(jaccard, "checkpointed", counted)
+    monkeypatch.setattr(jaccard, "release", lambda session: written.__setitem__(0, 0))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
+    assert 0 < most[0] <= 3
