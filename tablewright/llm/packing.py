@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .batches import id_and_text, slices, task_id, texts
@@ -22,7 +20,7 @@ WINDOW = 4096
 #: Partly filled windows that a task keeps open.
 OPEN_WINDOWS = 1024
 
-#: Words, and runs of characters between white space, whose ids a worker remembers, in each of two generations.
+#: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 100_000
 
 #: Characters of text that are split before their new words are looked up together.
@@ -47,24 +45,58 @@ _PRE_TOKENIZER = {
 _END = "</w>"
 
 
-def _class(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(_LAST + 1) if unicodedata.category(chr(c))[0] == kind)
+_SPACE, _LETTER, _NUMBER, _SIGN, _OTHER = range(5)
 
 
-_L, _N, _S = _class("L"), _class("N"), "\t-\r \x85\xa0"
-#: The vocabulary's own split of a lower-case text into words, for characters up to ``_LAST``.
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-_OTHER = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
-#: White space to Python but not to the vocabulary.
-_NO_SPACE = re.compile(r"[\x1c-\x1f]")
+def _kinds() -> np.ndarray:
+    """The kind of each UTF-16 code for the vocabulary's own split of a lower-case text into words.
 
-
-def _byte_letters() -> dict[int, str]:
+    Only the library can split a text with ``_OTHER``; U+001C to U+001F are white space to some, U+0130 becomes two.
+    """
+    kinds = np.full(1 << 16, _OTHER, np.uint8)
+    for c in range(_LAST + 1):
+        kinds[c] = {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _SIGN)
+    kinds[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0]] = _SPACE
+    kinds[[*range(0x1C, 0x20), 0x130]] = _OTHER
+    return kinds
+
+
+_KIND = _kinds()
+#: Bytes of each code in UTF-8; white space is left out.
+_WIDTH = np.where(_KIND == _SPACE, 0, 1 + (np.arange(1 << 16) >= 0x80)).astype(np.uint8)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+
+
+def _starts(codes: np.ndarray) -> np.ndarray:
+    """Where the words of a lower-case text start: ``'s|'t|'re|'ve|'m|'ll|'d``, letters, one number, or signs."""
+    kind = _KIND[codes]
+    start = (kind == _NUMBER) | (kind != np.r_[np.uint8(_SPACE), kind[:-1]])
+    start &= kind != _SPACE
+    # no sign comes before an apostrophe that starts a word, and a letter after it ends the signs
+    at = np.flatnonzero(start & (codes == ord("'")))
+    ahead = np.r_[codes, np.zeros(3, codes.dtype)]
+    one, two = ahead[at + 1], ahead[at + 2]
+    size = np.isin(one, [ord(c) for c in "stmd"]) * 2
+    for x, y in ("re", "ve", "ll"):
+        size[(one == ord(x)) & (two == ord(y))] = 3
+    at, size = at[size > 0], size[size > 0]
+    start[at + 1] = False
+    after = (at + size)[at + size < len(codes)]
+    start[after] = kind[after] != _SPACE
+    return np.flatnonzero(start)
+
+
+def _byte_letters() -> np.ndarray:
     """The vocabulary's letter for each byte; the space that parts words stays."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = np.arange(256, dtype="<u2")
     other = [b for b in range(256) if b not in plain]
-    return {b: chr(0x100 + i) for i, b in enumerate(other) if b != 0x20}
+    letters[other] = 0x100 + np.arange(len(other))
+    letters[0x20] = 0x20
+    return letters
 
 
 _LETTERS = _byte_letters()
@@ -76,12 +108,15 @@ class Memory(dict):
     def __init__(self) -> None:
         self.old: dict[str, bytes] = {}
 
-    def missing(self, wanted: Iterable[str]) -> list[str]:
-        """Those of ``wanted`` that are in neither generation; the others are in the newer one afterwards."""
-        new = set(wanted).difference(self)
-        known = new.intersection(self.old)
-        self.update(zip(known, map(self.old.__getitem__, known), strict=True))
-        return list(new.difference(known))
+    def known(self, wanted: list[str]) -> list[bytes | None]:
+        """The ids of each of ``wanted``, None if in neither generation; what is known is in the newer one afterwards."""
+        found = list(map(self.get, wanted))
+        if self.old:
+            left = [(i, x) for i, (x, ids) in enumerate(zip(wanted, found, strict=True)) if ids is None]
+            for (i, x), ids in zip(left, map(self.old.get, [x for _, x in left]), strict=True):
+                if ids is not None:
+                    found[i] = self[x] = ids
+        return found
 
     def age(self) -> None:
         if len(self) > REMEMBERED:
@@ -92,9 +127,9 @@ class Memory(dict):
 class WordTokenizer:
     """Ids of a vocabulary that splits a lower-case text into words before its merges.
 
-    No word reaches across white space, and its ids do not depend on its neighbours. So what stands between white space
-    is looked up once and remembered. What is new is split into words; those that are new in many texts are sent to the
-    library's merges together, and told apart by the ids that end a word.
+    The ids of a word do not depend on its neighbours. So many texts are split together, by the kinds of their characters,
+    and each word is looked up once and remembered. Words that are new are sent to the library's merges together, and
+    told apart by the ids that end a word.
     Ids come as bytes, four for each, little-endian.
     """
 
@@ -113,23 +148,24 @@ class WordTokenizer:
         self.merges = Tokenizer.from_str(self.library.to_str())
         self.merges.encode_special_tokens = True
         self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        self.runs = Memory()
+        self.merges.model._resize_cache(0)  # each word is sent once, so the library's own memory of words only costs time
+        self.memory = Memory()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lower(self, text: str) -> str | None:
-        """The text in lower case, None if only the library can tell its words."""
-        low = text.lower()
-        if _NO_SPACE.search(low) or not low.isascii() and (_OTHER.search(low) or _OTHER.search(text)):
+    def _lower(self, text: str) -> np.ndarray | None:
+        """The codes of the text in lower case, None if only the library can tell its words."""
+        codes = _codes(text.lower())
+        if (_KIND[codes] == _OTHER).any() or not text.isascii() and (_KIND[_codes(text)] == _OTHER).any():
             return None
-        return low
+        return codes
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of each word."""
         joined = " ".join(words)
         if not joined.isascii() or not joined.isprintable():
-            joined = joined.encode().decode("latin-1").translate(_LETTERS)
+            joined = _LETTERS[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
         ids = np.asarray(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):  # an end is missing in the vocabulary
@@ -137,17 +173,43 @@ class WordTokenizer:
         raw, cuts = ids.tobytes(), (4 * ends).tolist()
         return [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
 
-    def _learn(self, runs: list[str]) -> None:
-        new = self.runs.missing(runs)
-        mixed = {x: (_SPLIT_ASCII if x.isascii() else _SPLIT).findall(x) for x in new if not x.isalpha()}
-        words = {x for x in new if x not in mixed}
-        words.update(self.runs.missing(set().union(*mixed.values()) - words))
-        for own in ([x for x in words if x.isascii()], [x for x in words if not x.isascii()]):
-            for start in range(0, len(own), SENT):
-                part = own[start : start + SENT]
-                self.runs.update(zip(part, self._words(part), strict=True))
-        known = self.runs.__getitem__
-        self.runs.update((x, b"".join(map(known, parts))) for x, parts in mixed.items() if len(parts) != 1)
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each of different words, remembered or new."""
+        found = self.memory.known(words)
+        new = [i for i, x in enumerate(found) if x is None]
+        for start in range(0, len(new), SENT):
+            part = new[start : start + SENT]
+            own = [words[i] for i in part]
+            for i, word, ids in zip(part, own, self._words(own), strict=True):
+                found[i] = self.memory[word] = ids
+        return found
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        codes, sizes = self._lower("\n".join(texts)), list(map(len, texts))
+        whole = set()
+        if codes is None:
+            each = [self._lower(t) for t in texts]
+            whole = {i for i, x in enumerate(each) if x is None}
+            codes, sizes = self._lower("\n".join(["" if i in whole else t for i, t in enumerate(texts)])), [0 if x is None else len(x) for x in each]
+        starts = _starts(codes)
+        solid = codes[_KIND[codes] != _SPACE].tobytes().decode("utf-16-le").encode()
+        offsets = np.append(np.cumsum(_WIDTH[codes], dtype=np.int32)[starts] - _WIDTH[codes[starts]], np.int32(len(solid)))
+        split = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(solid))
+        coded = split.dictionary_encode()
+        found, at = self._learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+        lengths = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        firsts, ids = np.cumsum(lengths, dtype=np.int32) - lengths, np.frombuffer(b"".join(found), "<u4")
+        counts = lengths[at]
+        before = np.cumsum(np.r_[0, counts], dtype=np.int64)
+        places = np.arange(before[-1], dtype=np.int32)
+        places += np.repeat(firsts[at] - before[:-1].astype(np.int32), counts)
+        raw = ids.take(places).tobytes()
+        # a text and the line end after it hold one more code than the text
+        words = np.searchsorted(starts, np.cumsum([0, *sizes]) + np.arange(len(sizes) + 1))
+        cuts = (4 * before[words]).tolist()
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            yield self._whole([texts[i]])[0] if i in whole else raw[a:b]
+        self.memory.age()
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; texts are taken together until they come to ``TOGETHER`` characters."""
@@ -156,27 +218,7 @@ class WordTokenizer:
             size += len(text)
             if size < TOGETHER and end < len(texts):
                 continue
-            own = texts[start:end]
-            if not self.apart:
-                yield from self._whole(own)
-            else:
-                low = [self._lower(t) for t in own]
-                split = pc.utf8_split_whitespace(pa.array([x or "" for x in low], pa.large_string()))
-                coded = split.flatten().dictionary_encode()
-                runs, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-                self._learn(runs)
-                found = list(map(self.runs.__getitem__, runs))
-                sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
-                firsts, ids = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(found), "<u4")
-                counts = sizes[at]
-                before = np.cumsum(np.r_[0, counts], dtype=np.int64)
-                places = np.arange(before[-1], dtype=np.int32)
-                places += np.repeat(firsts[at] - before[:-1].astype(np.int32), counts)
-                raw = ids.take(places).tobytes()
-                cuts = (4 * before[split.offsets.to_numpy()]).tolist()
-                for t, x, a, b in zip(own, low, cuts[:-1], cuts[1:], strict=True):
-                    yield self._whole([t])[0] if x is None else raw[a:b]
-                self.runs.age()
+            yield from (self._together if self.apart else self._whole)(texts[start:end])
             start, size = end, 0
 
 

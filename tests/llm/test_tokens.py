@@ -132,3 +132,27 @@ def test_words_are_learned_once(monkeypatch):
     monkeypatch.setattr(words, "_words", lambda part: asked.extend(part) or [b""] * len(part))
     known = ["alpha, beta! alpha.beta"]
     assert list(words.ids(known)) == words._whole(known) and not asked
+
+
+def test_texts_are_split_together():
+    """Texts of any characters, alone and among others, get the ids that the library gives."""
+    words, rng = packing.WordTokenizer(WORD_VOCABULARY), np.random.default_rng(3)
+    parts = [*"aZ9 '\n\t.,!s\x00\x0b\x85\xa0éßÄ²½ªµǅȺſ", "'s", "'ll", "'RE", "''", "d've", "the", "<|endoftext|>", "'"]
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 12, 3000)]
+    assert list(words.ids(texts)) == words._whole(texts)
+    texts[::7] = [t + x for t, x in zip(texts[::7], ["日", "İ", "\x1c", "K", "ẞ", "Σ", "\U0001f600", "e\u0301"] * 60, strict=False)]
+    assert list(words.ids(texts)) == words._whole(texts)
+    for odd in ([], [""], ["", " ", "\n"], ["İ"], ["", "日", ""], ["'"], ["it'", "s"], ["'l", "l"]):
+        assert list(words.ids(odd)) == words._whole(odd)
+
+
+def test_only_words_are_remembered(monkeypatch):
+    """Many runs of few words and signs do not crowd out words."""
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    words = packing.WordTokenizer(WORD_VOCABULARY)
+    list(words.ids(["alpha"]))
+    for i in range(4):
+        list(words.ids([" ".join(f"beta,{n}gamma" for n in range(100 * i, 100 * i + 100))]))
+    asked = []
+    monkeypatch.setattr(words, "_words", lambda part: asked.extend(part) or [b""] * len(part))
+    assert list(words.ids(["alpha, beta"])) == words._whole(["alpha, beta"]) and not asked
