@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 from itertools import combinations, product
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import join_on, q
 
+#: Of the number of classes in the marks of a text, at most.
+MARK_BITS = 14
+
 
 def _without_one(s: Column) -> Column:
     """All strings one deletion shorter."""
@@ -101,10 +105,22 @@ def close_pairs(
 
 
 def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """Sorted hashes of the runs of ``words`` words of a text in lower case; a shorter text is one run."""
+    """Sorted hashes of the runs of ``words`` words of a text in lower case; a shorter text is one run.
+
+    Each word is hashed once; the hashes of a run are mixed in their order.
+    """
     found = (text or "").lower().split()
-    runs = [" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(r) for r in runs), np.uint64, len(runs)))
+    if not found:
+        return np.empty(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    if len(found) < words:
+        return np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64)
+    mixed = np.zeros(len(found) - words + 1, np.uint64)
+    for i in range(words):
+        mixed ^= hashes[i : i + len(mixed)] + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed)
 
 
 def _minima(own: np.ndarray, odd: np.ndarray, plus: np.ndarray) -> np.ndarray:
@@ -136,26 +152,48 @@ def _sketch(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two.reshape(-1, 32) << places, axis=1).view(np.int64)
 
 
+def _marks(own: np.ndarray) -> np.ndarray:
+    """A bit for each class of hashes, by their last bits, that is set if an odd number of the hashes is in the class.
+
+    There are two to four classes for each hash, a power of two.
+    """
+    classes = 1 << min(max(6, (2 * len(own) - 1).bit_length()), MARK_BITS)
+    odd = np.bincount((own & np.uint64(classes - 1)).astype(np.int64), minlength=classes).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def word_sets(words: int, bands: int, rows: int, seed: int = 42):
-    """A column function from a text to a struct: its distinct word runs, hashed (``runs``), one MinHash key for each
-    band of ``rows`` minima over them (``bands``; none without words), and two bits of each minimum (``sketch``).
+    """A column function from a text to a struct that stands for its distinct word runs: their number (``n``), a digest
+    of them all (``same``), one MinHash key for each band of ``rows`` minima over them (``bands``; none without words),
+    two bits of each minimum (``sketch``), and which of many classes of runs have an odd number (``marks``).
 
-    Two texts agree in a band with probability similarity ** rows.
+    Two texts agree in a band with probability similarity ** rows. The function is declared not deterministic, as are
+    those below: else Spark repeats it in filters that it pushes under joins, over every row that the join would drop.
     """
     odd, plus = _factors(bands * rows, seed)
 
-    def of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(text: str | None) -> tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]:
         own = _shingle_hashes(text, words)
         if not len(own):
-            return own.view(np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+            return 0, b"", *[np.empty(0, np.int64)] * 3
         least = _minima(own, odd, plus)
-        return own.view(np.int64), _band_keys(least, bands), _sketch(least)
+        return len(own), hashlib.sha256(own.tobytes()).digest(), _band_keys(least, bands), _sketch(least), _marks(own)
 
-    @F.pandas_udf("runs array<long>, bands array<long>, sketch array<long>")
+    @F.pandas_udf("n int, same binary, bands array<long>, sketch array<long>, marks array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([of(t) for t in texts], columns=["runs", "bands", "sketch"])
+        return pd.DataFrame([of(t) for t in texts], columns=["n", "same", "bands", "sketch", "marks"])
+
+    return run.asNondeterministic()
+
 
-    return run
+def word_runs(words: int):
+    """A column function: the hashes of a text's distinct word runs, those that ``word_sets`` signs."""
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_hashes(t, words).view(np.int64) for t in texts], dtype=object)
+
+    return run.asNondeterministic()
 
 
 def set_bands(bands: int, rows: int, seed: int = 42):
@@ -166,7 +204,7 @@ def set_bands(bands: int, rows: int, seed: int = 42):
     def run(sets: pd.Series) -> pd.Series:
         return sets.map(lambda own: _band_keys(_minima(np.asarray(own, np.int64).view(np.uint64), odd, plus), bands))
 
-    return run
+    return run.asNondeterministic()
 
 
 def sketches_differ(x: str, y: str) -> Column:
@@ -174,3 +212,19 @@ def sketches_differ(x: str, y: str) -> Column:
     pairs = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
     folded = F.transform(pairs, lambda z: F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555))))
     return F.aggregate(folded, F.lit(0), lambda total, n: total + n)
+
+
+def runs_apart(x: str, y: str) -> Column:
+    """How many runs, by their ``marks``, two texts at least do not share. Exact: it is never more than they do not share.
+
+    Marks of twice as many classes are folded first; where one has still more classes the answer is 0.
+    """
+
+    def halved(m: str, other: str) -> Column:
+        half = F.expr(f"size({m}) div 2").cast("int")
+        folded = F.zip_with(F.slice(m, F.lit(1), half), F.slice(m, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(m) > F.size(other), folded).otherwise(F.col(m))
+
+    pairs = F.zip_with(halved(x, y), halved(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    few, many = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+    return F.when(many <= 2 * few, F.aggregate(pairs, F.lit(0), lambda total, n: total + n)).otherwise(F.lit(0))

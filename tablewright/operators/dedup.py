@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.common import as_list, is_missing, join_on, q
 from ..functions.ordered import row_frame, sort_columns
 from ..functions.scale import checkpointed, stored
-from ..functions.text import close_pairs, set_bands, sketches_differ, word_sets
+from ..functions.text import close_pairs, runs_apart, set_bands, sketches_differ, word_runs, word_sets
 from .graph import connected_components
 
 
@@ -177,20 +177,23 @@ def near_duplicates(
     larger bands are signed again, with the bands and rows that ``finer`` lists, and meet there in the same way: texts
     that only share a passage part, while a pair at 0.75 stays together but once in 200,000. After the last signing
     the texts that are still together meet each other, however many. Pairs whose sketches (two bits of each minimum
-    of the first signing) are five deviations from what the similarity gives are not looked at; of all others the whole
-    sets decide. Texts with equal runs count as one beforehand. Texts without words, and rows without an id, are near nothing.
+    of the first signing) are five deviations from what the similarity gives are not looked at; neither are pairs whose
+    ``marks`` prove them too far apart, which misses none. Of all others the whole sets decide. Texts with equal runs count
+    as one beforehand. Texts without words, and rows without an id, are near nothing.
+
+    What is kept of every text is its signs; the sets of texts in pairs that are left, or in large bands, are made from the
+    texts again: the texts are read three times, and pass through two shuffles.
 
     Spark takes an array for one element when it guesses a size, and a row that is exploded for one row: by that guess
     it would send whole sets and bands through the driver. So joins of what grows with the table ask for a merge.
     """
-    docs = df.select(q(id_col).alias("id"), word_sets(words, bands, rows)(q(text_col).cast("string")).alias("s")).where("id is not null")
-    same = F.sha2(F.array_join(F.col("runs").cast("array<string>"), " "), 256).alias("same")
-    known = docs.select("id", "s.*").where(F.size("bands") > 0).select("id", "runs", "bands", "sketch", same)
-    sets = checkpointed(known)
-    alike = sets.groupBy("same").agg(F.min("id").alias("first"))
-    copies = sets.select("id", "same").join(alike.hint("merge"), "same").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    single = sets.select("id", F.size("runs").alias("n"), "sketch", "bands").join(alike.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi")
-    facts = F.struct("id", "n", "sketch")
+    texts = df.select(q(id_col).alias("id"), q(text_col).cast("string").alias("text")).where("id is not null")
+    signs = checkpointed(texts.select("id", word_sets(words, bands, rows)("text").alias("s")).select("id", "s.*").where("n > 0"))
+    # written first, so that the join can split a set that very many texts have
+    alike = checkpointed(signs.groupBy("same").agg(F.min("id").alias("first")))
+    copies = checkpointed(signs.select("id", "same").join(alike.hint("merge"), "same").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    single = checkpointed(signs.join(alike.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi").drop("same"))
+    facts = single.select("id", F.struct("id", "n", "sketch", "marks").alias("y"))
     agree = similarity + (1 - similarity) / 4
     most = bands * rows * (1 - agree) + 5 * (bands * rows * agree * (1 - agree)) ** 0.5
 
@@ -198,30 +201,52 @@ def near_duplicates(
         low, high = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
         return (low >= similarity * high) & (sketches_differ(f"{x}.sketch", f"{y}.sketch") <= most)
 
-    def ids(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    def close(x: str, y: str):
+        return (1 + similarity) * runs_apart(f"{x}.marks", f"{y}.marks") <= (1 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
+
+    def still(pairs: DataFrame) -> DataFrame:
+        left, right = (facts.select(F.col("id").alias(i), F.col("y").alias(x)).hint("merge") for i, x in (("a", "x"), ("b", "y")))
+        return checkpointed(pairs.distinct().join(left, "a").join(right, "b").where(possible("x", "y") & close("x", "y")).select("a", "b").distinct())
+
+    def whole(ids: DataFrame) -> DataFrame:
+        """The sets of some texts, made from the texts again, which take less room than all sets."""
+        kept = texts.join(ids.distinct().hint("merge"), "id", "left_semi")
+        return checkpointed(kept.select("id", word_runs(words)("text").alias("runs")).where(F.size("runs") > 0))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
-    links, asked = [], single.select(facts.alias("y"), F.posexplode("bands").alias("band", "key"))
+    links, sets = [], None
+    asked = single.select("id", F.posexplode("bands").alias("band", "key"))
     for step in range(len(finer) + 1):
-        heads = asked.groupBy("band", "key").agg(F.min_by("y", "y.id").alias("x"), F.count("*").alias("members")).where("members > 1")
-        posted = checkpointed(asked.join(heads.hint("merge"), ["band", "key"]).where("x.id <> y.id"))
-        links.append(checkpointed(_verified(ids(posted.where(possible("x", "y"))), sets, similarity)))
+        heads = asked.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("members")).where("members > 1")
+        posted = checkpointed(asked.join(heads.hint("merge"), ["band", "key"]).where("head <> id"))
+        pairs = still(posted.select(F.col("head").alias("a"), F.col("id").alias("b")))
+        links.append(checkpointed(_verified(pairs, whole(ends(pairs)) if sets is None else sets, similarity)))
         found = duplicate_clusters(reduce(DataFrame.union, links), "a", "b")
-        member = posted.select("band", "key", "members", "y", F.col("y.id").alias("id")).join(found.hint("merge"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+        member = posted.select("band", "key", "members", "id").join(found.hint("merge"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
         apart = member.groupBy("band", "key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high")
         # the head has met all members of its band
-        member = checkpointed(member.drop("id").join(apart.select("band", "key").hint("merge"), ["band", "key"], "left_semi"))
+        open_ = member.join(apart.select("band", "key").hint("merge"), ["band", "key"], "left_semi")
         last = step == len(finer)
+        own = F.col("y") if last else F.struct("y.id", "y.n", "y.sketch")
+        member = checkpointed(open_.join(facts.hint("merge"), "id").select("band", "key", "members", own.alias("y"), "cluster"))
         few = member if last else member.where(F.col("members") <= crowd)
         other = few.select("band", "key", F.col("y").alias("x"), F.col("cluster").alias("of"))
         across = few.join(other.hint("merge"), ["band", "key"]).where((F.col("x.id") < F.col("y.id")) & (F.col("cluster") != F.col("of")) & possible("x", "y"))
-        links.append(checkpointed(_verified(ids(across), sets, similarity)))
+        # where the number of texts is not bounded, most pairs end here
+        across = across.where(close("x", "y")) if last else across
+        across = still(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
         many = member.where(F.col("members") > crowd).select(F.col("y.id").alias("id")).distinct()
+        if sets is None:
+            # all texts that are signed again, too
+            sets = whole(ends(across).union(many))
+        links.append(checkpointed(_verified(across, sets, similarity)))
         if last or many.isEmpty():
             break
         keys = set_bands(*finer[step], seed=43 + step)("runs")
-        again = sets.join(many.hint("merge"), "id", "left_semi").select("id", F.size("runs").alias("n"), "sketch", keys.alias("bands"))
-        asked = again.select(facts.alias("y"), F.posexplode("bands").alias("band", "key"))
+        again = checkpointed(sets.join(many.hint("merge"), "id", "left_semi").select("id", keys.alias("bands")))
+        asked = again.select("id", F.posexplode("bands").alias("band", "key"))
     return duplicate_clusters(reduce(DataFrame.union, [*links, copies]), "a", "b")
 
 

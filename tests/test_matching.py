@@ -111,6 +111,50 @@ def test_sketches_differ_in_few_minima(spark):
     assert far[1, 1] == 0 and far[1, 2] < 20 and 50 < far[1, 3] < 90
 
 
+def test_near_duplicates_sign_each_text_once(spark, monkeypatch):
+    """Spark repeated the signing in filters that it pushed under joins, over all texts of the table."""
+    rng = random.Random(8)
+    rows = []
+    for group in range(6):
+        own = [f"g{group}w{i}" for i in range(80)]
+        rows += [(group * 10 + copy, " ".join(own[: len(own) - rng.randint(0, 40)])) for copy in range(6)]
+    rows += [(1000 + i, " ".join(rng.choices("abcdefghijklmnop", k=40))) for i in range(30)]
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(E, "checkpointed", seen)
+    E.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", crowd=0).collect()
+    signing = [p for p in plans if "ArrowEvalPython" in p]
+    assert len(signing) >= 3  # bands were signed again
+    assert all(p.count("ArrowEvalPython") == 1 for p in signing)
+    assert all(p.index("ArrowEvalPython") < p.index("Join") for p in signing if "Join" in p)
+
+
+def test_runs_apart_is_never_too_much(spark):
+    """Marks of sets of all sizes say of any pair at most how many runs they do not share, and tell far ones."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=k)) for k in (1, 4, 5, 20, 36, 40, 75, 130, 300, 9000)]
+    for k in (30, 60, 128, 250, 500, 9000):  # copies with some words changed, cut off or added
+        words = rng.choices([f"v{i}" for i in range(3000)], k=k)
+        for share in (0.01, 0.1, 0.4):
+            texts.append(" ".join(w if rng.random() > share else w + "x" for w in words))
+            texts.append(" ".join(words[: int(k * (1 - share))]))
+        texts.append(" ".join(words + words[::-1]))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    signed = df.select("id", X.word_sets(5, 32, 3)("t").alias("s"), X.word_runs(5)("t").alias("runs")).collect()
+    runs = {r.id: set(r.runs) for r in signed}
+    assert all(r.s.n == len(r.runs) == len(runs[r.id]) for r in signed)
+    marks = spark.createDataFrame([(r.id, r.s.marks) for r in signed], "id long, m array<long>")
+    a, b = marks.select("id", F.struct("m").alias("x")), marks.select(F.col("id").alias("other"), F.struct("m").alias("y"))
+    told = {(r.id, r.other): r.n for r in a.crossJoin(b).select("id", "other", X.runs_apart("x.m", "y.m").alias("n")).collect()}
+    true = {(i, j): len(runs[i] ^ runs[j]) for i in runs for j in runs}
+    assert all(0 <= told[p] <= true[p] and told[p] == told[p[::-1]] for p in true)
+    assert sum(told[p] > true[p] / 3 for p in true if 4 <= true[p] <= 200) > 20
+
+
 def test_near_duplicates_send_no_sets_through_the_driver(spark, tmp_path, monkeypatch):
     """Sizes guessed from arrays of one element made Spark broadcast whole sets and bands."""
     rng = random.Random(5)
