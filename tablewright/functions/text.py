@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import join_on, q
 
-#: Of the number of classes in the marks of a text, at most.
-MARK_BITS = 14
+#: Classes of runs whose odd numbers stand for a text, as powers of two: always, and at most for a long text.
+BRIEF_BITS, MARK_BITS = 10, 14
 
 
 def _without_one(s: Column) -> Column:
@@ -152,36 +152,35 @@ def _sketch(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two.reshape(-1, 32) << places, axis=1).view(np.int64)
 
 
-def _marks(own: np.ndarray) -> np.ndarray:
-    """A bit for each class of hashes, by their last bits, that is set if an odd number of the hashes is in the class.
-
-    There are two to four classes for each hash, a power of two.
-    """
-    classes = 1 << min(max(6, (2 * len(own) - 1).bit_length()), MARK_BITS)
-    odd = np.bincount((own & np.uint64(classes - 1)).astype(np.int64), minlength=classes).astype(np.uint8) & 1
+def _marks(own: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each of 2 ** ``bits`` classes of hashes, by their last bits, that is set if the class holds an odd number."""
+    odd = np.bincount((own & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
 def word_sets(words: int, bands: int, rows: int, seed: int = 42):
     """A column function from a text to a struct that stands for its distinct word runs: their number (``n``), a digest
     of them all (``same``), one MinHash key for each band of ``rows`` minima over them (``bands``; none without words),
-    two bits of each minimum (``sketch``), and which of many classes of runs have an odd number (``marks``).
+    two bits of each minimum (``sketch``), and which classes of runs have an odd number, of 1024 (``brief``) and of two
+    to four classes for each run (``marks``).
 
     Two texts agree in a band with probability similarity ** rows. The function is declared not deterministic, as are
     those below: else Spark repeats it in filters that it pushes under joins, over every row that the join would drop.
     """
     odd, plus = _factors(bands * rows, seed)
 
-    def of(text: str | None) -> tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]:
+    def of(text: str | None) -> tuple:
         own = _shingle_hashes(text, words)
         if not len(own):
-            return 0, b"", *[np.empty(0, np.int64)] * 3
+            return 0, b"", *[np.empty(0, np.int64)] * 4
         least = _minima(own, odd, plus)
-        return len(own), hashlib.sha256(own.tobytes()).digest(), _band_keys(least, bands), _sketch(least), _marks(own)
+        classes = min(max(6, (2 * len(own) - 1).bit_length()), MARK_BITS)
+        found = hashlib.sha256(own.tobytes()).digest(), _band_keys(least, bands), _sketch(least)
+        return len(own), *found, _marks(own, BRIEF_BITS), _marks(own, classes)
 
-    @F.pandas_udf("n int, same binary, bands array<long>, sketch array<long>, marks array<long>")
+    @F.pandas_udf("n int, same binary, bands array<long>, sketch array<long>, brief array<long>, marks array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([of(t) for t in texts], columns=["n", "same", "bands", "sketch", "marks"])
+        return pd.DataFrame([of(t) for t in texts], columns=["n", "same", "bands", "sketch", "brief", "marks"])
 
     return run.asNondeterministic()
 
@@ -207,18 +206,26 @@ def set_bands(bands: int, rows: int, seed: int = 42):
     return run.asNondeterministic()
 
 
-def sketches_differ(x: str, y: str) -> Column:
-    """In how many minima two sketches differ."""
-    pairs = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
-    folded = F.transform(pairs, lambda z: F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555))))
-    return F.aggregate(folded, F.lit(0), lambda total, n: total + n)
+def sketches_differ(x: str, y: str, longs: int | None = None) -> Column:
+    """In how many minima two sketches differ. Where the number of ``longs`` in a sketch is told, Spark compiles this."""
+
+    def different(a: Column, b: Column) -> Column:
+        z = a.bitwiseXOR(b)
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    if longs:
+        return reduce(lambda p, n: p + n, [different(F.get(x, F.lit(i)), F.get(y, F.lit(i))) for i in range(longs)])
+    return F.aggregate(F.zip_with(x, y, different), F.lit(0), lambda total, n: total + n)
 
 
-def runs_apart(x: str, y: str) -> Column:
+def runs_apart(x: str, y: str, longs: int | None = None) -> Column:
     """How many runs, by their ``marks``, two texts at least do not share. Exact: it is never more than they do not share.
 
-    Marks of twice as many classes are folded first; where one has still more classes the answer is 0.
+    Where the number of ``longs`` in both is told, Spark compiles this. Else marks of twice as many classes are folded
+    first; where one has still more classes the answer is 0.
     """
+    if longs:
+        return reduce(lambda p, n: p + n, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(longs)])
 
     def halved(m: str, other: str) -> Column:
         half = F.expr(f"size({m}) div 2").cast("int")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.common import as_list, is_missing, join_on, q
 from ..functions.ordered import row_frame, sort_columns
-from ..functions.scale import checkpointed, stored
-from ..functions.text import close_pairs, runs_apart, set_bands, sketches_differ, word_runs, word_sets
+from ..functions.scale import checkpointed, release, stored
+from ..functions.text import BRIEF_BITS, close_pairs, runs_apart, set_bands, sketches_differ, word_runs, word_sets
 from .graph import connected_components
 
 
@@ -192,21 +192,21 @@ def near_duplicates(
     # written first, so that the join can split a set that very many texts have
     alike = checkpointed(signs.groupBy("same").agg(F.min("id").alias("first")))
     copies = checkpointed(signs.select("id", "same").join(alike.hint("merge"), "same").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
-    single = checkpointed(signs.join(alike.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi").drop("same"))
-    facts = single.select("id", F.struct("id", "n", "sketch", "marks").alias("y"))
+    single = checkpointed(signs.join(alike.select(F.col("first").alias("id")).hint("merge"), "id", "left_semi").dropDuplicates(["id", "same"]).drop("same"))
+    facts = single.select("id", F.struct("id", "n", "sketch", "brief", "marks").alias("y"))
     agree = similarity + (1 - similarity) / 4
     most = bands * rows * (1 - agree) + 5 * (bands * rows * agree * (1 - agree)) ** 0.5
 
     def possible(x: str, y: str):
         low, high = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-        return (low >= similarity * high) & (sketches_differ(f"{x}.sketch", f"{y}.sketch") <= most)
+        return (low >= similarity * high) & (sketches_differ(f"{x}.sketch", f"{y}.sketch", -(-bands * rows // 32)) <= most)
 
-    def close(x: str, y: str):
-        return (1 + similarity) * runs_apart(f"{x}.marks", f"{y}.marks") <= (1 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
+    def close(x: str, y: str, apart: Column):
+        return (1 + similarity) * apart <= (1 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
 
     def still(pairs: DataFrame) -> DataFrame:
         left, right = (facts.select(F.col("id").alias(i), F.col("y").alias(x)).hint("merge") for i, x in (("a", "x"), ("b", "y")))
-        return checkpointed(pairs.distinct().join(left, "a").join(right, "b").where(possible("x", "y") & close("x", "y")).select("a", "b").distinct())
+        return checkpointed(pairs.distinct().join(left, "a").join(right, "b").where(possible("x", "y") & close("x", "y", runs_apart("x.marks", "y.marks"))).select("a", "b").distinct())
 
     def whole(ids: DataFrame) -> DataFrame:
         """The sets of some texts, made from the texts again, which take less room than all sets."""
@@ -229,13 +229,13 @@ def near_duplicates(
         # the head has met all members of its band
         open_ = member.join(apart.select("band", "key").hint("merge"), ["band", "key"], "left_semi")
         last = step == len(finer)
-        own = F.col("y") if last else F.struct("y.id", "y.n", "y.sketch")
+        own = F.struct("y.id", "y.n", "y.sketch", *["y.brief"] * last)
         member = checkpointed(open_.join(facts.hint("merge"), "id").select("band", "key", "members", own.alias("y"), "cluster"))
         few = member if last else member.where(F.col("members") <= crowd)
         other = few.select("band", "key", F.col("y").alias("x"), F.col("cluster").alias("of"))
         across = few.join(other.hint("merge"), ["band", "key"]).where((F.col("x.id") < F.col("y.id")) & (F.col("cluster") != F.col("of")) & possible("x", "y"))
         # where the number of texts is not bounded, most pairs end here
-        across = across.where(close("x", "y")) if last else across
+        across = across.where(close("x", "y", runs_apart("x.brief", "y.brief", 2**BRIEF_BITS // 64))) if last else across
         across = still(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
         many = member.where(F.col("members") > crowd).select(F.col("y.id").alias("id")).distinct()
         if sets is None:
@@ -247,6 +247,9 @@ def near_duplicates(
         keys = set_bands(*finer[step], seed=43 + step)("runs")
         again = checkpointed(sets.join(many.hint("merge"), "id", "left_semi").select("id", keys.alias("bands")))
         asked = again.select("id", F.posexplode("bands").alias("band", "key"))
+        # each step makes some dozens of shuffles; what they leave takes disk, however small they are
+        del heads, posted, pairs, found, member, apart, open_, few, other, across, many
+        release(df.sparkSession)
     return duplicate_clusters(reduce(DataFrame.union, [*links, copies]), "a", "b")
 
 

@@ -147,12 +147,13 @@ def test_runs_apart_is_never_too_much(spark):
     signed = df.select("id", X.word_sets(5, 32, 3)("t").alias("s"), X.word_runs(5)("t").alias("runs")).collect()
     runs = {r.id: set(r.runs) for r in signed}
     assert all(r.s.n == len(r.runs) == len(runs[r.id]) for r in signed)
-    marks = spark.createDataFrame([(r.id, r.s.marks) for r in signed], "id long, m array<long>")
-    a, b = marks.select("id", F.struct("m").alias("x")), marks.select(F.col("id").alias("other"), F.struct("m").alias("y"))
-    told = {(r.id, r.other): r.n for r in a.crossJoin(b).select("id", "other", X.runs_apart("x.m", "y.m").alias("n")).collect()}
     true = {(i, j): len(runs[i] ^ runs[j]) for i in runs for j in runs}
-    assert all(0 <= told[p] <= true[p] and told[p] == told[p[::-1]] for p in true)
-    assert sum(told[p] > true[p] / 3 for p in true if 4 <= true[p] <= 200) > 20
+    for kind, longs in (("marks", None), ("brief", 2**X.BRIEF_BITS // 64)):
+        marks = spark.createDataFrame([(r.id, r.s[kind]) for r in signed], "id long, m array<long>")
+        a, b = marks.select("id", F.struct("m").alias("x")), marks.select(F.col("id").alias("other"), F.struct("m").alias("y"))
+        told = {(r.id, r.other): r.n for r in a.crossJoin(b).select("id", "other", X.runs_apart("x.m", "y.m", longs).alias("n")).collect()}
+        assert all(0 <= told[p] <= true[p] and told[p] == told[p[::-1]] for p in true)
+        assert sum(told[p] > true[p] / 3 for p in true if 4 <= true[p] <= 200) > 20
 
 
 def test_near_duplicates_send_no_sets_through_the_driver(spark, tmp_path, monkeypatch):
